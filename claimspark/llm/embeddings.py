@@ -131,15 +131,12 @@ def _pairs(cosine: float, least: int, side: int):
             p, q = p[new], q[new]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
-            while True:  # both ends take the lesser root until nothing changes
+            while not np.array_equal(root[p], root[q]):  # hooks the roots of both ends to the lesser one
                 low = np.minimum(root[p], root[q])
-                before = root.copy()
-                np.minimum.at(root, p, low)
-                np.minimum.at(root, q, low)
-                root = root[root]
-                if np.array_equal(before, root):
-                    break
-            # pairs of later blocks may join what earlier ones left apart; the edges below keep both
+                np.minimum.at(root, root[p], low)
+                np.minimum.at(root, root[q], low)
+                while not np.array_equal(root, root[root]):
+                    root = root[root]
         hit = np.flatnonzero((links > 0) | (root != np.arange(n)))
         return pa.table({"vec": pa.array(vec[hit]), "links": pa.array(links[hit]), "hub": pa.array(vec[root[hit]])})
 

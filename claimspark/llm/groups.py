@@ -20,12 +20,13 @@ from . import common
 GROUP_ROWS = 2000
 
 
-def working_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, doc_id, text as UTF-8 text, null as empty), bucketed by part without a shuffle."""
+def working_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(part, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle."""
     spark = docs.sparkSession
     at = F.monotonically_increasing_id()
     part = F.shiftright(at, 33) * F.lit(1 << 22) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / GROUP_ROWS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(part.cast("long").alias("part"), "doc_id", "text")
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).select(part.cast("long").alias("part"), "*")
     name = f"claimspark_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.shared_dir(spark, "texts")

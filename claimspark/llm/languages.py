@@ -129,6 +129,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     Every row is treated alone, so repeated rows stay and other columns have no effect.
     """
     cols = [id_col, *(keep or [])]
+    at = cols.index(text_col) if text_col in cols else len(cols)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols]
     state: list[Profiles] = []
 
@@ -136,13 +137,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
         if not state:
             state.append(Profiles(profiles))
         for part in common.slices(batches):
-            found = [state[0].predict(t) for t in part.column(len(cols)).to_pylist()]
+            found = [state[0].predict(t) for t in part.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[: len(cols)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*cols, "lang_pred", "score"],
             )
 
-    return common.map_batches(docs.select(*cols, F.col(text_col).alias("_text")), run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return common.map_batches(docs.select(*cols, *([F.col(text_col).alias("_text")] if at == len(cols) else [])), run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(id_col: str = "doc_id"):

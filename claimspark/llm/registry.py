@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, html_text, jaccard, languages, packing, repeats, token_counts, toxicity
+from . import embeddings, fingerprints, html_text, jaccard, languages, mixing, packing, repeats, token_counts, toxicity
 
-_MODULES = (token_counts, html_text, toxicity, languages, packing, repeats, jaccard, embeddings, fingerprints)
+_MODULES = (mixing, token_counts, html_text, toxicity, languages, packing, repeats, jaccard, embeddings, fingerprints)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -373,7 +373,7 @@ def covered(docs: pa.Table, told: pa.Table, window: int) -> tuple[np.ndarray, np
     return data, starts, np.cumsum(edge[:-1]) > 0
 
 
-def _results(window: int, keep_text: bool):
+def _results(window: int, keep_text: bool, keep: tuple[str, ...]):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
         kept_texts: list[str] = []
@@ -391,13 +391,14 @@ def _results(window: int, keep_text: bool):
                     kept_texts.append(kept.decode("utf-8", "ignore"))
         types = {"kept_sha256": pa.string()}
         cols = {"doc_id": docs.column("doc_id")} | {c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()}
-        return pa.table(cols | ({"kept_text": pa.array(kept_texts, pa.string())} if keep_text else {}))
+        cols |= {"kept_text": pa.array(kept_texts, pa.string())} if keep_text else {}
+        return pa.table(cols | {c: docs.column(f"_keep{i}") for i, c in enumerate(keep)})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every document.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, and columns to keep) of every document.
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of
     smaller id. Null and empty texts, and texts under `window` bytes, lose nothing. Equal ids
@@ -407,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < window - k + 1 <= 32:
         raise ValueError("window - k must be from 0 to 31")
-    table = groups.working_table(docs, id_col, text_col)
+    table = groups.working_table(docs, id_col, text_col, keep)
     size = groups.total_bytes(table)
     per_byte = 2 / (window - k + 2)
     buckets = int(min(1 << 20, max(8, size * per_byte * 4 // BUCKET_BYTES + 1)))
@@ -426,7 +427,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent.filter("bucket < 0").select("part", "bucket", nothing.alias("windows"), "places", "least")
     )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return table.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_results(window, keep_text), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return table.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_results(window, keep_text, keep), schema)
 
 
 def brute_force(texts: list[tuple[int | None, str | None]], window: int = WINDOW) -> Iterator[tuple[int | None, int, bytes]]:
