@@ -23,34 +23,38 @@ from . import common
 BUCKETS = 1 << 18
 #: Bounds of the training sample: confirmed toxic texts, and unlabelled texts.
 POSITIVES, UNLABELLED = 4000, 12000
-#: Words in fewer texts of the sample are not used.
-MIN_TEXTS = 8
+#: Features in fewer texts of the sample, or not clearly commoner among confirmed texts, are not used.
+MIN_TEXTS, LEAST_Z = 5, 4.0
 THRESHOLD = 0.7
-_MEMO_WORDS = 400_000
+#: Lengths of the beginnings of words that are features.
+BEGINNINGS = (3, 4, 5)
+_MEMO_WORDS = 200_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
-def bucket(raw: str) -> int:
-    """Feature of a blank-separated word: lower case, without punctuation at its ends; 0 for none."""
+def buckets(raw: str) -> tuple[int, ...]:
+    """Features of a blank-separated word, lower case and without punctuation at its ends: itself and its beginnings."""
     word = _EDGES.sub("", raw.lower())
-    return 1 + zlib.crc32(word.encode()) % (BUCKETS - 1) if word else 0
+    parts = [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)] if word else []
+    return tuple([zlib.crc32(x.encode()) % BUCKETS for x in parts])
 
 
 class Features:
-    """The distinct word features of texts."""
+    """The distinct features of texts. Long texts have many words, so each is looked up once."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def of(self, text: str | None) -> set[int]:
-        words = set((text or "").split())
         known = self.known
         if len(known) > _MEMO_WORDS:
             known.clear()
-        for w in words:
+        found: set[int] = set()
+        for w in set((text or "").split()):
             if w not in known:
-                known[w] = bucket(w)
-        return {known[w] for w in words}
+                known[w] = buckets(w)
+            found.update(known[w])
+        return found
 
 
 @dataclass
@@ -75,15 +79,18 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         return Model({}, float(np.log(p / (1 - p))))
     rows = positive + unlabelled
     flat = np.concatenate(rows)
-    texts = np.bincount(flat, minlength=BUCKETS)
-    used = np.flatnonzero(texts >= MIN_TEXTS)
-    used = used[used > 0]
+    n_pos, n_unl = len(positive), len(unlabelled)
+    from_pos = sum(map(len, positive))
+    p, u = (np.bincount(x, minlength=BUCKETS) / n for x, n in ((flat[:from_pos], n_pos), (flat[from_pos:], n_unl)))
+    mean = (p * n_pos + u * n_unl) / len(rows)
+    texts = mean * len(rows)
+    more = (p - u) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n_pos + 1 / n_unl))
+    used = np.flatnonzero((texts >= MIN_TEXTS) & (more >= LEAST_Z))
     index = np.full(BUCKETS, -1)
     index[used] = np.arange(len(used))
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = index[flat]
     owner, col = owner[col >= 0], col[col >= 0]
-    n_pos, n_unl = len(positive), len(unlabelled)
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
