@@ -29,8 +29,8 @@ from . import common, groups
 
 WINDOW = 50
 K = 24
-#: Bytes of fingerprints, and of stretches, that a bucket gets, about.
-BUCKET_BYTES = 6 << 20
+#: Bytes of fingerprints that a bucket gets, and of texts for each bucket of stretches, about.
+BUCKET_BYTES, ROUTE_BYTES = 6 << 20, 6 << 20
 _NONE = np.iinfo(np.int64).max  # a null id is after all others
 
 
@@ -412,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = groups.total_bytes(table)
     per_byte = 2 / (window - k + 2)
     buckets = int(min(1 << 20, max(8, size * per_byte * 4 // BUCKET_BYTES + 1)))
-    routes = int(max(8, size // (4 * BUCKET_BYTES) + 1))
+    routes = int(max(8, size // ROUTE_BYTES + 1))
     prints = table.groupBy("part").applyInArrow(_send_fingerprints(window, k, buckets), "bucket int, part long, prints binary")
     bits = common.materialize(prints.groupBy("bucket").applyInArrow(answer_shared, "part long, bucket int, bits binary"), "shared")
     sent = common.materialize(table.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_stretches(window, k, buckets, routes), _CANDIDATES), "stretches")
