@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import data_queries, metric_queries, text_queries
+from .metric_queries import flagship
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (text_queries, data_queries, metric_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
