@@ -27,8 +27,10 @@ CELL, HALF = 2.5, 1.0
 MISSED, UNCOUNTED = 0.003, 0.001
 #: Unrelated vectors that share a cell with a vector, about.
 LOAD = 150
-#: Rows of a square of pairs that one task compares.
-SIDE = 1024
+#: Lines whose windows are counted.
+COUNTED = 32
+#: Rows on a side of a square of pairs that is compared at once, and rows that one group gets, about.
+SIDE, GROUP = 1024, 2000
 
 
 def _normal_cdf(x: float) -> float:
@@ -46,7 +48,7 @@ def plan(n: int, cosine: float = COSINE) -> tuple[int, int, int]:
     p_near, p_far = same_cell(near), same_cell(far)
     lines = max(2, math.ceil(math.log(max(n, 2) / LOAD) / -math.log(p_far)))
     tables = math.ceil(math.log(MISSED) / math.log(1 - p_near**lines))
-    m, p = lines * tables, 2 * _normal_cdf(HALF / near) - 1
+    m, p = min(COUNTED, lines * tables), 2 * _normal_cdf(HALF / near) - 1
     least, below = 0, 0.0
     while least < m:  # the largest count that a pair at the limit misses with probability UNCOUNTED at most
         below += math.comb(m, least) * p**least * (1 - p) ** (m - least)
@@ -87,7 +89,7 @@ def _project(lines: int, tables: int, seed: int):
                 ids.extend([key] * tables)
                 copies.extend([n] * tables)
                 vectors.extend([x.tobytes()] * tables)
-                windows.extend([np.clip(np.round(at * 16), -127, 127).astype(np.int8).tobytes()] * tables)
+                windows.extend([np.clip(np.round(at[:COUNTED] * 16), -127, 127).astype(np.int8).tobytes()] * tables)
                 alls.extend([(h >> np.uint64(32)).astype(np.uint32).tobytes()] * tables)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tabs, pa.int32()), pa.array(cells, pa.int64()), pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), *(pa.array(x, pa.binary()) for x in (vectors, windows, alls))],
@@ -97,38 +99,27 @@ def _project(lines: int, tables: int, seed: int):
     return run
 
 
-def _pairs(cosine: float, least: int, side: int):
-    """Verified pairs of one cell, or of one square of a large cell: link counts and a forest."""
+def _matrix(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype) for b in table.column(name).to_pylist()]
+
+
+def _pairs(cosine: float, least: int):
+    """Verified pairs within each cell (or square of a large cell): link counts and a forest."""
     near_window = round(HALF * 16) + 1  # projections are rounded to sixteenths
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.column("tab")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        vec = table.column("vec").to_numpy()
-        order = np.argsort(vec, kind="stable")
-        vec = vec[order]
-        n = len(vec)
-        copies = table.column("copies").to_numpy()[order]
-        mine = table.column("slot").to_numpy()[order]
-        x = np.stack([np.frombuffer(b, np.float64) for b in groups.column(table, "vector")])[order]
-        w = np.stack([np.frombuffer(b, np.int8) for b in groups.column(table, "window")])[order]
-        c = np.stack([np.frombuffer(b, np.uint32) for b in groups.column(table, "cells")])[order]
-        links = np.zeros(n, np.int64)
-        root = np.arange(n)
-        rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        for a in range(0, len(rows), 128):
-            r = rows[a : a + 128]
-            count = np.zeros((len(r), len(cols)), np.int16)
-            for line in range(w.shape[1]):
-                count += np.abs(w[r, line].astype(np.int16)[:, None] - w[cols, line].astype(np.int16)[None, :]) <= near_window
+    def compare(t: int, x, w, c, copies, rows, cols, same, links, root) -> None:
+        step = max(1, (1 << 22) // (len(cols) * w.shape[1]))
+        for a in range(0, len(rows), step):
+            r = rows[a : a + step]
+            count = (np.abs(w[r][:, None, :] - w[cols][None, :, :]) <= near_window).sum(axis=2, dtype=np.int16)
             p, q = np.nonzero(count >= least)
             p, q = r[p], cols[q]
-            if i == j:
+            if same:
                 p, q = p[p < q], q[p < q]
-            close = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-            p, q = p[close], q[close]
             new = ~(c[p, :t] == c[q, :t]).any(axis=1)  # an earlier table has compared the others
             p, q = p[new], q[new]
+            close = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            p, q = p[close], q[close]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
             while not np.array_equal(root[p], root[q]):  # hooks the roots of both ends to the lesser one
@@ -136,9 +127,27 @@ def _pairs(cosine: float, least: int, side: int):
                 np.minimum.at(root, root[p], low)
                 np.minimum.at(root, root[q], low)
                 while not np.array_equal(root, root[root]):
-                    root = root[root]
-        hit = np.flatnonzero((links > 0) | (root != np.arange(n)))
-        return pa.table({"vec": pa.array(vec[hit]), "links": pa.array(links[hit]), "hub": pa.array(vec[root[hit]])})
+                    root[:] = root[root]
+
+    def run(table: pa.Table) -> pa.Table:
+        tab, cell, i, j, vec, copies, slot = (table.column(n).to_numpy() for n in ("tab", "cell", "i", "j", "vec", "copies", "slot"))
+        order = np.lexsort((vec, j, i, cell, tab))
+        tab, cell, i, j, vec, copies, slot = (v[order] for v in (tab, cell, i, j, vec, copies, slot))
+        vectors, windows, cells = (_matrix(table, n, d) for n, d in (("vector", np.float64), ("window", np.int8), ("cells", np.uint32)))
+        change = (tab[1:] != tab[:-1]) | (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        heads = np.flatnonzero(np.append(True, change))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a, b in zip(heads, np.append(heads[1:], len(tab)), strict=True):
+            mine = order[a:b]
+            x, c = np.stack([vectors[k] for k in mine]), np.stack([cells[k] for k in mine])
+            w = np.stack([windows[k] for k in mine]).astype(np.int16)
+            rows, cols = np.flatnonzero(slot[a:b] == i[a]), np.flatnonzero(slot[a:b] == j[a])
+            links, root = np.zeros(b - a, np.int64), np.arange(b - a)
+            compare(int(tab[a]), x, w, c, copies[a:b], rows, cols, i[a] == j[a], links, root)
+            hit = np.flatnonzero(links)
+            out.append((vec[a:b][hit], links[hit], vec[a:b][root[hit]]))
+        cat = [np.concatenate(z) for z in zip(*out, strict=True)]
+        return pa.table({"vec": pa.array(cat[0]), "links": pa.array(cat[1]), "hub": pa.array(cat[2])})
 
     return run
 
@@ -172,8 +181,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     slots = F.ceil(F.col("members") / side).cast("int")
     slot = F.pmod(F.xxhash64("vec"), slots).cast("int")
     squares = F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
-    dealt = sized.withColumn("slot", slot).select("*", F.inline(squares)).drop("members")
-    found = common.materialize(dealt.groupBy("tab", "cell", "i", "j").applyInArrow(_pairs(cosine, least, side), "vec long, links long, hub long"), "links")
+    bundles = met.count() // GROUP + 1
+    bundle = F.pmod(F.xxhash64("tab", "cell", "i", "j"), F.lit(bundles))
+    dealt = sized.withColumn("slot", slot).select("*", F.inline(squares)).drop("members").withColumn("bundle", bundle)
+    found = common.materialize(dealt.groupBy("bundle").applyInArrow(_pairs(cosine, least), "vec long, links long, hub long"), "links")
     parts = groups.components(found.filter("vec <> hub").select(F.col("vec").alias("a"), F.col("hub").alias("b")))
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
     joined = once.select("vec", "digest", "least", "copies").join(counts, "vec", "left").join(parts, F.col("vec") == F.col("node"), "left").withColumn("component", F.coalesce("component", "vec"))
