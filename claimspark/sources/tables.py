@@ -31,8 +31,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Exports with a header, quotes doubled, and empty text told from null."""
-    df.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", '""').csv(path)
+    """Exports with a header and doubled quotes. Null and empty text are both read back as null."""
+    df.write.option("header", True).option("escape", '"').csv(path)
 
 
 def read_statements(spark: SparkSession, path: str, index: str | None = "sid") -> DataFrame:
@@ -63,7 +63,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """domain, topic from one JSON object of lists."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("domain", "topics")).select("domain", F.explode("topics").alias("topic"))
 
 
@@ -108,7 +108,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_template(spark: SparkSession, path: str) -> str:
     """A prompt template, trimmed."""
-    return spark.read.option("wholetext", True).text(path).first()[0].strip()
+    return spark.read.text(path, wholetext=True).first()[0].strip()
 
 
 def unprocessed(inputs: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
