@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents in a range of the seeded order, about: running sums are taken within one range.
-RANGE_DOCS = 4096
+RANGE_DOCS = 256
 TREE = ("domain", "lang", "source")
 
 
