@@ -165,8 +165,9 @@ def document_tree() -> dict[str, Column]:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mixed = mix(docs, WEIGHTS, 0.5, document_tree(), max_epochs=2, seed=1)
+    docs = common.read_table(spark, sf_dir, "documents")
+    counted = common.materialize(docs.select("doc_id", "lang", "source", word_count("text").alias("words")), "words")
+    mixed = mix(counted, WEIGHTS, 0.5, document_tree(), tokens=F.col("words"), max_epochs=2, seed=1)
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
 
