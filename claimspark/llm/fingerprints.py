@@ -166,8 +166,8 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = [i / (2 * n) for i in range(1, 2 * n)] or [0.5]
-    bounds = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", cuts, 20 * n)).first()[0] or [], dtype=np.int64))
+    cuts = [i / (8 * n) for i in range(1, 8 * n)]
+    bounds = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", cuts, 80 * n)).first()[0] or [], dtype=np.int64))
 
     def range_of(ids: pd.Series) -> pd.Series:
         known = ids.notna()
@@ -180,7 +180,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = sorted(firsts, reverse=True)
     if not order:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    heads = [(order[i - 1], firsts[r]) for i, r in enumerate(order)]  # one row a range: at most 2n + 1
+    heads = [(order[i - 1], firsts[r]) for i, r in enumerate(order)]  # one row a range: at most 8n + 1
     head_ids = F.broadcast(spark.createDataFrame(heads, "range long, head long"))
     tails = (
         rows.join(head_ids, F.col("doc_id").eqNullSafe(F.col("head")))
