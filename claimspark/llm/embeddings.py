@@ -200,4 +200,9 @@ def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_embedding_duplicates": op9_embedding_duplicates}
-ORACLES: dict[str, str] = {}
+#: All pairs by cosine, then reachability.
+_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+ u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+ r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached), c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+ SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c"""
+ORACLES: dict[str, str] = {"op9_embedding_duplicates": _SQL}

@@ -399,4 +399,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}
+#: All pairs that share a shingle, then reachability.
+_SQL = """WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM t WHERE len(w) > 0)),
+ z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ l AS (SELECT i.a, i.b FROM i JOIN z x ON x.doc_id = i.a JOIN z y ON y.doc_id = i.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+ SELECT r.doc_id, coalesce(max(z.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN z ON z.doc_id = r.doc_id GROUP BY r.doc_id"""
+ORACLES: dict[str, str] = {"op8_jaccard_join": _SQL}

@@ -454,4 +454,15 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_repeats": op7_repeats}
-ORACLES: dict[str, str] = {}
+#: Windows of 50 bytes as hexadecimal text; spans are put together from the windows that a smaller document has.
+_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+ c AS (SELECT doc_id, CAST(k AS BIGINT) AS k, substr(h, k * 1024 + 1, 1124) AS piece, n FROM (SELECT doc_id, h, n, unnest(range(0, n // 512 + 1)) AS k FROM n)),
+ w AS (SELECT doc_id, k * 512 + p AS p, substr(piece, 2 * p + 1, 100) AS s FROM (SELECT doc_id, k, piece, n, unnest(range(0, 512)) AS p FROM c) WHERE k * 512 + p + 50 <= n),
+ m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1), x AS (SELECT w.doc_id, w.p FROM w JOIN m ON w.s = m.s AND m.least < w.doc_id),
+ g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS after FROM x),
+ e AS (SELECT doc_id, p, CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END AS opens, least(50, coalesce(after, p + 50) - p) AS bytes FROM g),
+ s AS (SELECT doc_id, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span, p, bytes FROM e), r AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b, sum(bytes) AS bytes FROM s GROUP BY doc_id, span),
+ k AS (SELECT r.doc_id, sum(bytes) AS removed, count(*) AS spans, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS kept
+   FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r) r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id)
+ SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN k ON k.doc_id = n.doc_id"""
+ORACLES: dict[str, str] = {"op7_repeats": _SQL}
