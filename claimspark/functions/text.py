@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 TRIPLETS = "array<struct<statement:string,topic:string,sentiment:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body's lambdas refer to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # --- points of view and clauses -------------------------------------------------------------
 
 #: First-person forms and what takes their place, applied in this order.
@@ -86,9 +91,13 @@ def join_clauses(clauses: Column) -> Column:
 def first_of_each(items: Column, key) -> Column:
     """Keeps the first item of each key, in order."""
     keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    kept = F.filter(F.transform(keyed, lambda x, i: F.struct(x["v"].alias("v"), (F.array_position(keys, x["k"]) == i + 1).alias("first"))), lambda x: x["first"])
-    return F.transform(kept, lambda x: x["v"])
+
+    def kept(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p["k"])
+        marked = let(keys, lambda ks: F.transform(pairs, lambda p, i: F.struct(p["v"].alias("v"), (F.array_position(ks, p["k"]) == i + 1).alias("first"))))
+        return F.transform(F.filter(marked, lambda m: m["first"]), lambda m: m["v"])
+
+    return let(keyed, kept)
 
 
 def paragraph(statements: Column) -> Column:
@@ -102,12 +111,18 @@ def paragraph(statements: Column) -> Column:
 
 
 def paragraph_of_clauses(said: Column) -> Column:
-    """The paragraph of an array of (clause, sentiment) that says nothing twice."""
+    """The paragraph of an array of (clause, sentiment) that says nothing twice; null gives ""."""
 
     def of(sentiment: str) -> Column:
         return F.transform(F.filter(said, lambda s: s["sentiment"] == sentiment), lambda s: s["clause"])
 
-    pos, neg, neu = of("positive"), of("negative"), of("neutral")
+    def blocks_of(parts: Column) -> Column:
+        return _blocks(parts["pos"], parts["neg"], parts["neu"])
+
+    return let(F.struct(of("positive").alias("pos"), of("negative").alias("neg"), of("neutral").alias("neu")), blocks_of)
+
+
+def _blocks(pos: Column, neg: Column, neu: Column) -> Column:
     first, later = F.size(pos) > 0, (F.size(pos) > 0) | (F.size(neg) > 0)
 
     def block(clauses: Column, opening: Column) -> Column:
@@ -231,9 +246,13 @@ def first_words(c: Column, n: int) -> Column:
 
 def ngrams(units: Column, n: int) -> Column:
     """Runs of n units of an array; none if there are fewer."""
-    last = F.size(units) - (n - 1)
     none = F.array().cast("array<array<string>>")
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(units, i, n))).otherwise(none)
+
+    def runs(u: Column) -> Column:
+        last = F.size(u) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(u, i, n))).otherwise(none)
+
+    return let(units, runs)
 
 
 #: Abbreviations after which a sentence goes on.
@@ -277,8 +296,7 @@ def long_sentences(c: Column, least: int = 10) -> Column:
 
 def sentence_pairs(c: Column, least: int = 10) -> Column:
     """Each long sentence with the one after it."""
-    s = long_sentences(c, least)
-    return F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, 2), " "))
+    return let(long_sentences(c, least), lambda s: F.transform(s, lambda _, i: F.array_join(F.slice(s, i + 1, 2), " ")))
 
 
 def paragraphs(c: Column, least: int = 10) -> Column:
@@ -312,10 +330,14 @@ def chunk_count(c: Column, tokens: int = 1024, most: int = 10) -> Column:
 def batches(units: Column, size: Column | int) -> Column:
     """Consecutive slices of an array, the last one shorter."""
     size = F.lit(size) if isinstance(size, int) else size
-    n = F.size(units)
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))
     none = F.array().cast("array<array<string>>")
-    return F.when(n > 0, F.transform(steps, lambda i: F.slice(units, i * size + 1, size))).otherwise(none)
+
+    def cut(u: Column, k: Column) -> Column:
+        n = F.size(u)
+        steps = F.sequence(F.lit(0), F.greatest(F.ceil(n / k).cast("int") - 1, F.lit(0)))
+        return F.when(n > 0, F.transform(steps, lambda i: F.slice(u, i * k + 1, k))).otherwise(none)
+
+    return let(size, lambda k: let(units, lambda u: cut(u, k)))
 
 
 def sentence_chunks(c: Column, size: Column | int = 3) -> Column:
