@@ -24,18 +24,18 @@ def gram_counts(df: DataFrame, text: str, n: int, keys: list[str]) -> DataFrame:
     return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
+def _grams(words: Column, n: int, side: int) -> Column:
+    """(order, gram, side) of each run of n words."""
+    return F.transform(T.ngrams(words, n), lambda g: F.struct(F.lit(n).alias("order"), F.array_join(g, " ").alias("gram"), F.lit(side).alias("side")))
+
+
 def entropy(df: DataFrame, text: str, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Entropy in bits of the corpus's n-grams of each order, and their arithmetic mean.
 
     All orders are counted together: each text's n-grams are exploded once.
     """
-    w = T.words(F.col(text))
-
-    def of(n: int) -> Column:
-        return F.transform(T.ngrams(w, n), lambda g: F.struct(F.lit(n).alias("order"), F.array_join(g, " ").alias("gram")))
-
-    each = F.flatten(F.array(*[of(n) for n in orders]))
-    counts = df.select(F.inline(each)).groupBy("order", "gram").agg(F.count("*").alias("c"))
+    each = F.concat(*[_grams(F.col("_w"), n, 0) for n in orders])
+    counts = df.select(T.words(F.col(text)).alias("_w")).select(F.inline(each)).groupBy("order", "gram").agg(F.count("*").alias("c"))
     # H = log2(N) - sum(c * log2(c)) / N needs no second pass for N
     by = counts.groupBy("order").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
     wide = by.agg(*[F.max(F.when(F.col("order") == n, F.col("h"))).alias(f"entropy_{n}") for n in orders])
@@ -49,23 +49,25 @@ def distinct_n(c: Column, n: int, unit: str = "char") -> Column:
     return F.when(F.size(units) > 0, F.size(F.array_distinct(grams)) / F.size(units)).otherwise(0.0)
 
 
-def matched(df: DataFrame, a: str, b: str, key: str, n: int) -> DataFrame:
-    """key, match (clipped common n-grams), total_a, total_b; texts without n-grams count 0.
+def _matches(df: DataFrame, a: str, b: str, key: str, orders: list[int]) -> DataFrame:
+    """key, order, gram, ca, cb: how often each side has an n-gram. Both sides and all orders are
+    exploded together after their words have been split once, so nothing is joined."""
+    split = df.select(key, T.words(F.col(a)).alias("_a"), T.words(F.col(b)).alias("_b"))
+    each = F.concat(*[_grams(F.col(c), n, s) for n in orders for s, c in enumerate(("_a", "_b"))])
+    grams = split.select(key, F.inline(each)).groupBy(key, "order", "gram")
+    return grams.agg(F.count_if(F.col("side") == 0).alias("ca"), F.count_if(F.col("side") == 1).alias("cb"))
 
-    One pass counts both sides' grams together, so no join of the two is needed.
-    """
-    side = lambda c, s: F.transform(T.ngrams(T.words(F.col(c)), n), lambda g: F.struct(g.alias("gram"), F.lit(s).alias("side")))
-    grams = df.select(key, F.inline(F.concat(side(a, 0), side(b, 1)))).groupBy(key, "gram").agg(F.count_if(F.col("side") == 0).alias("ca"), F.count_if(F.col("side") == 1).alias("cb"))
-    sums = grams.groupBy(key).agg(F.sum(F.least("ca", "cb")).alias("match"), F.sum("ca").alias("total_a"), F.sum("cb").alias("total_b"))
+
+def matched(df: DataFrame, a: str, b: str, key: str, n: int) -> DataFrame:
+    """key, match (clipped common n-grams), total_a, total_b; texts without n-grams count 0."""
+    sums = _matches(df, a, b, key, [n]).groupBy(key).agg(F.sum(F.least("ca", "cb")).alias("match"), F.sum("ca").alias("total_a"), F.sum("cb").alias("total_b"))
     return df.select(key).join(sums, key, "left").na.fill(0, ["match", "total_a", "total_b"])
 
 
 def bleu(df: DataFrame, prediction: str, reference: str, key: str, order: int = 4, smooth: bool = False) -> DataFrame:
     """Corpus score with one reference: clipped precisions to `order`, and the brevity penalty."""
-    parts = [matched(df, prediction, reference, key, n).agg(F.lit(n).alias("n"), F.sum("match").alias("m"), F.sum("total_a").alias("t")) for n in range(1, order + 1)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    found = _matches(df, prediction, reference, key, list(range(1, order + 1))).groupBy("order").agg(F.sum(F.least("ca", "cb")).alias("m"), F.sum("ca").alias("t"))
+    every = df.sparkSession.range(1, order + 1).select(F.col("id").cast("int").alias("order")).join(found, "order", "left").na.fill(0, ["m", "t"])
     one = 1 if smooth else 0
     precision = F.try_divide(F.col("m") + one, F.col("t") + one)
     logs = every.agg(F.min(F.coalesce(precision, F.lit(0.0))).alias("least"), F.avg(F.when(precision > 0, F.ln(precision))).alias("log"))
