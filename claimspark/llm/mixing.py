@@ -19,6 +19,8 @@ from . import common
 
 #: Documents in a range of the seeded order, about: running sums are taken within one range.
 RANGE_DOCS = 256
+#: Leaves up to which their plan is broadcast; a larger plan is joined as Spark chooses.
+BROADCAST_LEAVES = 10_000
 TREE = ("domain", "lang", "source")
 
 
@@ -97,6 +99,10 @@ def word_count(text_col: str) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, r"[ \t\n\x0B\f\r]+"))).cast("long")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_LEAVES else df
+
+
 def mix(
     docs: DataFrame,
     weights: dict[tuple[str, ...], float],
@@ -134,7 +140,7 @@ def mix(
     # whole epochs, tokens of the partial one, and bits of the order's ranges
     plan = [(*n.path, n.budget // n.supply, n.budget % n.supply, min(40, max(0, math.ceil(math.log2(n.docs / RANGE_DOCS))))) for n in leaves]
     leaf_plan = rows.sparkSession.createDataFrame(plan, schema)
-    near = rows.join(F.broadcast(leaf_plan), list(tree))
+    near = rows.join(_small(leaf_plan, len(plan)), list(tree))
     order = F.xxhash64(F.lit(seed), F.col("_full"), F.coalesce(F.col("_id").cast("string"), F.lit("")))
     span = F.when(F.col("_bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(_order, 64 - _bits)"))
     ranged = near.withColumn("_order", order).withColumn("_range", span.cast("long"))
@@ -143,7 +149,7 @@ def mix(
     ends = upto.filter("upto >= rest").groupBy(*tree).agg(F.min(F.struct("_range", "upto", "n")).alias("end"))
     end_rows = [(*[r[c] for c in tree], r["end"]["_range"], r["end"]["upto"] - r["end"]["n"]) for r in ends.collect()]
     end_plan = rows.sparkSession.createDataFrame(end_rows, ", ".join(f"{c} string" for c in tree) + ", _end long, _before long")
-    placed = ranged.join(F.broadcast(end_plan), list(tree), "left")
+    placed = ranged.join(_small(end_plan, len(end_rows)), list(tree), "left")
     whole = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_full") - F.when(F.col("_range") < F.col("_end"), 0).otherwise(1), F.lit(1))).alias("epoch")).filter("_full > 0 or _range < _end")
     whole = whole.withColumn("take_tokens", F.col("n_tokens"))
     running = F.sum("n_tokens").over(Window.partitionBy(*tree).orderBy("_order", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
