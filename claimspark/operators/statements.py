@@ -63,7 +63,7 @@ def normalised(triplets: DataFrame, repairs: DataFrame | None = None, topics: li
     """Topics in their normal form and repaired; with accepted topics, other triplets go."""
     out = triplets.withColumn("topic", T.topic_name(F.col("topic"))).withColumn("sentiment", F.lower(F.trim("sentiment")))
     if repairs is not None:
-        out = out.join(F.broadcast(repairs.select(F.col("wrong_topic").alias("_w"), F.col("topic").alias("_r"))), F.col("topic") == F.col("_w"), "left")
+        out = out.join(repairs.select(F.col("wrong_topic").alias("_w"), F.col("topic").alias("_r")), F.col("topic") == F.col("_w"), "left")
         out = out.withColumn("topic", F.coalesce("_r", "topic")).drop("_w", "_r")
     if topics is not None:
         out = out.filter(F.col("topic").isin(topics))
@@ -84,7 +84,7 @@ def with_ids(triplets: DataFrame, vocabulary: DataFrame, topics: DataFrame | Non
     joined = triplets.join(known, ["statement", "topic", "sentiment"])
     topic_id = F.lit(None).cast("int")
     if topics is not None:
-        joined, topic_id = joined.join(F.broadcast(topics.select("topic", "topic_id")), "topic", "left"), F.col("topic_id")
+        joined, topic_id = joined.join(topics.select("topic", "topic_id"), "topic", "left"), F.col("topic_id")
     rows = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sid", topic_id.alias("tid"), T.sentiment_number(F.col("sentiment")).alias("sent")))).alias("_l"))
     pick = lambda f: F.transform("_l", lambda x: x[f])
     return rows.select(key, pick("sid").alias("statement_ids"), pick("tid").alias("topic_ids"), pick("sent").alias("sentiments"))
