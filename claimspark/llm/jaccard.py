@@ -28,7 +28,7 @@ PERCENT = 75
 #: Bytes of fingerprints that a bucket gets, about.
 BUCKET_BYTES = 6 << 20
 #: Members of a region that one task joins.
-REGION = 1000
+REGION = 4000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
