@@ -108,13 +108,14 @@ def without_hubs(edges: DataFrame, most: int, preserve: DataFrame | None = None)
     return edges.join(hubs, edges.src == hubs.id, "left_anti").join(hubs, edges.dst == hubs.id, "left_anti")
 
 
-def k_core(edges: DataFrame, k: int, preserve: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
+def k_core(edges: DataFrame, k: int, preserve: DataFrame | None = None) -> DataFrame:
     """The edges left after nodes of degree under k have been removed again and again.
 
-    edges hold both directions. If nothing is left the input comes back.
+    edges hold both directions. Rounds go on until no node is removed. If nothing is left the
+    input comes back.
     """
     left = _written(edges, "core")
-    for _ in range(most_rounds):
+    while True:
         weak = degrees(left, "src").filter(F.col("degree") < k).select("id")
         if preserve is not None:
             weak = weak.join(preserve.select("id"), "id", "left_anti")
