@@ -31,9 +31,11 @@ STOP_WORDS = frozenset(
     te una uno y ya""".split()
 )
 
-_SKIPPED = r"script|style|head|noscript|template|iframe|svg|canvas|object|select|textarea|math|audio|video|datalist"
+#: Elements skipped with what they hold. What is left of a head then has no text, so a missing </head> loses nothing.
+_SKIPPED = frozenset("script style title noscript template iframe svg canvas object select textarea math audio video datalist".split())
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
@@ -89,6 +91,15 @@ def blocks_of(page: str) -> list[Block]:
     linked = False
     current: Block | None = None
     at = 0
+    endless: set[str] = set()  # skipped elements without an end tag in the rest of the page
+
+    def skipped_until(tag: str, start: int) -> int:
+        """Where a skipped element ends; one without an end tag ends at once, but for scripts and styles."""
+        m = None if tag in endless else _END[tag].search(page, start)
+        if m:
+            return m.end()
+        endless.add(tag)
+        return len(page) if tag in ("script", "style") else start
 
     def text_until(end: int) -> None:
         nonlocal current
@@ -108,13 +119,17 @@ def blocks_of(page: str) -> list[Block]:
                 blocks.append(current)
         current = None
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text_until(m.start())
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         ends, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
+        if tag in _SKIPPED:
+            if not ends and not (tag in ("svg", "math") and attrs.endswith("/")):
+                at = skipped_until(tag, at)
+            continue
         block = tag in _BLOCKS
         if block:
             flush()
@@ -153,11 +168,11 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def decide(block: Block, has_article: bool, long: int, medium: int, link_max: float, stops_low: float, stops_high: float) -> bool | None:
+def decide(block: Block, long: int, medium: int, link_max: float, stops_low: float, stops_high: float) -> bool | None:
     """The first pass; None leaves the block open."""
     size = len(block.text)
     links = block.linked / size
-    if block.refused or has_article and not block.article:
+    if block.refused:
         return False
     if links > link_max and (not block.article or block.listed and links > 0.9):
         return False
@@ -167,7 +182,7 @@ def decide(block: Block, has_article: bool, long: int, medium: int, link_max: fl
         return None
     if stops >= stops_high or block.article and (stops >= stops_low or size >= long):
         return True
-    return None if stops >= stops_low or block.article else False
+    return None
 
 
 def _nearest(blocks: list[Block]) -> list[bool | None]:
@@ -189,9 +204,14 @@ def main_text(
 ) -> str:
     """The main text of a page: its good blocks joined by line feeds."""
     blocks = blocks_of(page or "")
-    has_article = any(b.article and not b.refused for b in blocks)
-    for b in blocks:
-        b.good = decide(b, has_article, long, medium, link_max, stops_low, stops_high)
+    first = [decide(b, long, medium, link_max, stops_low, stops_high) for b in blocks]
+    if not any(first):  # a language without known stop words: length and links decide
+        first = [True if good is None and len(b.text) >= medium else good for b, good in zip(blocks, first, strict=True)]
+    # articles hold the main text unless more of it is outside, as beside teasers
+    inside, outside = (sum(len(b.text) for b, good in zip(blocks, first, strict=True) if good and bool(b.article) == x) for x in (True, False))
+    has_article = inside >= outside and any(b.article and not b.refused for b in blocks)
+    for b, good in zip(blocks, first, strict=True):
+        b.good = False if has_article and not b.article else good
     before, after = _nearest(blocks), _nearest(blocks[::-1])[::-1]
     for b, labels in zip(blocks, zip(before, after, strict=True), strict=True):
         if b.good is None:

@@ -41,3 +41,33 @@ def test_rows_stay(spark):
 def test_long_broken_markup_ends():
     assert html_text.main_text("<" * 5000 + "<a href='" * 2000) is not None
     assert len(html_text.main_text("<p>word " * 20000)) > 50000
+
+
+MAIN = "It was a long day for the people of the town, and all of them had to wait in the rain for the bus that was late."
+POLISH = "Wczoraj wieczorem mieszkańcy miasteczka zebrali się na rynku, żeby wspólnie obejrzeć pokaz sztucznych ogni nad rzeką."
+NAV = "<nav><a href='/'>Home</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<head><title>x</title><meta charset=utf-8><style>p {{}}</style><body><article><p>{MAIN}</p></article>",
+        f"<body><article><svg viewBox='0 0 1 1'/><p>{MAIN}</p></article>",
+        f"<body><article><select><p>{MAIN}</p></article>",
+    ],
+)
+def test_elements_without_end_tag_lose_nothing(page):
+    assert html_text.main_text(page) == MAIN
+
+
+def test_open_script_is_skipped_to_the_end():
+    assert html_text.main_text(f"<p>{MAIN}</p><script>var a = '<p>{MAIN}</p>'") == MAIN
+
+
+@pytest.mark.parametrize("teaser", ["", "<article><h3>More news</h3></article>"])
+def test_other_languages_without_article(teaser):
+    assert html_text.main_text(f"<body>{NAV}<div><p>{POLISH}</p></div>{teaser}<footer>Stopka</footer>").startswith(POLISH)
+
+
+def test_teaser_article_does_not_replace_the_main_text():
+    assert MAIN in html_text.main_text(f"<body>{NAV}<div><p>{MAIN}</p></div><article><h3>More news</h3></article>")
