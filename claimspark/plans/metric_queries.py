@@ -320,7 +320,12 @@ _EDGES = "e AS (SELECT DISTINCT user_id AS src, item_id + 100000 AS dst FROM i W
 
 
 def _edges(spark, sf_dir):
-    return interactions(spark, sf_dir).filter("row_id % 4 = 0").select(F.col("user_id").alias("src"), (F.col("item_id") + 100000).alias("dst")).distinct()
+    """The quarter of the interactions that _EDGES takes."""
+    return _edges_of(interactions(spark, sf_dir).filter("row_id % 4 = 0"))
+
+
+def _edges_of(rows):
+    return rows.select(F.col("user_id").alias("src"), (F.col("item_id") + 100000).alias("dst")).distinct()
 
 
 @query(f"WITH {INTERACTIONS}, {_EDGES} SELECT b.src, b.dst, round(1 / sqrt(x.degree * y.degree), 6) AS weight FROM b JOIN d x ON x.id = b.src JOIN d y ON y.id = b.dst")
@@ -347,7 +352,7 @@ def edges_without_hubs(spark, sf_dir):
 
 @query()
 def core_edges(spark, sf_dir):
-    return graph.k_core(graph.undirected(_edges(spark, sf_dir)), 16)
+    return graph.k_core(graph.undirected(_edges_of(interactions(spark, sf_dir))), 16)
 
 
 def _some_pairs(spark, sf_dir):
