@@ -27,7 +27,8 @@ def negative_items(positives: DataFrame, items: DataFrame, draws: int = 8, seed:
     """row_id, user_id, item_id, negative_id: an item the user has not, drawn by digest.
 
     Items are numbered; `draws` numbers are drawn for each row and the first that is no positive
-    is kept. Rows whose draws are all positives get null instead of a loop.
+    is kept. A row whose draws are all positives gets one of the items its user has not by its
+    rank among them; only users who have every item get null.
     """
     pool = numbered(items.select(F.col("item_id").alias("_item")).distinct(), ["_item"], "_no")
     n = F.broadcast(pool.agg(F.count("*").alias("_n")))
@@ -36,13 +37,24 @@ def negative_items(positives: DataFrame, items: DataFrame, draws: int = 8, seed:
     drawn = tries.withColumn("_no", number).join(pool, "_no")
     known = positives.select("user_id", F.col("item_id").alias("_item")).distinct()
     kept = drawn.join(known, ["user_id", "_item"], "left_anti").groupBy("row_id").agg(F.min_by("_item", "_try").alias("negative_id"))
-    return positives.select("row_id", "user_id", "item_id").join(kept, "row_id", "left")
+    rows = positives.select("row_id", "user_id", "item_id").join(kept, "row_id", "left")
+    had = known.join(pool, "_item").withColumn("_at", F.row_number().over(Window.partitionBy("user_id").orderBy("_no")) - 1)
+    gaps = had.select("user_id", (F.col("_no") - F.col("_at")).alias("_v"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"))
+    free = had.groupBy("user_id").agg(F.count("*").alias("_had")).crossJoin(n).select("user_id", (F.col("_n") - F.col("_had")).alias("_free")).filter("_free > 0")
+    rest = rows.filter(F.col("negative_id").isNull()).select("row_id", "user_id").join(free, "user_id")
+    asked = rest.select("user_id", F.pmod(F.xxhash64(F.lit(seed), "row_id", F.lit(0)), F.col("_free")).alias("_v"), "row_id")
+    # the v-th item that a user has not is number v + how many had ones stand before it
+    w = Window.partitionBy("user_id").orderBy("_v", F.col("row_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = gaps.unionByName(asked).withColumn("_no", F.col("_v") + F.count_if(F.col("row_id").isNull()).over(w)).filter(F.col("row_id").isNotNull())
+    late = ranked.join(pool, "_no").groupBy("row_id").agg(F.min("_item").alias("_late"))
+    return rows.join(late, "row_id", "left").select("row_id", "user_id", "item_id", F.coalesce("negative_id", "_late").alias("negative_id"))
 
 
 def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor: int = 4, seed: int = 0) -> DataFrame:
-    """As many user-item pairs without an edge as there are edges, if enough are drawn.
+    """As many user-item pairs without an edge as there are edges, or all where there are fewer.
 
-    Pairs are drawn by digest, `factor` for each edge; the complement of the graph is never made.
+    Pairs are drawn by digest, `factor` for each edge. Where these are too few, others are taken
+    by evenly spread ranks among the pairs left; the complement of the graph is never made.
     """
     u, i = numbered(users.select("user_id").distinct(), ["user_id"], "_u"), numbered(items.select("item_id").distinct(), ["item_id"], "_i")
     sizes = edges.select("user_id", "item_id").distinct()
@@ -51,6 +63,21 @@ def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor:
     draw = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.lit(seed), "user_id", "item_id", "_try"), F.col(n))
     drawn = tries.select(draw("u", "_nu").alias("_u"), draw("i", "_ni").alias("_i"), "_e").distinct()
     pairs = drawn.join(u, "_u").join(i, "_i").join(sizes, ["user_id", "item_id"], "left_anti")
+    size = counts.first()
+    known = sizes.join(u, "user_id").join(i, "item_id").select("_u", "_i")
+    taken = known.unionByName(pairs.select("_u", "_i")).select((F.col("_u") * F.lit(size._ni) + F.col("_i")).alias("_v"))
+    n_drawn, left = pairs.count(), size._nu * size._ni - taken.count()
+    short = min(size._e - n_drawn, left)
+    if short > 0:
+        gaps = numbered(taken, ["_v"], "_at").select((F.col("_v") - F.col("_at")).alias("_v"), F.lit(-1).cast("long").alias("_k"))
+        # rank k * left // short, in parts that do not overflow
+        spread = F.expr(f"id * {left // short} + cast(id as decimal(19, 0)) * {left % short} div {short}")
+        asked = edges.sparkSession.range(short).select(spread.alias("_v"), F.col("id").alias("_k"))
+        # of the rows before the k-th rank, k are ranks and the others taken pairs
+        placed = numbered(gaps.unionByName(asked), ["_v", "_k"], "_at").filter("_k >= 0")
+        free = placed.select((F.col("_v") + F.col("_at") - F.col("_k")).alias("_v"))
+        more = free.select(F.expr(f"_v div {size._ni}").alias("_u"), F.expr(f"_v % {size._ni}").alias("_i"), F.lit(size._e).alias("_e"))
+        pairs = pairs.select("user_id", "item_id", "_e").unionByName(more.join(u, "_u").join(i, "_i").select("user_id", "item_id", "_e"))
     placed = numbered(pairs.withColumn("_o", _digest(F.col("user_id"), F.col("item_id"), seed)), ["_o", "user_id", "item_id"], "_at")
     return placed.filter(F.col("_at") < F.col("_e")).select("user_id", "item_id")
 
