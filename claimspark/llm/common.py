@@ -14,12 +14,21 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a folder of its own only where that is unset."""
+    """A new folder under spark.checkpoint.dir."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="claimspark-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _own_dir:
+            _own_dir[app] = tempfile.mkdtemp(prefix="claimspark-")
+        base = _own_dir[app]
+    return base.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ buckets of a hash and back.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,34 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a group, at most.
-GROUP_ROWS = 2000
+#: Rows of a group, at most, and bytes of a text up to which so many make a group. Texts up to
+#: twice, four times ... as long make groups of a half, a quarter ... of the rows, so that a
+#: group has GROUP_ROWS * PLAIN_BYTES bytes at most, or a single text.
+GROUP_ROWS, PLAIN_BYTES = 2000, 16 << 10
 
 
 def working_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(part, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle."""
+    """(part, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle.
+
+    Groups are of neighbouring rows of one partition and one tier of length, so that their bytes
+    are bounded. The catalog names the table only until its files have been found.
+    """
     spark = docs.sparkSession
     at = F.monotonically_increasing_id()
-    part = F.shiftright(at, 33) * F.lit(1 << 22) + F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / GROUP_ROWS)
+    tier = F.least(F.lit(GROUP_ROWS.bit_length()), F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / PLAIN_BYTES)))).cast("int")
+    rows_of_tier = F.element_at(F.array(*[F.lit(max(1, GROUP_ROWS >> t)) for t in range(GROUP_ROWS.bit_length() + 1)]), F.col("tier") + 1)
+    place = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / rows_of_tier)
+    part = F.shiftright("at", 33) * F.lit(1 << 37) + F.col("tier") * F.lit(1 << 33) + place
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).select(part.cast("long").alias("part"), "*")
+    texts = docs.select(at.alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).withColumn("tier", tier)
+    rows = texts.select(part.cast("long").alias("part"), "*").drop("at", "tier")
     name = f"claimspark_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.shared_dir(spark, "texts")
     rows.write.bucketBy(buckets, "part").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return table
 
 
 def total_bytes(table: DataFrame) -> int:
@@ -52,13 +65,15 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def chunks(starts: np.ndarray, most: int = 1 << 20):
-    """Ranges of documents (first, after last) with about `most` bytes; a longer document is alone."""
+def chunks(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of documents (first, after last) of `most` bytes at most; a longer document is alone."""
     first = 0
-    for i in range(1, len(starts)):
-        if starts[i] - starts[first] >= most or i == len(starts) - 1:
+    for i in range(len(starts) - 1):
+        if i > first and starts[i + 1] - starts[first] > most:
             yield first, i
             first = i
+    if len(starts) > 1:
+        yield first, len(starts) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 In that space almost all distances are 1, so pivots alone divide nothing. Two exact steps come
 first: documents too many of whose shingles occur nowhere else have no partner and leave; the
-others meet where their rarest shingles, of which partners must share one, meet. Inside such a
-region pivots are chosen. Documents within the join distance of a pivot form its cell; those up to
-twice that far are its boundary, replicated to the cell and compared with the members that the
-triangle inequality leaves (|d(x, p) - d(y, p)| <= distance). What is outside the cell is joined
-again with new pivots, until nothing is left. Large regions do this as Spark rounds, small ones
-within a task.
+others meet where the rarest shingles of the smaller and of the larger of two sets, of which
+partners must share one, meet. What is connected so is a region.
+
+A region too large for one task takes Spark rounds. In each, a hash chooses many pivots, and
+each member is assigned to its nearest one: the Voronoi cell, where pivots that are linked with
+each other share a cell. Members that may have partners in another cell, by the triangle
+inequality, are replicated to it. Cells are joined in the same way, so that rounds grow with
+the logarithm of the region. A cell that pivots do not divide (its members are all about
+equally far from each other) is joined by squares of blocks of its members, a task each.
+Members known to be connected already are never compared with each other.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ WORDS = 5
 PERCENT = 75
 #: Bytes of fingerprints that a bucket gets, about.
 BUCKET_BYTES = 6 << 20
-#: Members of a region that one task joins.
-REGION = 4000
+#: Load of a region that one task joins: a member counts 1, and 1 more for each so many shingles.
+REGION, SHINGLES = 1000, 2000
+#: Pivots of a region in a round, about.
+PIVOTS = 64
+#: Large regions up to which their names and loads are broadcast (some 10 MB); more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,33 +53,50 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out[:n]
 
 
+def _pieces(raw: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` bytes that end at white space."""
+    a = 0
+    while a < len(raw):
+        b = a + most
+        while b < len(raw) and not _BLANK[raw[b]]:
+            blanks = np.flatnonzero(_BLANK[raw[b : b + 4096]])
+            b += int(blanks[0]) if len(blanks) else 4096
+        yield a, min(b, len(raw))
+        a = b
+
+
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each word; no word crosses the documents' bounds."""
+    word = ~_BLANK[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begins = bounds[:-1][np.diff(bounds) > 0]
+    first[begins] = word[begins]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    at, to = np.flatnonzero(first), np.flatnonzero(last) + 1
+    total = np.cumsum(np.append(np.uint64(0), groups.BYTE[_LOWER[raw]] * _powers(len(raw), _POWER)), dtype=np.uint64)
+    h = (total[to] - total[at]) * _powers(len(raw), pow(_POWER, -1, 1 << 64))[at]
+    return groups.mix(h + (to - at).astype(np.uint64)), np.searchsorted(bounds, at, side="right") - 1
+
+
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(document, 64-bit hash) of every distinct shingle, ordered by both.
 
     Words are runs of bytes other than ASCII white space, lower-cased in A-Z. A document of
-    fewer words has its whole sequence as one shingle; one without words has none.
+    fewer words has its whole sequence as one shingle; one without words has none. Long
+    documents are taken piece by piece.
     """
     docs, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for a, b in groups.chunks(starts):
         raw, bounds = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-        n = len(raw)
-        if not n:
-            continue
-        word = ~_BLANK[raw]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        begins = bounds[:-1][np.diff(bounds) > 0]
-        first[begins] = word[begins]
-        last = word.copy()
-        last[:-1] &= ~word[1:] | first[1:]
-        at, to = np.flatnonzero(first), np.flatnonzero(last) + 1
-        if not len(at):
+        if b == a + 1:
+            parts = [_words(raw[i:j], np.array([0, j - i])) for i, j in _pieces(raw)]
+        else:
+            parts = [_words(raw, bounds)] if len(raw) else []
+        if not any(len(p[0]) for p in parts):
             continue
-        power = _powers(n, _POWER)
-        total = np.cumsum(np.append(np.uint64(0), groups.BYTE[_LOWER[raw]] * power), dtype=np.uint64)
-        h = (total[to] - total[at]) * _powers(n, pow(_POWER, -1, 1 << 64))[at]
-        h = groups.mix(h + (to - at).astype(np.uint64))
-        owner = np.searchsorted(bounds, at, side="right") - 1
+        h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
         count = np.bincount(owner, minlength=b - a)
         whole = len(h) - words + 1
         if whole > 0:
@@ -82,11 +107,11 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tu
             docs.append(owner[:whole][same] + a)
             hashes.append(groups.mix(s[same]))
         for d in np.flatnonzero((count > 0) & (count < words)):
-            s = np.uint64(int(count[d]))
+            s = count[d : d + 1].astype(np.uint64)
             for x in h[np.searchsorted(owner, d) : np.searchsorted(owner, d, side="right")]:
-                s = groups.mix(np.array([s], np.uint64))[0] + x
+                s = groups.mix(s) + x  # an array, so that it wraps round as intended
             docs.append(np.array([d + a]))
-            hashes.append(groups.mix(np.array([s], np.uint64)))
+            hashes.append(groups.mix(s))
     doc, h = np.concatenate(docs), np.concatenate(hashes)
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -162,14 +187,44 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, shingles binary, anchors array<long>"
+def overlap(a: int, b: int, percent: int) -> int:
+    """The least size of the intersection of linked sets of sizes a and b."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def size_classes(n: int, percent: int) -> np.ndarray:
+    """Least sizes of classes up to one that holds n: the smaller of two linked sets is in the larger one's class or the one before."""
+    bounds = [1, 2]
+    while bounds[-1] <= n:
+        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
+    return np.array(bounds)
+
+
+def meeting_keys(shingles: np.ndarray, n: int, alone: int, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (shingle, class of the smaller set) under which a set looks for smaller ones, and lies as the smaller one.
+
+    `shingles` are the first prefix_length of the set's n, rarest first; the first `alone` are in no other set.
+    Every smaller partner shares a shingle that is among the first n - overlap + 1 of both.
+    """
+    c = int(np.searchsorted(bounds, n, side="right")) - 1
+    least = -(-n * percent // 100)
+    wide = []
+    for k in (c, c - 1):
+        if k >= 0 and (k == c or int(bounds[c]) - 1 >= least):
+            top = n - overlap(n, max(int(bounds[k]), least), percent) + 1
+            wide.append(groups.mix(shingles[alone:top] + np.uint64(k)))
+    own = groups.mix(shingles[alone : n - overlap(n, n, percent) + 1] + np.uint64(c))
+    return np.concatenate(wide), own
+
+
+_SETS = "doc_id long, n_shingles long, digest binary, shingles binary, wide array<long>, own array<long>"
 
 
 def _survivors(words: int, buckets: int, percent: int):
     """Every document with its set's size and digest; once a group, the sets that may have partners."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"n_shingles": [], "digest": [], "shingles": [], "anchors": []}
+        out: dict[str, list] = {"n_shingles": [], "digest": [], "shingles": [], "wide": [], "own": []}
         ids = docs.column("doc_id") if docs.num_rows else pa.array([], pa.int64())
         if docs.num_rows:
             data, starts = groups.texts_of(docs)
@@ -184,6 +239,7 @@ def _survivors(words: int, buckets: int, percent: int):
             mine = level[np.searchsorted(distinct, keys)] if len(keys) else level
             shared = np.bincount(doc, weights=mine > 0, minlength=len(size)).astype(np.int64)
             cuts = np.searchsorted(doc, np.arange(len(size) + 1))
+            bounds = size_classes(int(size.max()), percent)
             for d in range(len(size)):
                 n = int(size[d])
                 most = prefix_length(n, percent)
@@ -192,13 +248,14 @@ def _survivors(words: int, buckets: int, percent: int):
                 out["digest"].append(digest[d].tobytes() if n else None)
                 if only[d] and alone < most:
                     s, lv = h[cuts[d] : cuts[d + 1]], mine[cuts[d] : cuts[d + 1]]
-                    rarest = np.lexsort((s, lv))[alone:most]
+                    wide, own = meeting_keys(s[np.lexsort((s, lv))[:most]], n, alone, bounds, percent)
                     out["shingles"].append(s.tobytes())
-                    out["anchors"].append(s[rarest].view(np.int64))
+                    out["wide"].append(wide.view(np.int64))
+                    out["own"].append(own.view(np.int64))
                 else:
-                    out["shingles"].append(None)
-                    out["anchors"].append(None)
-        types = {"n_shingles": pa.int64(), "anchors": pa.list_(pa.int64())}
+                    for name in ("shingles", "wide", "own"):
+                        out[name].append(None)
+        types = {"n_shingles": pa.int64(), "wide": pa.list_(pa.int64()), "own": pa.list_(pa.int64())}
         return pa.table({"doc_id": ids} | {c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
 
     return run
@@ -209,14 +266,21 @@ def _links(inter: np.ndarray, a, b, percent: int) -> np.ndarray:
 
 
 class Region:
-    """Sets of a region, and their links to each other as a forest."""
+    """Sets of a region, the sets that hold each shingle, and the links between sets as a forest."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+    def __init__(self, sets: list[np.ndarray], percent: int, known: list[str | None] | None = None) -> None:
         self.percent = percent
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.bounds = np.cumsum(np.append(0, self.size))
+        _, self.shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[np.argsort(self.shingle, kind="stable")]
+        self.count = np.bincount(self.shingle)
+        self.start = np.cumsum(np.append(0, self.count))
         self.root = np.arange(len(sets))
+        first: dict[str, int] = {}
+        for i, name in enumerate(known or []):  # members of one name are connected already
+            if name is not None:
+                self.union(first.setdefault(name, i), i)
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -228,16 +292,19 @@ class Region:
         a, b = self.find(i), self.find(j)
         self.root[max(a, b)] = min(a, b)
 
-    def shared_with(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of the pivot's set with others'."""
-        mine = self.flat[self.bounds[pivot] : self.bounds[pivot + 1]]
-        n = self.size[others]
-        heads = np.cumsum(np.append(0, n))
-        at = np.repeat(self.bounds[others] - heads[:-1], n) + np.arange(heads[-1])
-        theirs = self.flat[at]
-        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-        hits = np.cumsum(np.append(0, mine[place] == theirs))
-        return hits[heads[1:]] - hits[heads[:-1]]
+    def shared_with(self, i: int) -> np.ndarray:
+        """Sizes of the intersections of i's set with every set."""
+        mine = self.shingle[self.bounds[i] : self.bounds[i + 1]]
+        n = self.count[mine]
+        heads = np.cumsum(n) - n
+        at = np.repeat(self.start[mine] - heads, n) + np.arange(n.sum())
+        return np.bincount(self.holders[at], minlength=len(self.size))
+
+    def linked(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the others link with i, and the distances."""
+        inter = self.shared_with(i)[others]
+        either = self.size[others] + self.size[i] - inter
+        return 100 * inter >= self.percent * either, 1 - inter / either
 
     def join(self) -> np.ndarray:
         """The smallest member that links lead to, for every member."""
@@ -245,9 +312,7 @@ class Region:
         left = np.arange(len(self.size))
         while len(left) > 1:
             pivot, left = left[0], left[1:]
-            inter = self.shared_with(pivot, left)
-            distance = 1 - inter / (self.size[left] + self.size[pivot] - inter)
-            near = _links(inter, self.size[left], self.size[pivot], self.percent)
+            near, distance = self.linked(pivot, left)
             cell, far = left[near], distance[near]
             for i in cell.tolist():
                 self.union(pivot, i)
@@ -257,89 +322,141 @@ class Region:
                 if self.find(y) == self.find(pivot):
                     continue  # one link to the cell is enough: all of the cell is one component
                 window = cell[far >= d - reach - 1e-9]
-                for i in range(0, len(window), 64):
-                    some = window[i : i + 64]
-                    if _links(self.shared_with(y, some), self.size[some], self.size[y], self.percent).any():
-                        self.union(pivot, y)
-                        break
+                if len(window) and self.linked(y, window)[0].any():
+                    self.union(pivot, y)
             left = outside
         return np.array([self.find(i) for i in range(len(self.size))], np.int64)
 
+    def join_sides(self, side: np.ndarray) -> np.ndarray:
+        """As join, but only links between the two sides count."""
+        others = np.flatnonzero(side)
+        for i in np.flatnonzero(~side).tolist():
+            for j in others[self.linked(i, others)[0]].tolist():
+                self.union(i, j)
+        return np.array([self.find(i) for i in range(len(self.size))], np.int64)
+
 
 def _join_region(percent: int):
+    """Edges of a forest of a region's links; where there are slots, of a square of two blocks."""
+
     def run(table: pa.Table) -> pa.Table:
         digests = groups.column(table, "digest")
+        if len(digests) == 1:
+            return pa.table({"a": pa.array(digests, pa.binary()), "b": pa.array(digests, pa.binary())})
         order = sorted(range(len(digests)), key=lambda i: digests[i])
-        sets = [np.frombuffer(s, np.uint64) for s in groups.column(table, "shingles")]
-        root = Region([sets[i] for i in order], percent).join()
+        sets, known = groups.column(table, "shingles"), groups.column(table, "known")
+        region = Region([np.frombuffer(sets[i], np.uint64) for i in order], percent, [known[i] for i in order])
+        side = None
+        if "slot" in table.column_names and table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            side = (table.column("slot").to_numpy() == table.column("j")[0].as_py())[order]
+        root = region.join() if side is None else region.join_sides(side)
         names = [digests[i] for i in order]
         return pa.table({"a": pa.array(names, pa.binary()), "b": pa.array([names[r] for r in root], pa.binary())})
 
     return run
 
 
-_ROLES = "region string, digest binary, shingles binary, active boolean"
+_CELLS = "region string, digest binary, shingles binary, known string, load double, before double, distance double, nearest double, home boolean, a binary, b binary"
 
 
-def _pivot_round(percent: int):
-    """Distance to the region's pivot: link, boundary or outside."""
+def _assign(percent: int):
+    """A chunk of a region's members by its pivots: links to pivots, and a row for each cell where a member has its home or may have partners."""
+    reach = 1 - percent / 100
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
-            inter, union = [], []
-            for s, p in zip(part.column("shingles").to_pylist(), part.column("pivot_set").to_pylist(), strict=True):
-                a, b = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
-                i = len(np.intersect1d(a, b, assume_unique=True))
-                inter.append(i)
-                union.append(len(a) + len(b) - i)
-            names = ["region", "digest", "shingles", "active", "pivot"]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in names), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=[*names, "inter", "both"]
-            )
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        out: dict[str, list] = {n.split()[0]: [] for n in _CELLS.split(", ")}
+
+        def row(**values) -> None:
+            for name, column in out.items():
+                column.append(values.get(name))
+
+        if members.num_rows:
+            region = members.column("region")[0].as_py()
+            by_name = dict(sorted(zip(groups.column(pivots, "pivot"), groups.column(pivots, "pivot_set"), strict=True)))
+            names = list(by_name)
+            centres = [np.frombuffer(x, np.uint64) for x in by_name.values()]
+            between = Region(centres, percent)
+            for i in range(len(centres)):
+                for j in np.flatnonzero(between.linked(i, np.arange(len(centres)))[0]).tolist():
+                    between.union(i, j)
+            heads, cell_of = np.unique([between.find(i) for i in range(len(centres))], return_inverse=True)
+            for i, c in enumerate(cell_of.tolist()):
+                if i != heads[c]:
+                    row(a=names[i], b=names[heads[c]])
+            flat = np.concatenate(centres)
+            order = np.argsort(flat, kind="stable")
+            ranked, owner = flat[order], np.repeat(np.arange(len(centres)), [len(x) for x in centres])[order]
+            sizes = np.array([len(x) for x in centres])
+            for digest, packed, known, load in zip(*(groups.column(members, c) for c in ("digest", "shingles", "known", "load")), strict=True):
+                mine = np.frombuffer(packed, np.uint64)
+                left, right = np.searchsorted(ranked, mine), np.searchsorted(ranked, mine, side="right")
+                n = right - left
+                at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                inter = np.bincount(owner[at], minlength=len(centres))
+                either = sizes + len(mine) - inter
+                near, distance = 100 * inter >= percent * either, 1 - inter / either
+                away, met = np.full(len(heads), 2.0), np.full(len(heads), -1)
+                np.minimum.at(away, cell_of, distance)
+                met[cell_of[near]] = np.flatnonzero(near)
+                for p in met[met >= 0].tolist():
+                    if names[p] != digest:
+                        row(a=digest, b=names[p])
+                home = int(np.argmin(away))
+                for c in np.flatnonzero(away[: home + 1] <= away[home] + 2 * reach + 1e-9).tolist():
+                    cell = f"{region}.{names[heads[c]].hex()}"
+                    row(region=cell, digest=digest, shingles=packed, known=cell if met[c] >= 0 else known, load=load, before=members.column("total")[0].as_py(), distance=float(away[c]), nearest=float(away[home]), home=c == home)
+        types = {"region": pa.string(), "known": pa.string(), "load": pa.float64(), "before": pa.float64(), "distance": pa.float64(), "nearest": pa.float64(), "home": pa.bool_()}
+        return pa.table({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
 
     return run
 
 
-def _pairs_of(regions: DataFrame, percent: int, most: int) -> DataFrame:
-    """Edges (a, b) that connect what links connect. Regions over `most` members first take pivot rounds."""
-    spark = regions.sparkSession
+def _squares(hard: DataFrame, percent: int, most: float) -> DataFrame:
+    """Links of regions that pivots do not divide: every two blocks of a region meet in a task."""
+    slots = F.ceil(F.col("total") / most).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda k: F.struct(F.least(k, F.col("slot")).alias("i"), F.greatest(k, F.col("slot")).alias("j")))
+    blocks = hard.withColumn("slots", slots).withColumn("slot", F.pmod(F.xxhash64("digest"), F.col("slots")).cast("int"))
+    return blocks.select("region", "digest", "shingles", "known", "slot", F.inline(meets)).groupBy("region", "i", "j").applyInArrow(_join_region(percent), "a binary, b binary")
+
+
+def _pairs_of(regions: DataFrame, percent: int, most: float, pivots: int) -> DataFrame:
+    """Edges (a, b) that connect what links connect. Regions of a load over `most` first take pivot rounds."""
     found: list[DataFrame] = []
-    rest = common.materialize(regions.select("region", "digest", "shingles", F.lit(True).alias("active")), "regions")
+    load = 1 + F.octet_length("shingles") / (8 * SHINGLES)
+    rest = common.materialize(regions.select("region", "digest", "shingles", F.lit(None).cast("string").alias("known"), load.alias("load"), F.lit(None).cast("double").alias("before")), "regions")
     reach = 1 - percent / 100
     while True:
-        sizes = rest.groupBy("region").agg(F.count("*").alias("members"), F.max("active").alias("open")).filter("open and members > 1")
-        sized = rest.join(sizes, "region")
-        small = sized.filter(F.col("members") <= most)
-        found.append(small.groupBy("region").applyInArrow(_join_region(percent), "a binary, b binary"))
-        large = sized.filter(F.col("members") > most).drop("members", "open")
-        pivots = large.filter("active").groupBy("region").agg(F.min("digest").alias("pivot"))
-        pivots = common.materialize(
-            pivots.join(large.select(F.col("region").alias("r"), "digest", F.col("shingles").alias("pivot_set")), (F.col("region") == F.col("r")) & (F.col("pivot") == F.col("digest"))).select("region", "pivot", "pivot_set"),
-            "pivots",
-        )
-        if pivots.isEmpty():
+        sizes = rest.groupBy("region").agg(F.sum("load").alias("total"), F.count("*").alias("members"), F.min("digest").alias("least"), F.count("known").alias("named"), F.min("known").alias("one"), F.max("known").alias("other"))
+        over = common.materialize(sizes.filter(F.col("total") > most).select("region", "total", "members", "least", (F.expr("named = members and one = other")).alias("settled")), "large")
+        n_large = over.count()
+        sent = F.broadcast(over) if n_large <= BROADCAST_ROWS else over  # one task must not get a large region only to find its size
+        small = rest.join(sent.select("region"), "region", "left_anti") if n_large else rest
+        found.append(common.materialize(small.groupBy("region").applyInArrow(_join_region(percent), "a binary, b binary").filter("a <> b"), "links"))
+        if not n_large:
             break
-        seen = common.materialize(
-            common.map_batches(large.join(pivots, "region"), _pivot_round(percent), f"{_ROLES}, pivot binary, inter long, both long"), "round"
-        )
-        linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("both")
-        distance = 1 - F.col("inter") / F.col("both")
-        boundary = ~linked & (distance <= 2 * reach + 1e-9)
-        found.append(seen.filter(linked).select(F.col("digest").alias("a"), F.col("pivot").alias("b")))
-        outside = seen.filter(~linked).select(F.concat("region", F.lit("o")).alias("region"), "digest", "shingles", "active")
-        nearest = seen.filter(boundary).groupBy("region").agg(F.min(distance).alias("nearest"))
-        edge = F.concat("region", F.lit("b"))
-        members = seen.filter(linked & (F.col("digest") != F.col("pivot"))).join(nearest, "region").filter(distance >= F.col("nearest") - reach - 1e-9)
-        beside = seen.filter(boundary).select(edge.alias("region"), "digest", "shingles", F.lit(True).alias("active"))
-        inside = members.select(edge.alias("region"), "digest", "shingles", F.lit(False).alias("active"))
-        rest = common.materialize(outside.unionByName(beside).unionByName(inside), "regions")
+        large = rest.join(sent, "region").filter(F.expr("not coalesce(settled, false)")).drop("settled")
+        divided = F.coalesce(F.col("total") <= F.col("before") / 2, F.lit(True))
+        found.append(common.materialize(_squares(large.filter(~divided), percent, most).filter("a <> b"), "links"))
+        chunks = F.ceil(F.col("total") / most).cast("int")
+        dealt = large.filter(divided).withColumn("chunk", F.pmod(F.xxhash64("digest"), chunks).cast("int"))
+        chosen = F.pmod(F.xxhash64("region", "digest"), F.col("members")) < pivots
+        picked = large.filter(divided & (chosen | (F.col("digest") == F.col("least"))))
+        picked = common.materialize(picked.select("region", F.col("digest").alias("pivot"), F.col("shingles").alias("pivot_set"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")), "pivots")
+        assigned = common.materialize(dealt.groupBy("region", "chunk").cogroup(picked.groupBy("region", "chunk")).applyInArrow(_assign(percent), _CELLS), "cells")
+        found.append(assigned.filter("a is not null").select("a", "b"))
+        cells = assigned.filter("region is not null").drop("a", "b")
+        # what the triangle inequality leaves: members within reach of the cell's own, its core within reach of others
+        core = F.coalesce(F.col("known") == F.col("region"), F.lit(False))
+        spans = cells.groupBy("region").agg(F.max(F.when(F.col("home"), F.col("distance"))).alias("radius"), F.min(F.when(~core, F.col("distance"))).alias("open"))
+        inside = (F.col("home") | (F.col("distance") <= F.col("radius") + reach + 1e-9)) & (~core | (F.col("distance") >= F.col("open") - reach - 1e-9))
+        rest = common.materialize(cells.join(spans, "region").filter(inside).select("region", "digest", "shingles", "known", "load", "before"), "regions")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return common.materialize(out.filter("a <> b").distinct(), "links")
+    return common.materialize(out.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, region: float = REGION, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links lead to) of every document.
 
     Sets are of 64-bit hashes of shingles. Equal sets link, so repeated rows and exact copies
@@ -356,12 +473,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = common.materialize(prints.groupBy("bucket").applyInArrow(answer_frequencies, "part long, bucket int, levels binary"), "levels")
     sets = common.materialize(table.groupBy("part").cogroup(levels.groupBy("part")).applyInArrow(_survivors(words, buckets, percent), _SETS), "sets")
     open_sets = sets.filter(F.col("shingles").isNotNull())
-    once = common.materialize(open_sets.groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors")), "distinct-sets")
-    anchors = once.select("digest", F.explode("anchors").alias("anchor"))
-    hubs = anchors.groupBy("anchor").agg(F.min("digest").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = anchors.join(hubs, "anchor").filter("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
+    once = common.materialize(open_sets.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("shingles", "wide", "own"))), "distinct-sets")
+    hubs = once.select("digest", F.explode("own").alias("key")).groupBy("key").agg(F.min("digest").alias("hub"))
+    met = once.select("digest", F.explode("wide").alias("key")).join(hubs, "key").filter("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
     regions = groups.components(met).select(F.col("node").alias("digest"), F.hex("component").alias("region"))
-    links = _pairs_of(once.select("digest", "shingles").join(regions, "digest"), percent, region)
+    links = _pairs_of(once.select("digest", "shingles").join(regions, "digest"), percent, region, pivots)
     linked = groups.components(links).select(F.col("node").alias("digest"), "component")
     kept = sets.select("doc_id", "n_shingles", "digest")
     of_set = kept.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"))

@@ -25,11 +25,11 @@ def corpus(seed: int, n: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize(("seed", "region"), [(1, 4000), (2, 3), (3, 8)])
-def test_equals_brute_force(spark, seed, region):
+@pytest.mark.parametrize(("seed", "region", "pivots"), [(1, 1000, 64), (2, 3, 2), (3, 8, 5), (5, 5, 1)])
+def test_equals_brute_force(spark, seed, region, pivots):
     rows = corpus(seed, 150) + [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a B"), (1005, "Äb c"), (1006, "äb c")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, region int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, region=region).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, region=region, pivots=pivots).collect()}
     want = jaccard.brute_force(rows)
     assert got == want
     assert len({c for _, c in want.values()}) < len(rows)
@@ -59,3 +59,54 @@ def test_region_join_equals_all_pairs():
     for _ in sets:
         label = [min(label[j] for j in range(len(sets)) if link[i][j]) for i in range(len(sets))]
     assert got.tolist() == label
+
+
+def test_meeting_keys_lose_no_pair():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = rng.sample(range(1000), rng.randint(1, 60))
+        b = a[: rng.randint(1, len(a))] + rng.sample(range(1000, 2000), rng.randint(0, 6))
+        sets = [np.array(sorted(x), np.uint64) for x in (a, b)]
+        linked = 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b))
+        bounds = jaccard.size_classes(80, 75)
+        (wide_a, own_a), (wide_b, own_b) = (jaccard.meeting_keys(x[: jaccard.prefix_length(len(x), 75)], len(x), 0, bounds, 75) for x in sets)
+        wide, own = (wide_a, own_b) if len(a) >= len(b) else (wide_b, own_a)
+        assert not linked or set(wide.tolist()) & set(own.tolist())
+        assert set(own_a.tolist()) <= set(wide_a.tolist())
+
+
+def templated(n: int) -> list[tuple[int, str]]:
+    """Documents that share most of a template, alike but not linked, with a linked copy of some."""
+    frame = " ".join(f"t{i}" for i in range(60))
+    return [(i, f"{frame} " + " ".join(f"u{i - (i % 50 == 1)}x{k}" for k in range(14)) + " end" * (i % 50 == 1)) for i in range(n)]
+
+
+def test_templated_documents_need_few_rounds(spark, monkeypatch):
+    rounds = []
+    assign = jaccard._assign
+    monkeypatch.setattr(jaccard, "_assign", lambda percent: rounds.append(1) or assign(percent))
+    rows = templated(4000)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), region=200).collect()}
+    assert got == {i: i - (i % 50 == 1) for i, _ in rows}
+    assert len(rounds) <= 3
+
+
+def test_shared_paragraphs_by_squares(spark):
+    rng = random.Random(8)
+    parts = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(16)]
+    rows = [(i, " ".join(rng.sample(parts, 8))) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows[::7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, region=40, pivots=4).collect()}
+    assert got == jaccard.brute_force(rows)
+
+
+def test_long_texts_are_cut_into_pieces_of_whole_words():
+    text = (" ".join(f"w{i % 5000}" for i in range(400000)) + " " + "x" * 3000000 + " a b c").encode()
+    data = np.frombuffer(text, np.uint8)
+    doc, h = jaccard.shingle_sets(data, np.array([0, len(data)]))
+    words = text.decode().split()
+    assert len(h) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    both = np.concatenate([data, np.frombuffer(b"w0 w1 w2 w3 w4 w5", np.uint8)])
+    doc, h2 = jaccard.shingle_sets(both, np.array([0, len(data), len(both)]))
+    assert set(h2[doc == 1].tolist()) <= set(h.tolist())
