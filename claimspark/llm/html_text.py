@@ -2,15 +2,16 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by their place
 (menus, footers, forms and the like are never main text), by link density, stop-word density
-and length; the second lets short blocks that are left open inherit the label of their
-nearest decided neighbours.
+and length; the second lets blocks that are left open inherit the label of their nearest decided
+neighbour: of the nearer one of the two, of the good one where both are as near.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,11 +35,10 @@ STOP_WORDS = frozenset(
 #: Elements skipped with what they hold. What is left of a head then has no text, so a missing </head> loses nothing.
 _SKIPPED = frozenset("script style title noscript template iframe svg canvas object select textarea math audio video datalist".split())
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRS = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Characters of a tag within which quotes are respected; of a longer one the first > is its end.
+LONGEST_TAG = 1 << 16
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label button".split()
@@ -46,12 +46,18 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset("nav footer aside form menu dialog button label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar tablist".split())
+#: Parts of class names and ids that tell what is not main text wherever they stand, and those that do where all other parts are about the frame of a page.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|banner|footer|sidebar|side|widgets?|ads?|adbox|advert\w*|sponsor\w*|promo\w*"
-    r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*"
-    r"|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|copyright|legal|disclaimer|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|masthead|footer|sidebar|widgets?|ads?|adbox|advert\w*|sponsor\w*|promo\w*"
+    r"|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*"
+    r"|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+_WEAK = frozenset("header banner notice notices alert alerts search share sharing social side legal skip".split())
+_FRAME = frozenset(
+    "site page top bottom main global bar box wrap wrapper container link links button buttons btn icon icons list area block inner outer left right "
+    "col column form widget fixed sticky fluid primary secondary media follow to content js id is no the".split()
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
@@ -64,10 +70,23 @@ class Block:
     listed: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    heading: bool = False
     text: str = ""
     good: bool | None = None
 
 
+def _named(value: str, in_article: bool) -> bool:
+    """Whether a class or id names something that is not main text; an article's own header is."""
+    if _NAMED.search(value):
+        return True
+    for name in value.lower().split():
+        parts = set(re.split(r"[_-]+", name)) - {""}
+        weak = parts & _WEAK
+        if weak and not (in_article and weak == {"header"}) and parts <= _WEAK | _FRAME:
+            return True
+    return False
+
+
 def _refused(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _NEVER or tag == "header" and not in_article:
         return True
@@ -78,15 +97,56 @@ def _refused(tag: str, attrs: str, in_article: bool) -> bool:
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NAMED.search(value):
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _named(value, in_article):
             return True
     return False
 
 
+def _tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None, None]:
+    """(start, end, name, whether it ends an element, attributes) of each tag; the name is empty for comments and the like.
+
+    The caller may send a later position to go on from. No part of the page is looked at more
+    than a bounded number of times: beyond the last > nothing is a tag, and quotes are only
+    respected within a bounded length.
+    """
+    at, final = 0, page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > final:
+            return
+        start, following = at, page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(page)
+            name, ends, attrs = "", False, ""
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            at = end + 3 if end >= 0 else len(page)
+            name, ends, attrs = "", False, ""
+        else:
+            ends = following == "/"
+            m = _NAME.match(page, at + 1 + ends)
+            if not m and following not in ("!", "?", "/"):
+                at += 1
+                continue
+            if m:
+                rest = _ATTRS.match(page, m.end(), m.end() + LONGEST_TAG)
+                at = rest.end() if rest else page.find(">", m.end()) + 1
+                name, attrs = m[0].lower(), page[m.end() : at - 1]
+            else:
+                at = page.find(">", at) + 1
+                name, attrs = "", ""
+        moved = yield start, at, name, ends, attrs
+        if moved is not None:
+            at = moved
+            yield start, at, "", False, ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with decoded text and white space turned into one space."""
     blocks: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open block-level or refused elements
+    opened: Counter[str] = Counter()  # how many of the stack's elements have a name
     refused = articles = article = 0
     linked = False
     current: Block | None = None
@@ -105,7 +165,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal current
         if end > at:
             if current is None:
-                current = Block(article if articles else 0, refused > 0, any(t == "li" for t, _ in stack[-3:]))
+                near = [t for t, _ in stack[-3:]]
+                current = Block(article if articles else 0, refused > 0, "li" in near, heading=any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in near))
             piece = html.unescape(page[at:end])
             current.pieces.append(piece)
             if linked:
@@ -119,16 +180,16 @@ def blocks_of(page: str) -> list[Block]:
                 blocks.append(current)
         current = None
 
-    while m := _TOKEN.search(page, at):
-        text_until(m.start())
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+    tags = _tags(page)
+    for start, end, tag, ends, attrs in tags:
+        text_until(start)
+        at = end
         if not tag:
             continue
-        ends, attrs = bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
         if tag in _SKIPPED:
             if not ends and not (tag in ("svg", "math") and attrs.endswith("/")):
                 at = skipped_until(tag, at)
+                tags.send(at)
             continue
         block = tag in _BLOCKS
         if block:
@@ -141,27 +202,31 @@ def blocks_of(page: str) -> list[Block]:
             if current is not None:
                 current.pieces.append(" ")
         elif ends:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
+            if opened[tag]:
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 for t, r in stack[depth:]:
                     refused -= r
+                    opened[t] -= 1
                     articles -= t in ("article", "main")
                 if any(r for _, r in stack[depth:]):
                     flush()
                 del stack[depth:]
         elif tag not in _VOID and not attrs.endswith("/"):
             if tag in ("article", "main"):  # menus and footers that were never closed end here
-                while stack and stack[-1][0] in ("nav", "footer", "header", "ul", "li", "ol") and any(t in ("nav", "footer", "header") for t, _ in stack):
+                while stack and stack[-1][0] in ("nav", "footer", "header", "ul", "li", "ol") and opened["nav"] + opened["footer"] + opened["header"]:
+                    opened[stack[-1][0]] -= 1
                     refused -= stack.pop()[1]
                 articles += 1
                 article += 1
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:
+                opened[tag] -= 1
                 refused -= stack.pop()[1]
             r = _refused(tag, attrs, articles > 0)
             if r and not block:
                 flush()
             if block or r:
                 stack.append((tag, r))
+                opened[tag] += 1
                 refused += r
     text_until(len(page))
     flush()
@@ -185,20 +250,33 @@ def decide(block: Block, long: int, medium: int, link_max: float, stops_low: flo
     return None
 
 
-def _nearest(blocks: list[Block]) -> list[bool | None]:
-    """For each block the label of the last decided one before it, within the same article if it is in one."""
-    last: dict[int, bool] = {}
-    anywhere: bool | None = None
-    out = []
-    for b in blocks:
-        out.append(last.get(b.article) if b.article else anywhere)
+def _nearest(blocks: list[Block]) -> list[tuple[bool, int] | None]:
+    """For each block the label of the last decided one before it, and how many blocks away that is.
+
+    Blocks of an article look within it, past what is refused by its place; others look at all.
+    """
+    last: dict[int, tuple[bool, int]] = {}
+    out: list[tuple[bool, int] | None] = []
+    for at, b in enumerate(blocks):
+        found = last.get(b.article)
+        out.append((found[0], at - found[1]) if found else None)
         if b.good is not None:
-            anywhere = b.good
-            if not b.refused:
-                last[b.article] = b.good
+            last[0] = (b.good, at)
+            if b.article and not b.refused:
+                last[b.article] = (b.good, at)
     return out
 
 
+def inherited(before: tuple[bool, int] | None, after: tuple[bool, int] | None, heading: bool) -> bool:
+    """The second pass: the nearer label; the good one where both are as near; kept where nothing is decided.
+
+    A heading belongs to what follows it.
+    """
+    if before is None or after is None or heading:
+        return (after or before or (True, 0))[0]
+    return before[0] or after[0] if before[1] == after[1] else min(before, after, key=lambda x: x[1])[0]
+
+
 def main_text(
     page: str | None, long: int = 200, medium: int = 70, link_max: float = 0.33, stops_low: float = 0.2, stops_high: float = 0.3
 ) -> str:
@@ -213,10 +291,9 @@ def main_text(
     for b, good in zip(blocks, first, strict=True):
         b.good = False if has_article and not b.article else good
     before, after = _nearest(blocks), _nearest(blocks[::-1])[::-1]
-    for b, labels in zip(blocks, zip(before, after, strict=True), strict=True):
+    for b, x, y in zip(blocks, before, after, strict=True):
         if b.good is None:
-            found = [x for x in labels if x is not None]
-            b.good = any(found) if found else True
+            b.good = inherited(x, y, b.heading)
     return "\n".join(b.text for b in blocks if b.good)
 
 
