@@ -79,3 +79,18 @@ def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], lis
             yield frame.assign(**{output: out})
 
     return df.mapInPandas(run, schema)
+
+
+def score_texts(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]], output: str = "score", batch: int = 64) -> DataFrame:
+    """Adds a score of each text by itself, such as its likelihood under a model."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{output}` double"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            texts, out = frame[text].fillna("").tolist(), []
+            for start in range(0, len(texts), batch):
+                out += [float(x) for x in model(texts[start : start + batch])]
+            yield frame.assign(**{output: out})
+
+    return df.mapInPandas(run, schema)

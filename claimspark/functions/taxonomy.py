@@ -15,11 +15,17 @@ REVIEW_COLUMNS = {
     "summary": "review_title",
 }
 SENTIMENTS = ("positive", "negative", "neutral")
-#: Topics of the toys domain; other domains are given as tables.
-TOY_TOPICS = ("age", "assembly", "battery", "durability", "educational", "engagement", "functionality", "materials", "price", "safety")
+#: The accepted topics of each domain. Repairs of other topics are given as tables.
+TOPICS = {
+    "Toys": ("age", "assembly", "battery", "durability", "educational", "engagement", "functionality", "materials", "price", "safety"),
+    "Clothes": ("appearance", "care", "comfort", "construction", "functionality", "fit", "material", "price", "service", "shipping"),
+    "Beauty": ("color", "compatibility", "efficacy", "ingredients", "longevity", "packaging", "price", "scent", "service", "texture"),
+    "Sports": ("comfort", "durability", "fit", "material", "performance", "portability", "price", "safety", "service", "usability"),
+    "Cell": ("battery", "camera", "display", "durability", "performance", "price", "service", "software", "specs", "usability"),
+}
 
 
 def topics(spark: SparkSession, domains: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """domain, topic, topic_id (place in alphabetical order)."""
-    rows = [(d, t, i) for d, ts in (domains or {"Toys": TOY_TOPICS}).items() for i, t in enumerate(sorted(ts))]
+    rows = [(d, t, i) for d, ts in (domains or TOPICS).items() for i, t in enumerate(sorted(ts))]
     return spark.createDataFrame(rows, "domain string, topic string, topic_id int")

@@ -455,6 +455,11 @@ def until(ids: Column, eos: int) -> Column:
 # --- prompts --------------------------------------------------------------------------------
 
 
+def words_of_ids(ids: Column, vocabulary: Column, eos: int) -> Column:
+    """The words of ids (places in an array of words, from 0) before the first eos; unknown ids give nothing."""
+    return F.filter(F.transform(until(ids, eos), lambda i: F.get(vocabulary, i.cast("int"))), lambda w: w.isNotNull())
+
+
 def messages(system: str, user: Column) -> Column:
     role = lambda name, content: F.struct(F.lit(name).alias("role"), content.alias("content"))
     return F.array(role("system", F.lit(system)), role("user", user))
@@ -478,6 +483,18 @@ def profile_prompt(system: str, title: Column, description: Column, reviews: Col
     return messages(system, F.concat(F.lit("Title: "), title, F.lit("\nDescription: "), description, F.lit("\nReviews:\n"), numbered(reviews)))
 
 
+def explanation_prompt(system: str, domain: str, title: Column, user_profile: Column, item_profile: Column) -> Column:
+    """Fixed format: the model's instruction frame with places for the vectors of user and item."""
+    head = f"<s>[INST] <<SYS>>{system}<</SYS>>user record: <USER_EMBED> {domain} record: <ITEM_EMBED> {domain} name: "
+    return F.concat(F.lit(head), title, F.lit(" user profile: "), user_profile, F.lit(f" {domain} profile: "), item_profile, F.lit(" <EXPLAIN_POS>[/INST]"))
+
+
+def path_prompt(question: Column, paths: Column, neighbours: Column, k: int) -> Column:
+    """A question with its first k paths and first k neighbours, one a line."""
+    part = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n{name}:\n"), numbered(F.slice(c, 1, k)))).otherwise("")
+    return F.concat(question, part("Paths", paths), part("Neighbours", neighbours), F.lit("\n### Explanation:"))
+
+
 def evidence_prompt(question: Column, evidence: Column) -> Column:
     return F.concat(F.lit("Context:\n"), numbered(evidence), F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
 

@@ -24,6 +24,15 @@ def precision_recall_f1(precision: DataFrame, recall: DataFrame, key: str = "ind
     return joined.withColumn("f1", harmonic_mean(F.col("precision"), F.col("recall")))
 
 
+def report(precision: DataFrame, recall: DataFrame, key: str = "index") -> DataFrame:
+    """num_examples, common_ratio of the larger table's examples, and statements of the common ones on each side."""
+    p, r = label_means(precision, key, "precision"), label_means(recall, key, "recall")
+    sizes = p.agg(F.count("*").alias("_p")).crossJoin(r.agg(F.count("*").alias("_r")))  # one row each
+    both = p.join(r, key).agg(F.count("*").alias("num_examples"), F.coalesce(F.sum("n_precision"), F.lit(0)).alias("precision_total_statements"), F.coalesce(F.sum("n_recall"), F.lit(0)).alias("recall_total_statements"))
+    ratio = F.try_divide(F.col("num_examples"), F.greatest("_p", "_r"))
+    return both.crossJoin(sizes).select("num_examples", ratio.alias("common_ratio"), "precision_total_statements", "recall_total_statements")
+
+
 def mean_std(df: DataFrame, metrics: list[str], key: str | None = None) -> DataFrame:
     """metric, mean, std (population), n; 0 where there is nothing."""
     long = df.unpivot([key] if key else [], metrics, "metric", "value")

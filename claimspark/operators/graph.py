@@ -134,14 +134,22 @@ def best_paths(edges: DataFrame, pairs: DataFrame, k: int, longest: int, filter_
     """
     into = degrees(edges).select(F.col("id").alias("dst"), F.ln("degree").alias("_d"))
     steps = _written(edges.join(into, "dst").select("src", "dst", (F.col("_d") - F.ln("weight")).alias("step")), "steps")
+    ends = steps.select(F.col("src").alias("at"), F.col("dst").alias("goal"), F.col("step").alias("final"))
     grown = pairs.select("pair", F.col("item_id").alias("goal"), F.array("user_id").alias("path"), F.col("user_id").alias("at"), F.lit(0.0).alias("cost"))
     found = None
-    for _ in range(longest):
-        ahead = grown.join(steps, grown["at"] == steps.src).filter(~F.array_contains("path", F.col("dst")))
-        grown = _written(ahead.select("pair", "goal", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("cost") + F.col("step")).alias("cost")), "paths")
-        done = grown.filter("at = goal").select("pair", "path", "cost")
+    for left in range(longest, 0, -1):
+        # paths end by a join with the goal's own edges, so the last step is never taken anywhere else
+        done = grown.join(ends, ["at", "goal"]).select("pair", F.concat("path", F.array("goal")).alias("path"), (F.col("cost") + F.col("final")).alias("cost"))
         found = done if found is None else found.unionByName(done)
-        grown = grown.filter("at <> goal")
+        if left == 1:
+            break
+        ahead = grown.join(steps, grown["at"] == steps.src).filter(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("goal")))
+        ahead = ahead.select("pair", "goal", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("cost") + F.col("step")).alias("cost"))
+        if left == 2:  # of paths that only lack the step to the goal, k from each node are enough
+            near = ahead.join(ends.select("at", "goal"), ["at", "goal"], "left_semi")
+            w = Window.partitionBy("pair", "at").orderBy(F.round("cost", 9), "path")
+            ahead = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+        grown = _written(ahead, "paths")
     w = Window.partitionBy("pair").orderBy(F.round("cost", 9), "path")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.filter(F.size("path") <= filter_after + 1) if filter_after else best
@@ -167,3 +175,8 @@ def hit_rate(hits: DataFrame) -> DataFrame:
 def relabelled(labels: DataFrame, subgraph: DataFrame) -> DataFrame:
     """Labels (src, dst, ...) of the edges of each pair's subgraph; ids are global, so a join is all."""
     return subgraph.join(labels, ["src", "dst"])
+
+
+def with_features(nodes: DataFrame, features: DataFrame) -> DataFrame:
+    """Nodes with their feature vectors (id, feat); null where there is none."""
+    return nodes.join(features.select("id", "feat"), "id", "left")

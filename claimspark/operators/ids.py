@@ -27,6 +27,19 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_id") ->
     return split.join(F.broadcast(before), "_range").withColumn(name, F.col("_rows_before") + F.col("_inside")).drop("_place", "_range", "_inside", "_rows_before")
 
 
+def running_sum(df: DataFrame, order: Column | str, value: str, name: str) -> DataFrame:
+    """Adds the sum of a column over all rows before a row, in the order of a column without ties.
+
+    Ranges are summed up within themselves and moved on by the sums of the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_total"))
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_range", "_before")
+
+
 def dense_ids(df: DataFrame, entity: str, order: list[str], name: str = "idx") -> DataFrame:
     """(entity, id): entities numbered by first appearance in the order; nulls are left out."""
     first = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.min(F.struct(*order)).alias("_first"))

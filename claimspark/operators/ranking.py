@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ids
+
 
 def rating_errors(df: DataFrame, prediction: str = "prediction", rating: str = "rating") -> DataFrame:
     d = F.col(prediction) - F.col(rating)
@@ -25,8 +27,7 @@ def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     Scores are counted by value first, so running sums go over distinct scores.
     """
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    won = ids.running_sum(by, score, "n", "_below").withColumn("w", F.col("p") * (F.col("_below") + F.col("n") / 2))
     return won.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
@@ -59,12 +60,31 @@ def ranking_summary(metrics: DataFrame, per_interaction: bool = True) -> DataFra
     return metrics.agg(*[(F.sum(F.col(m) * w) / F.sum(w)).alias(m + suffix) for m in ("recall", "precision", "mrr", "ndcg")])
 
 
+def percentiles(df: DataFrame, score: str, steps: int) -> DataFrame:
+    """One row with t: the exact percentiles 0/steps, 1/steps ... of a column, linear between ranks.
+
+    Distinct scores carry the ranks that they cover; only those that a percentile falls on go on.
+    """
+    by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
+    total = by.agg(F.sum("c").alias("n"))
+    ranked = ids.running_sum(by, "s", "c", "first").crossJoin(F.broadcast(total)).withColumn("after", F.col("first") + F.col("c"))
+    last = F.greatest(F.col("n") - 1, F.lit(1))
+    low, high = F.greatest(F.lit(0), F.floor(F.col("first") * steps / last) - 2 - F.ceil(F.lit(steps) / last)), F.least(F.lit(steps - 1), F.ceil(F.col("after") * steps / last) + 2)
+    hit = ranked.filter(low <= high).select("s", "first", "after", "n", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("i"))
+    at = (F.col("n") - 1) * (F.col("i") / F.lit(steps))
+    below, above = F.floor(at), F.ceil(at)
+    covers = lambda rank: (rank >= F.col("first")) & (rank < F.col("after"))
+    share = F.when(covers(below) & covers(above), F.lit(1.0)).when(covers(below), above - at).when(covers(above), at - below)
+    parts = hit.withColumn("part", share).filter(F.col("part").isNotNull()).groupBy("i").agg(F.sum(F.col("part") * F.col("s")).alias("t"))
+    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("t"))
+
+
 def best_threshold(df: DataFrame, score: str = "score", label: str = "label", steps: int = 500) -> DataFrame:
     """Among the scores' percentiles, the last one of best balanced accuracy for score > threshold.
 
     Two small tables meet: the thresholds, and counts by the number of thresholds below a score.
     """
-    cuts = df.agg(F.percentile(score, [i / steps for i in range(steps)]).alias("t"))
+    cuts = percentiles(df, score, steps)
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("above", F.aggregate("t", F.lit(0), lambda n, t: n + (F.col(score) > t).cast("int")))
     counts = placed.groupBy("above").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     # percentiles ascend, so a score is over threshold i if more than i of them are below it

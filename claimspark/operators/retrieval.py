@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Centres of clusters that are sent to every executor, at most.
+MOST_CENTRES = 10_000
+
 
 def last_rows(df: DataFrame, group: str, k: int, order: tuple[str, ...] = ("timestamp", "row_id")) -> DataFrame:
     """The k latest rows of each group, with rank 1 for the latest."""
@@ -83,7 +86,10 @@ def histories(df: DataFrame, targets: DataFrame | None = None) -> DataFrame:
 
 def history_inputs(history: DataFrame, width: int) -> DataFrame:
     """Padded history ids and types, user rows first, in row order."""
-    rows = history.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("type_id", "history_id"))).alias("_l"))
+    # as the list is cut to its width anyway, no more than so many rows are collected
+    w = Window.partitionBy("row_id").orderBy("type_id", "history_id")
+    first = history.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= width)
+    rows = first.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("type_id", "history_id"))).alias("_l"))
     pick = lambda f: T.padded(F.transform("_l", lambda x: x[f].cast("bigint")), width, -1)
     return rows.select("row_id", pick("history_id").alias("history_ids"), pick("type_id").alias("type_ids"))
 
@@ -111,15 +117,17 @@ def similar_ids(table: DataFrame, threshold: float, accepted: DataFrame | None =
     return kept.join(accepted.select("id").distinct(), "id", "left_semi").select("index", "id", "similarity") if accepted is not None else kept
 
 
-def similarity_lists(vectors: DataFrame, distance: float, id_col: str = "id", vector: str = "vector", bucket: float = 1.0, tables: int = 6, seed: int = 3) -> DataFrame:
-    """index, similars, similarities within a distance, by random-projection hashing.
+def similarity_lists(vectors: DataFrame, distance: float, id_col: str = "id", vector: str = "vector", bucket: float = 1.0, tables: int = 12, seed: int = 3) -> DataFrame:
+    """index, similars, similarities of unit vectors within a distance, by random-projection hashing.
 
-    Pairs are found with high probability, not all for certain.
+    Zero vectors have no similar ones. Pairs are found with high probability, not all for certain.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"), F.col(vector).alias("raw"))
+    norm = F.sqrt(T.dot(F.col(vector), F.col(vector)))
+    normed = vectors.withColumn("_n", norm).filter("_n > 0")
+    data = normed.select(F.col(id_col).alias("id"), array_to_vector(F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).alias("v"), F.col(vector).alias("raw"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(data)
     near = model.approxSimilarityJoin(data, data, distance, "d").filter("datasetA.id <> datasetB.id")
     rows = near.select(F.col("datasetA.id").alias("index"), F.struct((-T.cosine(F.col("datasetA.raw"), F.col("datasetB.raw"))).alias("s"), F.col("datasetB.id").alias("i")).alias("e"))
@@ -150,8 +158,9 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "vector")
 
 
 def nearest_centroid(vectors: DataFrame, centres: DataFrame, id_col: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
-    """Each vector's nearest centre by cosine; centres are few, one row a cluster."""
-    scored = vectors.select(id_col, vector).crossJoin(F.broadcast(centres)).withColumn("_s", F.round(T.cosine(F.col(vector), F.col("centroid")), 9))
+    """Each vector's nearest centre by cosine; a table of over MOST_CENTRES centres is not broadcast."""
+    few = centres.limit(MOST_CENTRES + 1).count() <= MOST_CENTRES
+    scored = vectors.select(id_col, vector).crossJoin(F.broadcast(centres) if few else centres).withColumn("_s", F.round(T.cosine(F.col(vector), F.col("centroid")), 9))
     return scored.groupBy(id_col).agg(F.max_by(label, F.struct("_s", (-F.col(label)).alias("_l"))).alias("cluster"))
 
 
@@ -162,3 +171,45 @@ def clustered(vectors: DataFrame, k: int, vector: str = "vector", seed: int = 1)
 
     data = vectors.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(data).transform(data).drop("_v")
+
+
+def titled_train_items(metadata: DataFrame, train: DataFrame, item: str = "item_id", title: str = "title") -> DataFrame:
+    """Metadata of items that the training part has, where there is a title."""
+    return metadata.filter(F.col(item).isNotNull() & F.col(title).isNotNull()).join(train.select(item).distinct(), item, "left_semi")
+
+
+def supported_terms(terms: Column, evidence: Column) -> Column:
+    """Trimmed terms that are among the words of the evidence texts, in order."""
+    words = T.words(F.array_join(evidence, " . "))
+    return F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.array_contains(words, t))
+
+
+def first_of(found: Column, k: int) -> Column:
+    """The first k of a retrieved list."""
+    return F.slice(found, 1, k)
+
+
+def reranked(samples: DataFrame, split: str = "split", score: str = "similarity_score", key: str = "row_id") -> DataFrame:
+    """Adds `place` (from 0) within each split: ascending by score, but in row order for test."""
+    from .ids import numbered
+
+    order = F.when(F.col(split) == "test", F.lit(0.0)).otherwise(F.col(score))
+    placed = numbered(samples.withColumn("_o", order), [split, "_o", key], "_all")
+    firsts = F.broadcast(placed.groupBy(split).agg(F.min("_all").alias("_first")))  # a row a split
+    return placed.join(firsts, split).withColumn("place", F.col("_all") - F.col("_first")).drop("_o", "_all", "_first")
+
+
+def model_inputs(rows: DataFrame, users: DataFrame, items: DataFrame, domain: str, system: str, user_vectors: DataFrame | None = None, item_vectors: DataFrame | None = None) -> DataFrame:
+    """Each row with its prompt, and with the vectors of its user and item where tables (id, vector) are given.
+
+    users: user_id, profile; items: item_id, title, profile, description. What is missing is
+    empty, a missing title the domain.
+    """
+    joined = rows.join(users.select("user_id", F.col("profile").alias("_u")), "user_id", "left")
+    joined = joined.join(items.select("item_id", F.col("title").alias("_t"), F.coalesce("profile", "description").alias("_i")), "item_id", "left")
+    blank = lambda c, other="": F.coalesce(F.col(c), F.lit(other))
+    out = joined.withColumn("prompt", T.explanation_prompt(system, domain, blank("_t", domain), blank("_u"), blank("_i"))).drop("_u", "_t", "_i")
+    for side, table in (("user", user_vectors), ("item", item_vectors)):
+        if table is not None:
+            out = out.join(table.select(F.col("id").alias(f"{side}_id"), F.col("vector").alias(f"{side}_vector")), f"{side}_id", "left")
+    return out

@@ -95,3 +95,18 @@ def with_other_review(df: DataFrame, seed: int = 0) -> DataFrame:
     other = placed.select("item_id", "_at", F.col("row_id").alias("text_row"), F.col("user_id").alias("_u"))
     negative = wanted.join(other, ["item_id", "_at"]).filter("_u <> user_id").select("row_id", "user_id", "item_id", "text_row", F.lit(0).alias("label"))
     return df.select("row_id", "user_id", "item_id", F.col("row_id").alias("text_row"), F.lit(1).alias("label")).unionByName(negative)
+
+
+def head(df: DataFrame, most: int, order: str = "row_id") -> DataFrame:
+    """The first rows in order; the limit is what is asked for."""
+    return df.orderBy(order).limit(most)
+
+
+def with_history(samples: DataFrame, history: DataFrame, width: int) -> DataFrame:
+    """Samples with their row's padded history (history_inputs); rows without one get padding only."""
+    from ..functions import text as T
+    from .retrieval import history_inputs
+
+    none = T.padded(F.array().cast("array<bigint>"), width, -1)
+    joined = samples.join(history_inputs(history, width), "row_id", "left")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("history_ids", "type_ids")})

@@ -66,10 +66,11 @@ def activity_bins(counts: DataFrame, count: str = "n", quantiles: tuple[float, .
 def stratified_user_split(df: DataFrame, evaluation: float = 0.1, test: float = 0.1, seed: int = 42, user: str = "user_id") -> DataFrame:
     """user, n, bin, split: users of like activity are shuffled by a digest and parted."""
     binned = activity_bins(df.groupBy(user).agg(F.count("*").alias("n")))
-    w = Window.partitionBy("bin")
-    shuffled = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(user).cast("string"), F.lit(f"#{seed}")).cast("binary")), user)) - 1
-    placed = binned.withColumn("_at", shuffled).withColumn("_n", F.count("*").over(w))
-    return placed.withColumn("split", _parted(F.col("_at"), F.col("_n"), evaluation, test, False)).drop("_at", "_n")
+    digest = F.md5(F.concat(F.col(user).cast("string"), F.lit(f"#{seed}")).cast("binary"))
+    placed = numbered(binned.withColumn("_o", digest), ["bin", "_o", user], "_all")
+    bins = F.broadcast(placed.groupBy("bin").agg(F.min("_all").alias("_first"), F.count("*").alias("_n")))  # a row a bin
+    shuffled = placed.join(bins, "bin").withColumn("_at", F.col("_all") - F.col("_first"))
+    return shuffled.select(user, "n", "bin", _parted(F.col("_at"), F.col("_n"), evaluation, test, False).alias("split"))
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.8, evaluation: float = 0.1, seed: int = 0) -> DataFrame:

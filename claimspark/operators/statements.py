@@ -30,6 +30,17 @@ def topic_table(counts: DataFrame, sentiments: list[str]) -> DataFrame:
     return wide
 
 
+def with_total_row(table: DataFrame, name: str = "TOTAL") -> DataFrame:
+    """The topic table and a row of its columns' sums."""
+    sums = table.agg(*[F.sum(c).alias(c) for c in table.columns if c != "topic"])
+    return table.unionByName(sums.withColumn("topic", F.lit(name)))
+
+
+def nonempty(df: DataFrame, triplets: str = "statements") -> DataFrame:
+    """Rows with at least one triplet; null and empty lists go."""
+    return df.filter(F.size(F.coalesce(F.col(triplets), F.array())) > 0)
+
+
 def error_share(counts: DataFrame, wrong: str = "wrong_topic") -> DataFrame:
     """Percentage of triplets of a wrong class among those and the correct ones."""
     n = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("freq"))), F.lit(0))
@@ -95,7 +106,7 @@ def looked_up(df: DataFrame, vocabulary: DataFrame, id_list: str = "statement_id
 
     Sentiments of the row count if there are as many as ids; else those of the vocabulary.
     """
-    sids = F.col(id_list)
+    sids = F.transform(id_list, lambda x: x.try_cast("bigint"))  # lists of texts are read as numbers
     own = F.col(sentiments) if sentiments else F.array().cast("array<int>")
     use = (F.size(own) == F.size(sids)) & (F.size(sids) > 0)
     zipped = F.transform(sids, lambda s, i: F.struct(s.alias("sid"), F.when(use, T.sentiment_of_number(F.get(own, i))).alias("own")))

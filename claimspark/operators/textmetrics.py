@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,3 +171,54 @@ def feature_lists(df: DataFrame, entity: str, feature: str, order: str = "row_id
     """Each entity's features in order."""
     rows = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(order, F.col(feature).alias("f")))).alias("_l"))
     return rows.select(entity, F.transform("_l", lambda x: x["f"]).alias("features"))
+
+
+def mean_distinct(df: DataFrame, text: str, n: int) -> DataFrame:
+    """Distinct n-grams over words of each text, on average; texts without words count 0."""
+    w = T.words(F.col(text))
+    each = F.when(F.size(w) > 0, F.size(F.array_distinct(T.ngrams(w, n))) / F.size(w)).otherwise(0.0)
+    return df.agg(F.avg(each).alias("distinct"))
+
+
+def _union_lcs(predictions: pd.Series, references: pd.Series) -> pd.Series:
+    """Words of reference sentences that lie on a longest common subsequence with some predicted sentence, each word as often as the prediction has it at most."""
+
+    def on_path(r: list[str], c: list[str]) -> set[int]:
+        rows = [[0] * (len(c) + 1)]
+        for x in r:
+            before, row = rows[-1], [0]
+            for j, y in enumerate(c):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+            rows.append(row)
+        found, i, j = set(), len(r), len(c)
+        while i and j:
+            if r[i - 1] == c[j - 1]:
+                found.add(i - 1)
+                i, j = i - 1, j - 1
+            elif rows[i][j - 1] > rows[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return found
+
+    def hits(prediction, reference) -> int:
+        left = Counter(w for s in prediction for w in s)
+        n = 0
+        for r in reference:
+            r = list(r)
+            for i in sorted(set().union(*(on_path(r, list(c)) for c in prediction))) if len(prediction) else ():
+                if left[r[i]] > 0:
+                    left[r[i]] -= 1
+                    n += 1
+        return n
+
+    return pd.Series([hits(p, r) for p, r in zip(predictions, references, strict=True)], dtype="int64")
+
+
+def rouge_l_summary(prediction: Column, reference: Column) -> Column:
+    """F of the longest common subsequences of lines, united over the prediction's lines for each of the reference."""
+    lines = lambda c: F.filter(F.transform(F.split(F.lower(c), "\n"), T.words), lambda w: F.size(w) > 0)
+    p, r = lines(prediction), lines(reference)
+    n = F.pandas_udf(_union_lcs, "bigint")(p, r)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, w: s + F.size(w))
+    return F.when((total(p) > 0) & (total(r) > 0), T.harmonic_mean(n / total(p), n / total(r))).otherwise(0.0)

@@ -111,23 +111,25 @@ def topic_error_share(spark, sf_dir):
     return rounded(statements.error_share(_audited(spark, sf_dir)))
 
 
-_VOTES = "votes AS (SELECT lower(p_type) AS wrong_topic, CASE WHEN count(*) % 2 = 0 THEN 'standard' END AS topic FROM part GROUP BY p_type)"
+_VOTES = """votes AS (SELECT lower(p_type) AS wrong_topic, labeler, CASE WHEN labeler = 2 AND count(*) % 3 = 0 THEN 'promo' WHEN labeler = 1 AND count(*) % 5 = 0 THEN NULL ELSE 'standard' END AS topic
+  FROM part, range(0, 3) l(labeler) GROUP BY p_type, labeler)"""
 
 
-@query(f"WITH {_VOTES} SELECT wrong_topic, min(topic) AS topic FROM votes GROUP BY wrong_topic HAVING count(topic) = 1 AND count(DISTINCT topic) = 1")
+@query(f"WITH {_VOTES} SELECT wrong_topic, min(topic) AS topic FROM votes GROUP BY wrong_topic HAVING count(topic) = 3 AND count(DISTINCT topic) = 1")
 def unanimous_votes(spark, sf_dir):
-    return statements.unanimous(_votes(spark, sf_dir), 1)
+    return statements.unanimous(_votes(spark, sf_dir))
 
 
 def _votes(spark, sf_dir):
-    p = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    return p.select(F.lower("p_type").alias("wrong_topic"), F.when(F.col("n") % 2 == 0, "standard").alias("topic"))
+    p = table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n")).withColumn("labeler", F.explode(F.array(*map(F.lit, range(3)))))
+    topic = F.when((F.col("labeler") == 2) & (F.col("n") % 3 == 0), "promo").when((F.col("labeler") == 1) & (F.col("n") % 5 == 0), None).otherwise("standard")
+    return p.select(F.lower("p_type").alias("wrong_topic"), "labeler", topic.alias("topic"))
 
 
-@query(f"""WITH {_AUDIT}, {_VOTES}, u AS (SELECT wrong_topic, min(topic) AS r FROM votes GROUP BY wrong_topic HAVING count(topic) = 1 AND count(DISTINCT topic) = 1)
+@query(f"""WITH {_AUDIT}, {_VOTES}, u AS (SELECT wrong_topic, min(topic) AS r FROM votes GROUP BY wrong_topic HAVING count(topic) = 3 AND count(DISTINCT topic) = 1)
  SELECT statement, coalesce(r, topic) AS topic, sentiment, CAST(sum(freq) AS BIGINT) AS freq FROM a LEFT JOIN u ON topic = wrong_topic GROUP BY ALL""")
 def repaired_topics(spark, sf_dir):
-    return statements.repaired(_audited(spark, sf_dir), statements.unanimous(_votes(spark, sf_dir), 1))
+    return statements.repaired(_audited(spark, sf_dir), statements.unanimous(_votes(spark, sf_dir)))
 
 
 @query(f"WITH {_AUDIT} SELECT topic, CAST(sum(freq) AS BIGINT) AS freq FROM a GROUP BY topic HAVING sum(freq) >= 9000")

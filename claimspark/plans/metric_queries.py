@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scorers
@@ -119,9 +119,12 @@ def zero_shot_consistency(spark, sf_dir):
     return rounded(consistency.zero_shot(_zs(spark, sf_dir)))
 
 
-@query(f"WITH {PAIR_SCORES} SELECT row_index AS pair, pred_sid AS gen_i, CASE WHEN pe < 0.25 THEN 0 WHEN pe < 0.5 THEN 1 WHEN pe < 0.75 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM s WHERE pred_sid < 1000 GROUP BY ALL")
+@query(f"""WITH {PAIR_SCORES}, k AS (SELECT *, dense_rank() OVER (PARTITION BY row_index ORDER BY pred_sid) - 1 AS g FROM s)
+ SELECT row_index AS pair, g AS gen_i, CASE WHEN pe < 0.25 THEN 0 WHEN pe < 0.5 THEN 1 WHEN pe < 0.75 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM k WHERE g < 3 GROUP BY ALL""")
 def score_histogram(spark, sf_dir):
-    return consistency.histogram(_zs(spark, sf_dir), [0.0, 0.25, 0.5, 0.75, 1.0], first=1000)
+    """Of the first three generated sentences of each pair."""
+    placed = _zs(spark, sf_dir).withColumn("gen_i", F.dense_rank().over(Window.partitionBy("pair").orderBy("gen_i")) - 1)
+    return consistency.histogram(placed, [0.0, 0.25, 0.5, 0.75, 1.0], first=3).withColumn("gen_i", F.col("gen_i").cast("bigint"))
 
 
 def _align(spark, sf_dir):
@@ -226,11 +229,20 @@ def last_text_ids(spark, sf_dir):
     return retrieval.last_text_id(interactions(spark, sf_dir).withColumn("text_id", F.col("row_id")))
 
 
-@query(f"""WITH {INTERACTIONS}, e AS (SELECT DISTINCT user_id, item_id FROM i WHERE row_id % 10 = 0) SELECT a.user_id, a.item_id, b.user_id AS other, 'user' AS kind FROM e a JOIN e b ON a.item_id = b.item_id AND a.user_id <> b.user_id
- UNION ALL SELECT a.user_id, a.item_id, b.item_id AS other, 'item' AS kind FROM e a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id""")
+#: Searches ask for every hundredth row, against all rows.
+ASKED = "row_id % 100 = 0"
+_ASKED = f"t AS (SELECT * FROM i WHERE {ASKED}), e AS (SELECT DISTINCT user_id, item_id FROM i), q AS (SELECT DISTINCT user_id, item_id FROM t)"
+
+
+def _asked(spark, sf_dir):
+    i = interactions(spark, sf_dir)
+    return i, i.filter(ASKED)
+
+
+@query(f"""WITH {INTERACTIONS}, {_ASKED} SELECT a.user_id, a.item_id, b.user_id AS other, 'user' AS kind FROM q a JOIN e b ON a.item_id = b.item_id AND a.user_id <> b.user_id
+ UNION ALL SELECT a.user_id, a.item_id, b.item_id AS other, 'item' AS kind FROM q a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id""")
 def co_purchases(spark, sf_dir):
-    e = interactions(spark, sf_dir).filter("row_id % 10 = 0")
-    return retrieval.co_purchases(e, e)
+    return retrieval.co_purchases(*_asked(spark, sf_dir))
 
 
 def _vectors(spark, sf_dir):
@@ -240,31 +252,28 @@ def _vectors(spark, sf_dir):
 _COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 
 
-@query(f"""WITH {INTERACTIONS}, e AS (SELECT DISTINCT user_id, item_id FROM i WHERE row_id % 10 = 0), c AS (SELECT a.user_id, a.item_id, b.item_id AS other, {_COS.format('x.embedding', 'y.embedding')} AS similarity
-  FROM e a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id JOIN embeddings x ON x.vec_id = a.item_id JOIN embeddings y ON y.vec_id = b.item_id),
+@query(f"""WITH {INTERACTIONS}, {_ASKED}, c AS (SELECT a.user_id, a.item_id, b.item_id AS other, {_COS.format('x.embedding', 'y.embedding')} AS similarity
+  FROM q a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id JOIN embeddings x ON x.vec_id = a.item_id JOIN embeddings y ON y.vec_id = b.item_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(similarity, 9) DESC, other) AS rank FROM c) SELECT user_id, item_id, 'item' AS kind, other, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 3 AND similarity >= 0.0""")
 def nearest_neighbours(spark, sf_dir):
-    e = interactions(spark, sf_dir).filter("row_id % 10 = 0")
-    top = retrieval.top_neighbours(retrieval.co_purchases(e, e), {"item": _vectors(spark, sf_dir)}, 3, 0.0)
+    top = retrieval.top_neighbours(retrieval.co_purchases(*_asked(spark, sf_dir)), {"item": _vectors(spark, sf_dir)}, 3, 0.0)
     return rounded(top.withColumn("rank", F.col("rank").cast("bigint")))
 
 
-@query(f"""WITH {INTERACTIONS}, t AS (SELECT * FROM i WHERE row_id % 20 = 0) SELECT t.row_id, 0 AS type_id, h.row_id AS history_id FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id
+@query(f"""WITH {INTERACTIONS}, {_ASKED} SELECT t.row_id, 0 AS type_id, h.row_id AS history_id FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id
  UNION ALL SELECT t.row_id, 1 AS type_id, h.row_id AS history_id FROM t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id""")
 def hidden_pair_histories(spark, sf_dir):
-    i = interactions(spark, sf_dir)
-    return retrieval.histories(i, i.filter("row_id % 20 = 0"))
+    return retrieval.histories(*_asked(spark, sf_dir))
 
 
-@query(f"""WITH {INTERACTIONS}, t AS (SELECT * FROM i WHERE row_id % 50 = 0), h AS (SELECT t.row_id, t.item_id AS q, h.row_id AS history_id, h.item_id AS x, h.rating, floor(avg(h.rating) OVER (PARTITION BY t.row_id)) AS m FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id),
- k AS (SELECT * FROM h WHERE CASE WHEN row_id % 100 = 0 THEN rating >= m ELSE rating < m END), d AS (SELECT row_id, history_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)) AS distance
+@query(f"""WITH {INTERACTIONS}, {_ASKED}, h AS (SELECT t.row_id, t.item_id AS q, h.row_id AS history_id, h.item_id AS x, h.rating, floor(avg(h.rating) OVER (PARTITION BY t.row_id)) AS m FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id),
+ k AS (SELECT * FROM h WHERE CASE WHEN row_id % 200 = 0 THEN rating >= m ELSE rating < m END), d AS (SELECT row_id, history_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)) AS distance
   FROM k JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = x), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(distance, 9), history_id) AS rank FROM d) SELECT row_id, history_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def polar_evidence(spark, sf_dir):
-    i, v = interactions(spark, sf_dir), _vectors(spark, sf_dir)
-    t = i.filter("row_id % 50 = 0")
+    (i, t), v = _asked(spark, sf_dir), _vectors(spark, sf_dir)
     h = retrieval.histories(i, t).filter("type_id = 0").select("row_id", "history_id")
     texts = i.join(v, F.col("item_id") == F.col("id")).select(F.col("row_id").alias("history_id"), "vector", "rating")
-    queries = t.join(v, F.col("item_id") == F.col("id")).select("row_id", F.col("vector").alias("query"), F.when(F.col("row_id") % 100 == 0, 1.0).otherwise(-1.0).alias("adjustment"))
+    queries = t.join(v, F.col("item_id") == F.col("id")).select("row_id", F.col("vector").alias("query"), F.when(F.col("row_id") % 200 == 0, 1.0).otherwise(-1.0).alias("adjustment"))
     return rounded(retrieval.evidence(h, texts, queries, 5, True).withColumn("rank", F.col("rank").cast("bigint")))
 
 
@@ -316,16 +325,11 @@ def profiles_with_fallback(spark, sf_dir):
     return retrieval.with_profile(c.select("c_custkey"), p, "c_custkey")
 
 
-_EDGES = "e AS (SELECT DISTINCT user_id AS src, item_id + 100000 AS dst FROM i WHERE row_id % 4 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT src AS id, count(*) AS degree FROM b GROUP BY src)"
+_EDGES = "e AS (SELECT DISTINCT user_id AS src, item_id + 100000 AS dst FROM i), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT src AS id, count(*) AS degree FROM b GROUP BY src)"
 
 
 def _edges(spark, sf_dir):
-    """The quarter of the interactions that _EDGES takes."""
-    return _edges_of(interactions(spark, sf_dir).filter("row_id % 4 = 0"))
-
-
-def _edges_of(rows):
-    return rows.select(F.col("user_id").alias("src"), (F.col("item_id") + 100000).alias("dst")).distinct()
+    return interactions(spark, sf_dir).select(F.col("user_id").alias("src"), (F.col("item_id") + 100000).alias("dst")).distinct()
 
 
 @query(f"WITH {INTERACTIONS}, {_EDGES} SELECT b.src, b.dst, round(1 / sqrt(x.degree * y.degree), 6) AS weight FROM b JOIN d x ON x.id = b.src JOIN d y ON y.id = b.dst")
@@ -342,47 +346,68 @@ def layer_sums(spark, sf_dir):
     return graph.layer_sum(adj, start, 2).select("id", F.round(F.get("vector", 0), 5).alias("value"))
 
 
-_BIG = "h AS (SELECT dst AS id FROM b GROUP BY dst HAVING count(*) > 18)"
+_BIG = "h AS (SELECT dst AS id FROM b GROUP BY dst HAVING count(*) > 60)"
 
 
 @query(f"WITH {INTERACTIONS}, {_EDGES}, {_BIG} SELECT src, dst FROM b WHERE src NOT IN (SELECT id FROM h) AND dst NOT IN (SELECT id FROM h)")
 def edges_without_hubs(spark, sf_dir):
-    return graph.without_hubs(graph.undirected(_edges(spark, sf_dir)), 18)
+    return graph.without_hubs(graph.undirected(_edges(spark, sf_dir)), 60)
 
 
 @query()
 def core_edges(spark, sf_dir):
-    return graph.k_core(graph.undirected(_edges_of(interactions(spark, sf_dir))), 16)
+    return graph.k_core(graph.undirected(_edges(spark, sf_dir)), 16)
 
 
-def _some_pairs(spark, sf_dir):
-    e = _edges(spark, sf_dir).filter("src % 50 = 0")
-    return e.select((F.col("src") * 1000000 + F.col("dst")).alias("pair"), F.col("src").alias("user_id"), F.col("dst").alias("item_id"))
+def _asked_pairs(spark, sf_dir):
+    e = _asked(spark, sf_dir)[1].select("user_id", (F.col("item_id") + 100000).alias("item_id")).distinct()
+    return e.select((F.col("user_id") * 1000000 + F.col("item_id")).alias("pair"), "user_id", "item_id")
 
 
-@query(f"""WITH {INTERACTIONS}, {_EDGES}, p AS (SELECT src * 1000000 + dst AS pair, src, dst FROM e WHERE src % 50 = 0), z AS (SELECT pair, unnest([src, dst]) AS id FROM p), n AS (SELECT DISTINCT pair, b.dst AS id FROM z JOIN b ON b.src = z.id UNION SELECT pair, id FROM z)
- SELECT pair, count(*) AS nodes, count(*) FILTER (id < 100000) AS users FROM n GROUP BY pair""")
+_PAIRED = f"p AS (SELECT DISTINCT user_id * 1000000 + item_id + 100000 AS pair, user_id AS src, item_id + 100000 AS dst FROM i WHERE {ASKED})"
+
+
+@query(f"""WITH {INTERACTIONS}, {_EDGES}, {_PAIRED}, z AS (SELECT pair, unnest([src, dst]) AS id FROM p), n AS (SELECT DISTINCT pair, b.dst AS id FROM z JOIN b ON b.src = z.id UNION SELECT pair, id FROM z)
+ SELECT pair, count(*) FILTER (id < 100000) AS users, count(*) FILTER (id >= 100000) AS items FROM n GROUP BY pair""")
 def one_hop_subgraphs(spark, sf_dir):
-    found = graph.k_hop(_edges(spark, sf_dir), _some_pairs(spark, sf_dir), 1)
-    return found.groupBy("pair").agg(F.count("*").alias("nodes"), F.count_if(F.col("id") < 100000).alias("users"))
+    edges = _edges(spark, sf_dir)
+    nodes = edges.select(F.col("src").alias("id"), F.lit("user").alias("ntype")).unionByName(edges.select(F.col("dst").alias("id"), F.lit("item").alias("ntype"))).distinct()
+    return graph.type_counts(nodes, graph.k_hop(edges, _asked_pairs(spark, sf_dir), 1))
+
+
+_PATHS = f"""{_EDGES}, {_PAIRED}, g AS (SELECT src, dst, ln(degree) AS c FROM b JOIN d ON d.id = dst), p1 AS (SELECT pair, src AS u, p.dst AS v, [src, g.dst] AS path, g.dst AS x, c AS cost FROM p JOIN g USING (src)),
+ p2 AS (SELECT pair, u, v, list_append(path, g.dst) AS path, g.dst AS x, cost + c AS cost FROM p1 JOIN g ON g.src = x WHERE x <> v AND g.dst <> u),
+ f AS (SELECT pair, path, cost FROM p1 WHERE x = v UNION ALL SELECT pair, list_append(path, v) AS path, cost + c AS cost FROM p2 JOIN g ON g.src = x AND g.dst = v),
+ r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(cost, 9), path) AS rank FROM f)"""
 
 
-@query(f"""WITH {INTERACTIONS}, {_EDGES}, g AS (SELECT src, dst, ln(degree) AS c FROM b JOIN d ON d.id = dst WHERE (src + dst) % 5 < 2 OR src % 50 = 0), p AS (SELECT src * 1000000 + dst AS pair, src AS u, dst AS v FROM e WHERE src % 50 = 0),
- p1 AS (SELECT pair, v, [u, g.dst] AS path, g.dst AS x, c AS cost FROM p JOIN g ON g.src = u), p2 AS (SELECT pair, v, list_append(path, g.dst) AS path, g.dst AS x, cost + c AS cost FROM p1 JOIN g ON g.src = x WHERE x <> v AND NOT list_contains(path, g.dst)),
- p3 AS (SELECT pair, v, list_append(path, g.dst) AS path, g.dst AS x, cost + c AS cost FROM p2 JOIN g ON g.src = x WHERE x <> v AND NOT list_contains(path, g.dst)),
- f AS (SELECT pair, path, cost FROM p1 WHERE x = v UNION ALL SELECT pair, path, cost FROM p3 WHERE x = v), r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(cost, 9), path) AS rank FROM f)
- SELECT pair, rank, array_to_string(path, '-') AS path, round(cost, 6) AS cost FROM r WHERE rank <= 3""")
+def _best_paths(spark, sf_dir):
+    weighted = graph.undirected(_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    return graph.best_paths(weighted, _asked_pairs(spark, sf_dir), 3, 3)
+
+
+@query(f"WITH {INTERACTIONS}, {_PATHS} SELECT pair, rank, array_to_string(path, '-') AS path, round(cost, 6) AS cost FROM r WHERE rank <= 3")
 def best_paths(spark, sf_dir):
-    b = graph.undirected(_edges(spark, sf_dir))
-    into = b.groupBy("dst").agg(F.count("*").alias("d"))
-    kept = b.filter("(src + dst) % 5 < 2 or src % 50 = 0")
-    # the weight undoes the in-degree of the thinned graph, so that costs are those of the whole one
-    mine = kept.groupBy("dst").agg(F.count("*").alias("k"))
-    e = kept.join(into, "dst").join(mine, "dst").select("src", "dst", (F.col("k") / F.col("d")).alias("weight"))
-    found = graph.best_paths(e, _some_pairs(spark, sf_dir), 3, 3)
+    found = _best_paths(spark, sf_dir)
     return rounded(found.select("pair", F.col("rank").cast("bigint").alias("rank"), F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "cost"))
 
 
+@query(f"""WITH {INTERACTIONS}, {_PATHS}, o AS (SELECT p.pair, min(x.dst) AS other FROM p JOIN e x ON x.src = p.src AND x.dst <> p.dst GROUP BY p.pair),
+ w AS (SELECT p.pair, p.src, p.dst, other, min(y.src) AS friend FROM p JOIN o USING (pair) JOIN e y ON y.dst = other AND y.src <> p.src JOIN e z ON z.src = y.src AND z.dst = p.dst GROUP BY ALL),
+ k AS (SELECT pair, unnest(path[1:-2]) AS src, unnest(path[2:-1]) AS dst FROM r WHERE rank <= 3), t AS (SELECT pair, 0 AS way, src, other AS dst FROM w UNION ALL SELECT pair, 0, other, friend FROM w UNION ALL SELECT pair, 0, friend, dst FROM w
+ UNION ALL SELECT pair, 1, src, dst FROM p WHERE src % 2 = 0), h AS (SELECT pair, way, bool_and((pair, src, dst) IN (SELECT (pair, src, dst) FROM k)) AS hit FROM t GROUP BY ALL) SELECT pair, bool_or(hit) AS hit FROM h GROUP BY pair""")
+def path_hits(spark, sf_dir):
+    """True paths: by way of the user's least other item and the least of its other users who has the item; for every second user the edge itself."""
+    p, e = _asked_pairs(spark, sf_dir), _edges(spark, sf_dir)
+    other = p.join(e, F.col("user_id") == e.src).filter("dst <> item_id").groupBy("pair", "user_id", "item_id").agg(F.min("dst").alias("other"))
+    takers = e.select(F.col("src").alias("friend"), F.col("dst").alias("other"))
+    known = e.select(F.col("src").alias("friend"), F.col("dst").alias("item_id"))
+    way = other.join(takers, "other").filter("friend <> user_id").join(known, ["friend", "item_id"]).groupBy("pair", "user_id", "item_id", "other").agg(F.min("friend").alias("friend"))
+    steps = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("user_id", "other"), ("other", "friend"), ("friend", "item_id"))])
+    truth = way.select("pair", F.lit(0).alias("path_id"), F.inline(steps)).unionByName(p.filter("user_id % 2 = 0").select("pair", F.lit(1).alias("path_id"), F.col("user_id").alias("src"), F.col("item_id").alias("dst")))
+    return graph.path_hits(_best_paths(spark, sf_dir), truth)
+
+
 @query(f"WITH {INTERACTIONS} SELECT count(*) AS nodes, count(*) FILTER (k = 'u') AS users, (SELECT count(*) FROM (SELECT DISTINCT user_id, item_id FROM i)) AS edges FROM (SELECT DISTINCT user_id AS e, 'u' AS k FROM i UNION ALL SELECT DISTINCT item_id, 'i' FROM i)")
 def bipartite_graph(spark, sf_dir):
     nodes, edges = graph.bipartite_graph(interactions(spark, sf_dir), ["timestamp", "row_id"])

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import graph, pairs, ranking, retrieval, splits, statements
 from ..sources import tables as S
 from .frames import INTERACTIONS, OUTPUTS, TRIPLETS, VOCABULARY, interactions, outputs, r6, rounded, table, triplets, vocabulary, word_list
-from .metric_queries import _COS, _EDGES, _edges, _some_pairs, _vectors
+from .metric_queries import _ASKED, _COS, _EDGES, _PAIRED, _asked, _asked_pairs, _edges, _vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,12 +57,11 @@ def split_inputs(spark, sf_dir):
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", F.concat_ws(" / ", "o_orderpriority", "p_name", "c_mktsegment").alias("prompt"))
 
 
-@query(f"""WITH {INTERACTIONS}, t AS (SELECT * FROM i WHERE row_id % 20 = 0), h AS (SELECT t.row_id, 0 AS k, h.row_id AS x FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id
+@query(f"""WITH {INTERACTIONS}, {_ASKED}, h AS (SELECT t.row_id, 0 AS k, h.row_id AS x FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id
  UNION ALL SELECT t.row_id, 1 AS k, h.row_id AS x FROM t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k, x) AS n FROM h)
  SELECT row_id, CAST(sum(x) - greatest(0, 64 - count(*)) AS BIGINT) AS id_sum, CAST(sum(k) - greatest(0, 64 - count(*)) AS BIGINT) AS type_sum FROM r WHERE n <= 64 GROUP BY row_id""")
 def history_inputs(spark, sf_dir):
-    i = interactions(spark, sf_dir)
-    h = retrieval.history_inputs(retrieval.histories(i, i.filter("row_id % 20 = 0")), 64)
+    h = retrieval.history_inputs(retrieval.histories(*_asked(spark, sf_dir)), 64)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
     return h.select("row_id", total(F.col("history_ids")).alias("id_sum"), total(F.col("type_ids")).alias("type_sum"))
 
@@ -79,26 +78,20 @@ def truth_sets(spark, sf_dir):
     return ranking.truth_sets(interactions(spark, sf_dir)).select("user_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
-@query(f"""WITH {INTERACTIONS}, e AS (SELECT DISTINCT user_id, item_id FROM i WHERE row_id % 10 = 0), n AS (SELECT count(*) AS n FROM i WHERE row_id % 10 = 0)
- SELECT round((SELECT count(*) FROM e a JOIN e b ON a.item_id = b.item_id AND a.user_id <> b.user_id) / n, 6) AS avg_users, round((SELECT count(*) FROM e a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id) / n, 6) AS avg_items FROM n""")
+@query(f"""WITH {INTERACTIONS}, {_ASKED}, n AS (SELECT count(*) AS n FROM t)
+ SELECT round((SELECT count(*) FROM q a JOIN e b ON a.item_id = b.item_id AND a.user_id <> b.user_id) / n, 6) AS avg_users, round((SELECT count(*) FROM q a JOIN e b ON a.user_id = b.user_id AND a.item_id <> b.item_id) / n, 6) AS avg_items FROM n""")
 def neighbour_averages(spark, sf_dir):
-    e = interactions(spark, sf_dir).filter("row_id % 10 = 0")
-    return rounded(retrieval.neighbour_averages(retrieval.co_purchases(e, e), e))
+    every, targets = _asked(spark, sf_dir)
+    return rounded(retrieval.neighbour_averages(retrieval.co_purchases(every, targets), targets))
 
 
-@query(f"""WITH {INTERACTIONS}, {_EDGES}, p AS (SELECT src * 1000000 + dst AS pair, src, dst FROM e WHERE src % 50 = 0), z AS (SELECT pair, unnest([src, dst]) AS id FROM p),
- n AS (SELECT DISTINCT pair, b.dst AS id FROM z JOIN b ON b.src = z.id UNION SELECT pair, id FROM z) SELECT x.pair, count(*) AS edges FROM n x JOIN e ON e.src = x.id JOIN n y ON y.pair = x.pair AND y.id = e.dst GROUP BY x.pair""")
+@query(f"""WITH {INTERACTIONS}, {_EDGES}, {_PAIRED}, z AS (SELECT pair, unnest([src, dst]) AS id FROM p), n AS (SELECT DISTINCT pair, b.dst AS id FROM z JOIN b ON b.src = z.id UNION SELECT pair, id FROM z)
+ SELECT x.pair, count(*) AS edges, CAST(sum((e.src + e.dst) % 7) AS BIGINT) AS labels FROM n x JOIN e ON e.src = x.id JOIN n y ON y.pair = x.pair AND y.id = e.dst GROUP BY x.pair""")
 def induced_subgraphs(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.induced_edges(e, graph.k_hop(e, _some_pairs(spark, sf_dir), 1)).groupBy("pair").agg(F.count("*").alias("edges"))
-
-
-@query(f"WITH {INTERACTIONS}, {_EDGES} SELECT src * 1000000 + dst AS pair, true AS hit FROM e WHERE src % 50 = 0")
-def path_hits(spark, sf_dir):
-    pairs_ = _some_pairs(spark, sf_dir)
-    weighted = graph.undirected(_edges(spark, sf_dir)).withColumn("weight", F.lit(1.0))
-    truth = pairs_.select("pair", F.lit(0).alias("path_id"), F.col("user_id").alias("src"), F.col("item_id").alias("dst"))
-    return graph.path_hits(graph.best_paths(weighted, pairs_, 1000000, 1), truth)
+    found = graph.induced_edges(e, graph.k_hop(e, _asked_pairs(spark, sf_dir), 1))
+    labelled = graph.relabelled(e.withColumn("label", (F.col("src") + F.col("dst")) % 7), found)
+    return labelled.groupBy("pair").agg(F.count("*").alias("edges"), F.sum("label").alias("labels"))
 
 
 @query(f"WITH {INTERACTIONS} SELECT DISTINCT user_id AS src, item_id AS dst FROM i WHERE rating < 50 EXCEPT SELECT user_id, item_id FROM i WHERE rating >= 50")

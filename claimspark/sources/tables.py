@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,15 @@ METADATA = "asin string, title string, description string"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder that spark.checkpoint.dir names; a folder of its own where unset."""
+    """A place in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="claimspark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="claimspark-")
+        base = _own[app]
     return f"{base.rstrip('/')}/{name}"
 
 
@@ -95,6 +101,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def append_json(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines."""
+    df.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+PROMPTS = "row_id bigint, prompt string"
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, prompt from JSON lines."""
+    return spark.read.schema(PROMPTS).json(path)
+
+
+def append_generations(prompts: DataFrame, path: str, generate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Generates for the prompts that the written output does not have, appends, and reads all of it again.
+
+    generate adds a column `output` to rows of row_id and prompt.
+    """
+    spark, schema = prompts.sparkSession, f"{PROMPTS}, output string"
+    left = unprocessed(prompts, spark.read.schema(schema).json(path)) if _exists(spark, path) else prompts
+    append_json(generate(left).select("row_id", "prompt", "output"), path)
+    return spark.read.schema(schema).json(path)
+
+
 def read_lines(spark: SparkSession, path: str, most: int = 10000) -> DataFrame:
     """row_id, text of the first lines of a text file, in file order."""
     lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id())
