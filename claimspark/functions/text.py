@@ -122,6 +122,7 @@ def paragraph_of_clauses(said: Column) -> Column:
     return let(F.struct(of("positive").alias("pos"), of("negative").alias("neg"), of("neutral").alias("neu")), blocks_of)
 
 
+# The openings and joints of the paragraph that readers get.
 def _blocks(pos: Column, neg: Column, neu: Column) -> Column:
     first, later = F.size(pos) > 0, (F.size(pos) > 0) | (F.size(neg) > 0)
 
@@ -268,23 +269,23 @@ def sentences(c: Column) -> Column:
         last = F.lower(F.substring_index(F.rtrim(piece), " ", -1))
         return last.isin(*ABBREVIATIONS) | last.rlike(r"^[a-z]\.$")
 
-    def add(done: Column, piece: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        merged = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.rtrim(last), F.lit(" "), piece)))
-        return F.when((F.size(done) > 0) & goes_on(last), merged).otherwise(F.concat(done, F.array(piece)))
+    # a sentence runs from a piece that nothing goes on into up to the next such piece; slices, not a fold, keep this linear
+    def joined(p: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | ~goes_on(F.get(p, i - 2)))
+        return let(opens, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(p, a, F.coalesce(F.get(at, k + 1), F.size(p) + 1) - a), " ")))
 
-    joined = F.aggregate(pieces, F.array().cast("array<string>"), add)
-    return F.filter(F.transform(joined, lambda s: F.trim(F.lower(s))), lambda s: s != "")
+    whole = let(pieces, lambda p: F.when(F.size(p) > 0, joined(p)).otherwise(F.array().cast("array<string>")))
+    return F.filter(F.transform(whole, lambda s: F.trim(F.lower(s))), lambda s: s != "")
 
 
 def lines_and_sentences(c: Column) -> Column:
     """Pieces between line feeds and after end punctuation, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.?!])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.?!])\s+|\n+"), lambda p: F.trim(p)), lambda s: s != "")
 
 
 def capital_sentences(c: Column) -> Column:
     """Pieces that a capital letter follows, each with an end mark."""
-    pieces = F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    pieces = F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z])"), lambda p: F.trim(p)), lambda s: s != "")
     return F.transform(pieces, lambda s: F.when(s.rlike(r"[.!?]$"), s).otherwise(F.concat(s, F.lit("."))))
 
 
@@ -302,7 +303,7 @@ def sentence_pairs(c: Column, least: int = 10) -> Column:
 def paragraphs(c: Column, least: int = 10) -> Column:
     """Blocks between empty lines, or lines where there are none, over `least` characters."""
     parts = F.when(F.instr(c, "\n\n") > 0, F.split(c, "\n\n")).otherwise(F.split(c, "\n"))
-    return F.filter(F.transform(parts, F.trim), lambda p: F.char_length(p) > least)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.char_length(p) > least)
 
 
 def granules(c: Column, granularity: str) -> Column:
@@ -374,6 +375,7 @@ def without_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\p{Cc}\p{Cf}&&[^\n\r]]", "")
 
 
+# The patterns and their order, which decide what generated texts look like after cleaning.
 def tidy_punctuation(c: Column) -> Column:
     """One mark instead of repeats, no blank before it and one after it; also within 3.5 or 10:30."""
     x = F.regexp_replace(c, r"([,.!?])\1+", "$1")
@@ -387,7 +389,7 @@ def tidy_punctuation(c: Column) -> Column:
 def without_artifacts(c: Column) -> Column:
     x = reduce(lambda y, a: F.replace(y, F.lit(a), F.lit("")), ARTIFACTS, c)
     x = without_controls(F.translate(x, INVISIBLE, ""))
-    x = F.regexp_replace(x, r"(?U)(?:(?<=\s)|^)[\[\]]+(?=\s|$)", " ")
+    x = F.regexp_replace(x, r"(?U)(?:(?<=\s)|^)[\[\]]+(?=\s|$)", " ")  # fixed value: brackets that stand alone
     return tidy_punctuation(x)
 
 
@@ -401,7 +403,7 @@ def once_per_clause(c: Column) -> Column:
     """Says each clause of a sentence once."""
     out = None
     for sep in (*CLAUSE_SEPARATORS, None):
-        parts = F.transform(F.split(c, f"\\Q{sep}\\E" if sep else ",", -1), F.trim)
+        parts = F.transform(F.split(c, f"\\Q{sep}\\E" if sep else ",", -1), lambda p: F.trim(p))
         kept = first_of_each(F.filter(parts, lambda p: p != ""), sentence_key)
         made = F.when(F.size(parts) <= 1, c).otherwise(tidy_punctuation(F.array_join(kept, sep or ", ")))
         out = F.when(F.instr(c, sep) > 0, made) if out is None else out.when(F.instr(c, sep) > 0, made) if sep else out.otherwise(made)

@@ -27,17 +27,21 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_id") ->
     return split.join(F.broadcast(before), "_range").withColumn(name, F.col("_rows_before") + F.col("_inside")).drop("_place", "_range", "_inside", "_rows_before")
 
 
-def running_sum(df: DataFrame, order: Column | str, value: str, name: str) -> DataFrame:
-    """Adds the sum of a column over all rows before a row, in the order of a column without ties.
+def running_sums(df: DataFrame, order: Column | str, sums: dict[str, str]) -> DataFrame:
+    """Adds, by new name, sums of columns over all rows before a row, in the order of a column without ties.
 
     Ranges are summed up within themselves and moved on by the sums of the ranges before.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id())
-    totals = placed.groupBy("_range").agg(F.sum(value).alias("_total"))
-    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return placed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_range", "_before")
+    placed = df.withColumn("_order", F.col(order) if isinstance(order, str) else order).repartitionByRange(n, "_order").withColumn("_range", F.spark_partition_id())
+    totals = placed.groupBy("_range").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(sums.values())])
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_t{i}").over(ranges), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    made = placed.join(F.broadcast(before), "_range")
+    for i, (name, value) in enumerate(sums.items()):
+        made = made.withColumn(name, F.col(f"_b{i}") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return made.drop("_range", "_order", *[f"_b{i}" for i in range(len(sums))])
 
 
 def dense_ids(df: DataFrame, entity: str, order: list[str], name: str = "idx") -> DataFrame:

@@ -27,7 +27,7 @@ def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     Scores are counted by value first, so running sums go over distinct scores.
     """
     by = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    won = ids.running_sum(by, score, "n", "_below").withColumn("w", F.col("p") * (F.col("_below") + F.col("n") / 2))
+    won = ids.running_sums(by, score, {"_below": "n"}).withColumn("w", F.col("p") * (F.col("_below") + F.col("n") / 2))
     return won.agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
@@ -67,7 +67,7 @@ def percentiles(df: DataFrame, score: str, steps: int) -> DataFrame:
     """
     by = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("c"))
     total = by.agg(F.sum("c").alias("n"))
-    ranked = ids.running_sum(by, "s", "c", "first").crossJoin(F.broadcast(total)).withColumn("after", F.col("first") + F.col("c"))
+    ranked = ids.running_sums(by, "s", {"first": "c"}).crossJoin(F.broadcast(total)).withColumn("after", F.col("first") + F.col("c"))
     last = F.greatest(F.col("n") - 1, F.lit(1))
     low, high = F.greatest(F.lit(0), F.floor(F.col("first") * steps / last) - 2 - F.ceil(F.lit(steps) / last)), F.least(F.lit(steps - 1), F.ceil(F.col("after") * steps / last) + 2)
     hit = ranked.filter(low <= high).select("s", "first", "after", "n", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("i"))

@@ -203,6 +203,28 @@ def statistics_grid(spark, sf_dir):
     return rounded(stats.grid(triplets(spark, sf_dir), "row_id"))
 
 
+def _grid_of(entity: str) -> str:
+    grid = _GRID.replace("GROUP BY value", "GROUP BY ALL").replace("GROUP BY row_id", "GROUP BY entity")
+    return f"WITH {TRIPLETS.replace('t AS', 'b AS', 1)}, t AS (SELECT b.*, {entity} AS entity FROM b JOIN orders ON o_orderkey = row_id) {grid}"
+
+
+def _with_order(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return triplets(spark, sf_dir).join(o, F.col("row_id") == F.col("o_orderkey"))
+
+
+@query(_grid_of("o_custkey"))
+def user_statistics(spark, sf_dir):
+    return rounded(stats.grid(_with_order(spark, sf_dir), "o_custkey"))
+
+
+@query(_grid_of("o_orderpriority || year(o_orderdate)"))
+def item_statistics(spark, sf_dir):
+    """Priority and year stand for an item."""
+    named = _with_order(spark, sf_dir).withColumn("item", F.concat("o_orderpriority", F.year("o_orderdate").cast("string")))
+    return rounded(stats.grid(named, "item"))
+
+
 @query(f"WITH {TRIPLETS} SELECT count(*) AS rows, count(DISTINCT row_id) AS n_row_id, count(DISTINCT statement) AS n_statement, count(DISTINCT topic) AS n_topic FROM t")
 def dataset_totals(spark, sf_dir):
     return stats.totals(triplets(spark, sf_dir), ["row_id", "statement", "topic"])

@@ -289,7 +289,7 @@ ORACLES["similar_ids"] = "SELECT index, id, round(similarity, 6) AS similarity F
 
 @query()
 def similarity_lists(spark, sf_dir):
-    found = retrieval.similarity_lists(_vectors(spark, sf_dir), 0.5)
+    found = retrieval.similarity_lists(_vectors(spark, sf_dir), 1.1)
     return found.select("index", F.size("similars").alias("n"), r6(F.get("similarities", 0)).alias("best"))
 
 

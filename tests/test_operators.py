@@ -204,3 +204,32 @@ def test_pluggable_scorer_and_generator(spark):
     assert {r.output for r in made.collect()} == {"P:A", "P:X"}
     assert [r.label for r in scorers.verified(spark.createDataFrame([(" 1 ",), ("yes",)], "output string")).collect()] == [1, None]
     assert scorers.embed(df, "hypothesis", lambda: lambda ts: [[1.0, float(len(t))] for t in ts]).filter("vector[1] = 1").count() == 3
+
+
+def test_tasks_name_what_they_lack():
+    from claimspark.operators import tasks
+
+    tasks.require("statement2explanation", {"predictions": "p.csv"})
+    assert tasks.missing("statement2item_chunk", {"predictions": "p", "references": ""}) == ["references", "reference_statements", "item_metadata"]
+    with pytest.raises(ValueError, match="needs predictions"):
+        tasks.require("statement2explanation", {})
+    with pytest.raises(ValueError, match="unknown task"):
+        tasks.require("other", {})
+
+
+def test_text_ids_are_looked_up_as_numbers(spark):
+    from claimspark.operators import statements
+
+    rows = spark.createDataFrame([(1, ["2", "x", None, "3"])], "row_id long, statement_ids array<string>")
+    known = spark.createDataFrame([(2, "a", "t", "positive"), (3, "b", "t", "negative")], "sid long, statement string, topic string, sentiment string")
+    assert sorted((r.sid, r.pos) for r in statements.looked_up(rows, known).collect()) == [(2, 0), (3, 3)]
+
+
+def test_running_sums_cross_ranges(spark):
+    rows = [(i * 7919 % 1000, i % 13, float(i % 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, a long, b double").repartition(5)
+    got = {r.k: (r.sa, r.sb) for r in ids.running_sums(df, "k", {"sa": "a", "sb": "b"}).collect()}
+    a, b = 0, 0.0
+    for k, x, y in sorted(rows):
+        assert got[k] == (a, b)
+        a, b = a + x, b + y
