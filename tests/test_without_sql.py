@@ -233,7 +233,7 @@ def test_similarity_lists(spark):
     x = np.stack([v[i] / np.linalg.norm(v[i]) for i in ids])
     cos = x @ x.T - 2 * np.eye(len(ids))
     want = {i: int(n) for i, n in zip(ids, (cos >= 1 - 1.1**2 / 2).sum(axis=1), strict=True) if n}
-    got = {r.index: r for r in run(spark, "similarity_lists")}
+    got = {r["index"]: r for r in run(spark, "similarity_lists")}
     assert sum(want.values()) > 0
     assert all(r.n <= want.get(i, 0) for i, r in got.items())
     assert sum(r.n for r in got.values()) >= 0.9 * sum(want.values())
