@@ -24,9 +24,9 @@ GROUP_ROWS, PLAIN_BYTES = 2000, 16 << 10
 
 
 def working_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(part, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle.
+    """(part, row, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle.
 
-    Groups are of neighbouring rows of one partition and one tier of length, so that their bytes
+    Rows are numbered, for ids may be null or repeated. Groups are of neighbouring rows of one partition and one tier of length, so that their bytes
     are bounded. The catalog names the table only until its files have been found.
     """
     spark = docs.sparkSession
@@ -37,7 +37,7 @@ def working_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str,
     part = F.shiftright("at", 33) * F.lit(1 << 37) + F.col("tier") * F.lit(1 << 33) + place
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     texts = docs.select(at.alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).withColumn("tier", tier)
-    rows = texts.select(part.cast("long").alias("part"), "*").drop("at", "tier")
+    rows = texts.select(part.cast("long").alias("part"), F.col("at").alias("row"), "*").drop("at", "tier")
     name = f"claimspark_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.shared_dir(spark, "texts")

@@ -217,7 +217,7 @@ def meeting_keys(shingles: np.ndarray, n: int, alone: int, bounds: np.ndarray, p
     return np.concatenate(wide), own
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, shingles binary, wide array<long>, own array<long>"
+_SETS = "part long, row long, doc_id long, n_shingles long, digest binary, shingles binary, wide array<long>, own array<long>"
 
 
 def _survivors(words: int, buckets: int, percent: int):
@@ -225,7 +225,7 @@ def _survivors(words: int, buckets: int, percent: int):
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_shingles": [], "digest": [], "shingles": [], "wide": [], "own": []}
-        ids = docs.column("doc_id") if docs.num_rows else pa.array([], pa.int64())
+        names = {c: docs.column(c) if docs.num_rows else pa.array([], pa.int64()) for c in ("part", "row", "doc_id")}
         if docs.num_rows:
             data, starts = groups.texts_of(docs)
             doc, h = shingle_sets(data, starts, words)
@@ -256,7 +256,7 @@ def _survivors(words: int, buckets: int, percent: int):
                     for name in ("shingles", "wide", "own"):
                         out[name].append(None)
         types = {"n_shingles": pa.int64(), "wide": pa.list_(pa.int64()), "own": pa.list_(pa.int64())}
-        return pa.table({"doc_id": ids} | {c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
+        return pa.table(names | {c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
 
     return run
 
@@ -456,17 +456,10 @@ def _pairs_of(regions: DataFrame, percent: int, most: float, pivots: int) -> Dat
     return common.materialize(out.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, region: float = REGION, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links lead to) of every document.
-
-    Sets are of 64-bit hashes of shingles. Equal sets link, so repeated rows and exact copies
-    get one component. Null, empty and blank texts have no shingle, link with nothing and are
-    their own component. A null id never names a component with others in it. Other columns
-    are ignored; an empty table gives an empty result.
-    """
+def _classes(table: DataFrame, words: int, percent: int, region: float, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(part, row, doc_id, n_shingles, digest) of a working table's documents, and (digest, component) of sets with links."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    table = groups.working_table(docs, id_col, text_col)
     size = groups.total_bytes(table)
     buckets = int(min(1 << 20, max(8, size * 2 // 3 // BUCKET_BYTES + 1)))
     prints = table.groupBy("part").applyInArrow(_send(words, buckets), "bucket int, part long, prints binary, counts binary")
@@ -478,8 +471,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = once.select("digest", F.explode("wide").alias("key")).join(hubs, "key").filter("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
     regions = groups.components(met).select(F.col("node").alias("digest"), F.hex("component").alias("region"))
     links = _pairs_of(once.select("digest", "shingles").join(regions, "digest"), percent, region, pivots)
-    linked = groups.components(links).select(F.col("node").alias("digest"), "component")
-    kept = sets.select("doc_id", "n_shingles", "digest")
+    return sets.select("part", "row", "doc_id", "n_shingles", "digest"), groups.components(links).select(F.col("node").alias("digest"), "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, region: float = REGION, pivots: int = PIVOTS) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id that links lead to) of every document.
+
+    Sets are of 64-bit hashes of shingles. Equal sets link, so repeated rows and exact copies
+    get one component. Null, empty and blank texts have no shingle, link with nothing and are
+    their own component. A null id never names a component with others in it. Other columns
+    are ignored; an empty table gives an empty result. Long texts are whole; groups of them are
+    bounded by their bytes.
+    """
+    kept, linked = _classes(groups.working_table(docs, id_col, text_col), words, percent, region, pivots)
     of_set = kept.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"))
     joined = of_set.join(linked, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -487,6 +491,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return kept.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _rows_of(docs: pa.Table, chosen: pa.Table) -> pa.Table:
+    """The chosen rows of a group."""
+    if not docs.num_rows:
+        return docs.drop_columns(["part", "row"])
+    return docs.filter(pa.array(np.isin(docs.column("row").to_numpy(), chosen.column("row").to_numpy()))).drop_columns(["part", "row"])
+
+
+def without_near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text (null as empty) and the columns to keep of one row of each component: of its smallest id, null ids last.
+
+    Rows are told apart as rows, so repeated and null ids neither keep copies nor lose other
+    texts; of rows alike in id, one stays. Texts without a shingle all stay.
+    """
+    table = groups.working_table(docs, id_col, text_col, keep)
+    kept, linked = _classes(table, words, percent, REGION, PIVOTS)
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("row"), F.col("part"))
+    of_set = kept.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(place).alias("first"))
+    joined = of_set.join(linked, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    best = joined.groupBy("component").agg(F.min("first").alias("first")).select("first.part", "first.row")
+    chosen = common.materialize(best.unionByName(kept.filter(F.col("digest").isNull()).select("part", "row")), "chosen")
+    # groups meet their chosen rows where they lie, so that no text is shuffled
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name not in ("part", "row"))
+    whole = table.groupBy("part").cogroup(chosen.groupBy("part")).applyInArrow(_rows_of, schema)
+    return whole.select("doc_id", "text", *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
+
+
 def brute_force(texts: list[tuple[int, str | None]], words: int = WORDS, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """id to (set size, component) by comparing all pairs, for tests; ids are distinct."""
     import re

@@ -31,6 +31,12 @@ WINDOW = 50
 K = 24
 #: Bytes of fingerprints that a bucket gets, and of texts for each bucket of stretches, about.
 BUCKET_BYTES, ROUTE_BYTES = 6 << 20, 6 << 20
+#: Places of a minimizer, counted once in each group and document, over which its windows are sent one by one.
+HOT = 1 << 16
+#: Groups whose stretches for a bucket are made distinct together before they go on; fewer groups send them at once.
+MERGED = 4096
+#: Windows of a long document that are looked at together.
+PIECE = 1 << 20
 _NONE = np.iinfo(np.int64).max  # a null id is after all others
 
 
@@ -40,11 +46,17 @@ class Minimizers:
     def __init__(self, data: np.ndarray, starts: np.ndarray, window: int, k: int) -> None:
         hashes, docs, firsts, counts = [], [], [], []
         for a, b in groups.chunks(starts):
-            h, d, f, c = self._chunk(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], window, k)
-            hashes.append(h)
-            docs.append(d + a)
-            firsts.append(f + starts[a])
-            counts.append(c)
+            size = int(starts[b] - starts[a])
+            step = size if b > a + 1 else PIECE  # pieces of a long document share all but one byte of a window
+            for at in range(0, max(1, size - window + 1), max(1, step)):
+                begin = int(starts[a]) + at
+                piece = data[begin : min(begin + step + window - 1, int(starts[b]))]
+                bounds = starts[a : b + 1] - starts[a] if b > a + 1 else np.array([0, len(piece)])
+                h, d, f, c = self._chunk(piece, bounds, window, k)
+                hashes.append(h)
+                docs.append(d + a)
+                firsts.append(f + begin)
+                counts.append(c)
         none = [np.zeros(0, np.int64)]
         self.hash = np.concatenate(hashes or [np.zeros(0, np.uint64)])
         self.doc = np.concatenate(docs or none)
@@ -124,7 +136,7 @@ def _shared_here(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
 def _send_fingerprints(window: int, k: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         data, starts = groups.texts_of(table)
-        keys = np.unique(_keys(Minimizers(data, starts, window, k).hash, buckets))
+        keys, counts = np.unique(_keys(Minimizers(data, starts, window, k).hash, buckets), return_counts=True)
         part = table.column("part")[0].as_py()
         parts = _split(keys, buckets)
         return pa.table(
@@ -132,23 +144,32 @@ def _send_fingerprints(window: int, k: int, buckets: int):
                 "bucket": pa.array([b for b, _, _ in parts], pa.int32()),
                 "part": pa.array([part] * len(parts), pa.int64()),
                 "prints": pa.array([(keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, i, j in parts], pa.binary()),
+                "counts": pa.array([groups.squeeze(np.minimum(counts[i:j], 65535).astype(np.uint16)) for _, i, j in parts], pa.binary()),
             }
         )
 
     return run
 
 
-def answer_shared(table: pa.Table) -> pa.Table:
-    """For each group's fingerprints in a bucket: the bits of those that another group has too."""
-    blobs = [np.frombuffer(x, np.uint32) for x in groups.column(table, "prints")]
-    every = np.concatenate(blobs)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    shared = np.zeros(len(every), bool)
-    shared[order] = np.append(same, False) | np.append(False, same)
-    cuts = np.cumsum([0, *map(len, blobs)])
-    bits = [np.packbits(shared[i:j]).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+def _answer_shared(hot: int):
+    """For each group's fingerprints in a bucket: the bits of those that another group has too, and of those in over `hot` places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint32) for x in groups.column(table, "prints")]
+        every = np.concatenate(blobs)
+        counts = np.concatenate([groups.expand(x, np.uint16) for x in groups.column(table, "counts")]).astype(np.int64)
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        members = np.diff(np.append(heads, len(every)))
+        shared, many = np.zeros(len(every), bool), np.zeros(len(every), bool)
+        shared[order] = np.repeat(members > 1, members)
+        many[order] = np.repeat(np.add.reduceat(counts[order], heads) > hot, members)
+        cuts = np.cumsum([0, *map(len, blobs)])
+        bits = [[groups.squeeze(np.packbits(x[i:j])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in (shared, many)]
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "bits": pa.array(bits[0], pa.binary()), "hot": pa.array(bits[1], pa.binary())})
+
+    return run
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -164,12 +185,17 @@ def _stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, width: i
     return out
 
 
-def _distinct(matrix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(representative rows, which of them each row equals); rows of equal hash are compared byte by byte."""
-    words = matrix.view(np.uint64)
+def _row_hashes(matrix: np.ndarray, length: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(matrix).view(np.uint64)
     h = groups.mix(length.astype(np.uint64) + np.uint64(1))
     for c in range(words.shape[1]):
         h = groups.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[:, c])
+    return h
+
+
+def _distinct(matrix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representative rows, which of them each row equals); rows of equal hash are compared byte by byte."""
+    words, h = matrix.view(np.uint64), _row_hashes(matrix, length)
     _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
     if not (np.array_equal(words, words[rep[inverse]]) and np.array_equal(length, length[rep[inverse]])):
         whole = np.ascontiguousarray(np.concatenate([matrix, length.astype("<u8").view(np.uint8).reshape(-1, 8)], axis=1))
@@ -190,15 +216,24 @@ def _send_stretches(window: int, k: int, buckets: int, routes: int):
             found = Minimizers(data, starts, window, k)
             keys = _keys(found.hash, buckets)
             distinct, shared = _shared_here(keys, found.doc)
-            told = dict(zip(groups.column(bits, "bucket"), groups.column(bits, "bits"), strict=True))
+            hot = np.zeros(len(distinct), bool)
+            told = {b: x for b, *x in zip(*(groups.column(bits, c) for c in ("bucket", "bits", "hot")), strict=True)}
             for b, i, j in _split(distinct, buckets):
-                shared[i:j] |= np.unpackbits(np.frombuffer(told[b], np.uint8), count=j - i).astype(bool)
-            kept = np.flatnonzero(shared[np.searchsorted(distinct, keys)])
-            first, count, doc = found.first[kept], found.windows[kept], found.doc[kept]
+                other, many = (np.unpackbits(groups.expand(x, np.uint8), count=j - i).astype(bool) for x in told[b])
+                shared[i:j] |= other
+                hot[i:j] = many
+            place = np.searchsorted(distinct, keys)
+            kept = np.flatnonzero(shared[place])
+            single = hot[place[kept]]
+            pieces = np.where(single, found.windows[kept], 1)
+            kept, single = np.repeat(kept, pieces), np.repeat(single, pieces)
+            first = found.first[kept] + np.arange(len(kept)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            count, doc = np.where(single, 1, found.windows[kept]), found.doc[kept]
             length = count + window - 1
             matrix = _stretches(data, first, length, 2 * window - k)
             rep, inverse = _distinct(matrix, length)
-            route = (groups.mix(found.hash[kept][rep]) % np.uint64(routes)).astype(np.int64)
+            where = np.where(single[rep], _row_hashes(matrix[rep], length[rep]), found.hash[kept][rep])
+            route = (groups.mix(where) % np.uint64(routes)).astype(np.int64)
             order = np.argsort(route, kind="stable")  # candidates are numbered by route
             number = np.empty(len(rep), np.int64)
             number[order] = np.arange(len(rep))
@@ -209,7 +244,7 @@ def _send_stretches(window: int, k: int, buckets: int, routes: int):
             part = docs.column("part")[0].as_py()
             cuts = np.flatnonzero(np.append(True, route[1:] != route[:-1])) if len(route) else np.zeros(0, np.int64)
             width = np.arange(matrix.shape[1])
-            for i, j in zip(cuts, np.append(cuts[1:], len(route)), strict=True):
+            for i, j in zip(cuts, np.append(cuts, len(route))[1:], strict=True):
                 sizes = length[rep[i:j]]
                 rows = matrix[rep[i:j]]
                 for name, value in (("part", part), ("bucket", int(route[i])), ("sizes", sizes.astype(np.uint8).tobytes()), ("bytes", groups.squeeze(rows[width < sizes[:, None]])), ("least", groups.squeeze(least[i:j])), ("places", None)):
@@ -224,30 +259,66 @@ def _send_stretches(window: int, k: int, buckets: int, routes: int):
 
 
 class RunLengthIndex:
-    """Suffix array, run-length Burrows-Wheeler transform and sampled run heads of short strings.
+    """The run-compressed Burrows-Wheeler transform of strings, with samples at the ends of runs.
 
-    Suffixes end with their string; equal ones are ordered by string. `lcp` holds, for each
-    suffix in array order, how many bytes it shares with the one before.
+    Rows are the suffixes in order; a suffix ends with its string, and equal ones are ordered by
+    string. For each run are kept: the row of its head, its byte, the row to which a step
+    backwards leads from its head, and at its first suffix the position in the text and the
+    common prefix with the suffix above, which is the last one of the run before.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
         n = len(data)
+        self.starts = starts
         owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         left = starts[owner + 1] - np.arange(n)  # bytes to the string's end
-        self.order = self._sort(data, left)
-        before = np.where(np.isin(np.arange(n), starts[:-1]), -1 - np.arange(n), data[np.arange(n) - 1].astype(np.int64))
-        bwt = before[self.order]  # string starts have marks of their own, equal to nothing
-        self.heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))  # run heads
+        order = self._sort(data, left)
+        before = np.append(data[-1:], data[:-1]).astype(np.int64)
+        before[starts[:-1]] = -1 - np.arange(len(starts) - 1)  # string starts have marks of their own, equal to nothing
+        bwt = before[order]
+        self.heads = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         self.run_bytes = bwt[self.heads]
-        samples = self.order[self.heads]  # text positions of the run heads
-        plcp = np.zeros(n, np.int64)
-        sampled = np.full(n, -1, np.int64)
-        sampled[samples] = samples
-        plcp[samples] = self._common(data, left, self.order[self.heads - 1], samples)
-        plcp[self.order[0]] = 0
+        self.head_at = order[self.heads]
+        end_at = order[np.append(self.heads[1:], n) - 1]
+        self.prefix = self._common(data, left, np.append(end_at[-1:], end_at[:-1]), self.head_at)
+        self.prefix[0] = 0
+        # rows that begin with a byte: first the strings' last positions, then by the rows of what follows
+        last = data[starts[1:] - 1].astype(np.int64)
+        ends = np.bincount(last, minlength=256)
+        first_row = np.cumsum(np.bincount(data, minlength=256)) - np.bincount(data, minlength=256)
+        by_byte = np.argsort(last, kind="stable")
+        self.entry = np.empty(len(last), np.int64)
+        self.entry[by_byte] = first_row[last[by_byte]] + np.arange(len(last)) - (np.cumsum(ends) - ends)[last[by_byte]]
+        length = np.diff(np.append(self.heads, n))
+        by_run = np.argsort(self.run_bytes, kind="stable")
+        ranked, sizes = self.run_bytes[by_run], length[by_run]
+        total = np.cumsum(sizes) - sizes
+        total -= total[np.searchsorted(ranked, ranked)]
+        self.step_to = np.empty(len(length), np.int64)
+        byte = np.maximum(ranked, 0)
+        self.step_to[by_run] = np.where(ranked < 0, -1, first_row[byte] + ends[byte] + total)
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position of the strings: its row, and how many bytes match the suffix in the row above.
+
+        All strings are streamed backwards together. A run's head has its statistic sampled;
+        elsewhere a position's is one less than that of the position before.
+        """
+        n, lengths = int(self.starts[-1]), np.diff(self.starts)
+        row_of = np.empty(n, np.int64)
+        by_length = np.argsort(-lengths, kind="stable")
+        row, at, ranked = self.entry[by_length], self.starts[1:][by_length] - 1, lengths[by_length]
+        row_of[at] = row
+        for k in range(1, int(ranked[0])):
+            active = int(np.searchsorted(-ranked, -k))  # strings of more than k bytes
+            row, at = row[:active], at[:active] - 1
+            run = np.searchsorted(self.heads, row, side="right") - 1
+            row = self.step_to[run] + row - self.heads[run]
+            row_of[at] = row
+        shared, sampled = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        shared[self.head_at], sampled[self.head_at] = self.prefix, self.head_at
         last = np.maximum.accumulate(sampled)  # each string's first position is a sample
-        self.plcp = plcp[last] - (np.arange(n) - last)
-        self.lcp = self.plcp[self.order]
+        return row_of, shared[last] - (np.arange(n) - last)
 
     @staticmethod
     def _sort(data: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -285,28 +356,65 @@ class RunLengthIndex:
 
 def window_minima(data: np.ndarray, starts: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
     """For each position of the strings, the least id of a string with the window that starts there."""
-    index = RunLengthIndex(data, starts)
+    row, shared = RunLengthIndex(data, starts).statistics()
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     inside = starts[owner + 1] - np.arange(len(data)) >= window
-    classes = np.flatnonzero(np.append(True, index.lcp[1:] < window))  # a new window begins
-    ids = np.where(inside, least[owner], _NONE)[index.order]
-    smallest = np.minimum.reduceat(ids, classes)
-    out = np.empty(len(data), np.int64)
-    out[index.order] = np.repeat(smallest, np.diff(np.append(classes, len(data))))
-    return out
+    opens, ids = np.empty(len(data), bool), np.empty(len(data), np.int64)
+    opens[row] = shared < window  # a new window begins
+    ids[row] = np.where(inside, least[owner], _NONE)
+    classes = np.flatnonzero(opens)
+    return np.minimum.reduceat(ids, classes)[(np.cumsum(opens) - 1)[row]]
 
 
-def _answer_windows(window: int, k: int):
-    def run(table: pa.Table) -> pa.Table:
+class Candidates:
+    """Stretches that groups sent to a bucket, and which of them are equal."""
+
+    def __init__(self, table: pa.Table, window: int, k: int) -> None:
         sizes = [np.frombuffer(x, np.uint8) for x in groups.column(table, "sizes")]
-        length = np.concatenate(sizes).astype(np.int64)
+        self.cuts = np.cumsum([0, *map(len, sizes)])
+        self.length = np.concatenate(sizes).astype(np.int64)
         data = np.concatenate([groups.expand(x, np.uint8) for x in groups.column(table, "bytes")])
-        least = np.concatenate([groups.expand(x, np.int64) for x in groups.column(table, "least")])
-        starts = np.cumsum(np.append(0, length))[:-1]
-        matrix = _stretches(data, starts, length, 2 * window - k)
-        rep, inverse = _distinct(matrix, length)
-        lowest = np.full(len(rep), _NONE, np.int64)
-        np.minimum.at(lowest, inverse, least)
+        self.least = np.concatenate([groups.expand(x, np.int64) for x in groups.column(table, "least")])
+        starts = np.cumsum(np.append(0, self.length))[:-1]
+        self.matrix = _stretches(data, starts, self.length, 2 * window - k)
+        self.rep, self.inverse = _distinct(self.matrix, self.length)
+        self.lowest = np.full(len(self.rep), _NONE, np.int64)
+        np.minimum.at(self.lowest, self.inverse, self.least)
+
+    def by_row(self, bits: np.ndarray) -> pa.Array:
+        return pa.array([groups.squeeze(bits[i:j]) for i, j in zip(self.cuts[:-1], self.cuts[1:], strict=True)], pa.binary())
+
+
+def _merge(window: int, k: int):
+    """Of several groups' stretches for a bucket each different one once, with its least id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c = Candidates(table, window, k)
+        sizes = c.length[c.rep]
+        packed = c.matrix[c.rep][np.arange(c.matrix.shape[1]) < sizes[:, None]]
+        blobs = {"sizes": sizes.astype(np.uint8).tobytes(), "bytes": groups.squeeze(packed), "least": groups.squeeze(c.lowest)}
+        return pa.table({"part": table.column("salt").slice(0, 1).cast(pa.int64()), "bucket": table.column("bucket").slice(0, 1)} | {n: pa.array([b], pa.binary()) for n, b in blobs.items()})
+
+    return run
+
+
+def _spread(window: int, k: int):
+    """The answers for merged stretches, for each group that sent them."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        c = Candidates(table, window, k)
+        bits = groups.expand(groups.column(told, "windows")[0], np.uint32)[c.inverse]
+        full = ((np.uint64(1) << (c.length - window + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        bits = np.where(c.lowest[c.inverse] < c.least, full, bits)
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "windows": c.by_row(bits)})
+
+    return run
+
+
+def _answer_windows(window: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        c = Candidates(table, window, k)
+        length, least, matrix, rep, inverse, lowest = c.length, c.least, c.matrix, c.rep, c.inverse, c.lowest
         windows = length[rep] - window + 1
         # a stretch whose minimizer has no other stretch is equal to nothing else
         hashes = np.concatenate([_minimizer(matrix[rep[i : i + 20000]], length[rep[i : i + 20000]], window, k) for i in range(0, len(rep), 20000)])
@@ -325,14 +433,7 @@ def _answer_windows(window: int, k: int):
         for w in range(window - k + 1):
             smaller = (minima[inverse, w] < least) & (length - window >= w)
             bits |= smaller.astype(np.uint32) << np.uint32(w)
-        cuts = np.cumsum([0, *map(len, sizes)])
-        return pa.table(
-            {
-                "part": table.column("part"),
-                "bucket": table.column("bucket"),
-                "windows": pa.array([groups.squeeze(bits[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-            }
-        )
+        return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "windows": c.by_row(bits)})
 
     return run
 
@@ -397,7 +498,7 @@ def _results(window: int, keep_text: bool, keep: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, keep_text: bool = False, keep: tuple[str, ...] = (), hot: int = HOT, merged: int = MERGED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, and columns to keep) of every document.
 
     A byte goes if a string of `window` bytes that covers it also starts in a document of
@@ -413,15 +514,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_byte = 2 / (window - k + 2)
     buckets = int(min(1 << 20, max(8, size * per_byte * 4 // BUCKET_BYTES + 1)))
     routes = int(max(8, size // ROUTE_BYTES + 1))
-    prints = table.groupBy("part").applyInArrow(_send_fingerprints(window, k, buckets), "bucket int, part long, prints binary")
-    bits = common.materialize(prints.groupBy("bucket").applyInArrow(answer_shared, "part long, bucket int, bits binary"), "shared")
+    prints = table.groupBy("part").applyInArrow(_send_fingerprints(window, k, buckets), "bucket int, part long, prints binary, counts binary")
+    bits = common.materialize(prints.groupBy("bucket").applyInArrow(_answer_shared(hot), "part long, bucket int, bits binary, hot binary"), "shared")
     sent = common.materialize(table.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_stretches(window, k, buckets, routes), _CANDIDATES), "stretches")
-    answers = (
-        sent.filter("bucket >= 0")
-        .select("part", "bucket", "sizes", "bytes", "least")
-        .groupBy("bucket")
-        .applyInArrow(_answer_windows(window, k), "part long, bucket int, windows binary")
-    )
+    stretches = sent.filter("bucket >= 0").select("part", "bucket", "sizes", "bytes", "least")
+    salts = sent.select("part").distinct().count() // merged + 1
+    windows = "part long, bucket int, windows binary"
+    if salts > 1:  # a passage that all groups have must not send a row of each to one bucket
+        salted = stretches.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int"))
+        once = common.materialize(salted.groupBy("bucket", "salt").applyInArrow(_merge(window, k), "part long, bucket int, sizes binary, bytes binary, least binary"), "merged")
+        found = once.groupBy("bucket").applyInArrow(_answer_windows(window, k), windows).withColumnRenamed("part", "salt")
+        answers = salted.groupBy("bucket", "salt").cogroup(found.groupBy("bucket", F.col("salt").cast("int"))).applyInArrow(_spread(window, k), windows)
+    else:
+        answers = stretches.groupBy("bucket").applyInArrow(_answer_windows(window, k), windows)
     nothing = F.lit(None).cast("binary")
     told = answers.select("part", "bucket", "windows", nothing.alias("places"), nothing.alias("least")).unionByName(
         sent.filter("bucket < 0").select("part", "bucket", nothing.alias("windows"), "places", "least")

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from claimspark.llm import repeats
+from pyspark.sql import functions as F
+
+from claimspark.llm import groups, repeats
 
 SCHEMA = "doc_id long, text string, part int, least string"
 
@@ -22,14 +24,14 @@ def corpus(seed: int, n: int, letters: str = "abé ") -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot", "merged"), [(1, 1 << 16, 4096), (2, 4, 4096), (3, 0, 4096), (4, 1 << 16, 1), (5, 4, 2)])
+def test_equals_brute_force(spark, seed, hot, merged):
     rows = corpus(seed, 60)
     rng = random.Random(seed)
-    texts = [(i, t) for i, t in rows] + [(100, rows[3][1]), (101, None), (102, ""), (None, rows[5][1]), (103, "x" * 49), (104, "y" * 50), (105, "y" * 300)]
+    texts = [(i, t) for i, t in rows] + [(100, rows[3][1]), (101, None), (102, ""), (None, rows[5][1]), (103, "x" * 49), (104, "y" * 50), (105, "y" * 300), (106, " ".join(map(str, range(9000))))]
     rng.shuffle(texts)
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in texts], SCHEMA).repartition(5)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, hot=hot, merged=merged).collect())
     want = sorted((-1 if k is None else k, n, hashlib.sha256(kept).hexdigest()) for k, n, kept in repeats.brute_force(texts))
     assert got == want
     assert sum(n for _, n, _ in got) > 0
@@ -54,7 +56,9 @@ def test_run_length_index_equals_sorting():
     index = repeats.RunLengthIndex(data, starts)
     suffixes = [(s[i:], j, i) for j, s in enumerate(strings) for i in range(len(s))]
     suffixes.sort(key=lambda x: (x[0], x[1]))
-    assert index.order.tolist() == [int(starts[j]) + i for _, j, i in suffixes]
+    row, shared = index.statistics()
+    order = [int(starts[j]) + i for _, j, i in suffixes]
+    assert np.argsort(row).tolist() == order
 
     def common(a, b):
         n = 0
@@ -62,5 +66,40 @@ def test_run_length_index_equals_sorting():
             n += 1
         return n
 
-    assert index.lcp.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    assert shared[order].tolist() == [0] + [common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    runs = np.repeat(index.run_bytes, np.diff(np.append(index.heads, len(data))))
+    assert [int(x) for x in runs if x >= 0] == [data[p - 1] for p in order if p not in starts]
     assert len(index.heads) < len(data)
+
+
+def test_phrase_in_most_documents_is_sent_by_windows(spark):
+    rng = random.Random(7)
+    phrase = "a phrase of forty-nine bytes that is in every docum"[:49]
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(60)) + phrase + "".join(rng.choice("xyz") for _ in range(60))) for i in range(400)]
+    rows += [(1000 + i, t[20:]) for i, t in rows[::9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(df, hot=100).collect())
+    assert got == sorted((k, n) for k, n, _ in repeats.brute_force(rows))
+
+
+def test_long_document_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    data = np.frombuffer("".join(rng.choice("abcd ") for _ in range(5000)).encode(), np.uint8)
+    starts = np.array([0, len(data)])
+    whole = repeats.Minimizers(data, starts, 50, 24)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    cut = repeats.Minimizers(data, starts, 50, 24)
+
+    def chosen(m):
+        return np.repeat(m.hash, m.windows).tolist(), np.concatenate([np.arange(f, f + c) for f, c in zip(m.first, m.windows, strict=True)]).tolist()
+
+    assert chosen(whole) == chosen(cut)
+    assert len(cut.hash) > len(whole.hash)
+
+
+def test_long_texts_make_groups_of_their_own(spark):
+    texts = [(i, "x" * n) for i, n in enumerate([10] * 50 + [40_000] * 20 + [3_000_000] * 3)]
+    table = groups.working_table(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    sizes = [r["sum(octet_length(text))"] for r in table.groupBy("part").agg({"doc_id": "count"}).join(table.groupBy("part").agg(F.sum(F.octet_length("text"))), "part").collect()]
+    assert max(sizes) <= groups.GROUP_ROWS * groups.PLAIN_BYTES
+    assert len(sizes) == 3
