@@ -69,3 +69,27 @@ def test_nulls_repeats_and_empty_texts(spark):
     got = mixing.mix(df, {}, 1.0).select("doc_id", "lang", "source", "epoch", "take_tokens").collect()
     assert sorted((r.doc_id or -1, r.lang, r.source, r.epoch, r.take_tokens) for r in got) == [(-1, "en", "", 0, 1), (1, "", "s", 0, 2), (1, "", "s", 0, 2), (3, "en", "", 0, 0), (4, "en", "", 0, 0)]
     assert mixing.mix(df.limit(0), {}, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_budget_tables_equal_the_rules_in_python(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    leaves = {(f"d{rng.randrange(4)}", f"l{rng.randrange(3)}", f"s{rng.randrange(40)}"): (rng.choice([0, 1, 3, 50, 1000, 123457]), rng.randint(1, 9)) for _ in range(120)}
+    nodes = sorted({p[:k] for p in leaves for k in (1, 2, 3)})
+    weights = {p: rng.choice([0.0, 0.5, 1.0, 2.5, 7.0]) for p in nodes if rng.random() < 0.5}
+    supply = sum(s for s, _ in leaves.values())
+    table = spark.createDataFrame([(*p, s, n) for p, (s, n) in leaves.items()], "domain string, lang string, source string, supply long, docs long").repartition(3)
+    for total, epochs in ((supply * 2 // 3, 1), (supply * 2, 3)):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(table, list(mixing.TREE), weights, total, epochs).collect()}
+        want = {n.path: n.budget for n in mixing.budgets([(p, s, d) for p, (s, d) in leaves.items()], weights, total, epochs) if n.budget}
+        assert got == want
+
+
+def test_rows_without_ids_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_DOCS", 8)
+    df = spark.createDataFrame([(None, f"word {i}", "d", "en", "s") for i in range(400)], "doc_id long, text string, domain string, lang string, source string").repartition(4)
+    got = mixing.mix(df, {}, 0.5).collect()
+    assert sum(r.take_tokens for r in got) == 400
+    assert len({r.text for r in got}) == len(got) == 200
