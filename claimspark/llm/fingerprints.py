@@ -79,7 +79,11 @@ def likeness(a: Vector, b: Vector) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint of every row; null text counts as empty, repeated rows stay."""
+    """id and fingerprint of every row; null text counts as empty, repeated rows stay.
+
+    Texts are taken whole and rows alone; other columns are ignored. An empty table gives an
+    empty result.
+    """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fingerprint string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

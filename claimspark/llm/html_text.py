@@ -55,7 +55,7 @@ _NAMED = re.compile(
 )
 _WEAK = frozenset("header banner notice notices alert alerts search share sharing social side legal skip".split())
 _FRAME = frozenset(
-    "site page top bottom main global bar box wrap wrapper container link links button buttons btn icon icons list area block inner outer left right "
+    "site top bottom main global bar box wrap wrapper container link links button buttons btn icon icons list area block inner outer left right "
     "col column form widget fixed sticky fluid primary secondary media follow to content js id is no the".split()
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -82,7 +82,7 @@ def _named(value: str, in_article: bool) -> bool:
     for name in value.lower().split():
         parts = set(re.split(r"[_-]+", name)) - {""}
         weak = parts & _WEAK
-        if weak and not (in_article and weak == {"header"}) and parts <= _WEAK | _FRAME:
+        if weak and not (in_article and parts == {"header"}) and parts <= _WEAK | _FRAME:
             return True
     return False
 

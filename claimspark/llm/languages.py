@@ -93,7 +93,9 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles from about `sample` labelled documents of each language, chosen by a hash of the id.
 
-    Only TOP n-grams for each language reach the driver. Null labels are left out.
+    Only TOP n-grams for each language reach the driver. Null labels are left out, null and empty
+    texts add nothing, repeated rows count as often as they occur, n-grams of equal frequency are
+    ordered by their codes, other columns are ignored. An empty table gives no profile.
     """
     known = labelled.filter(F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
@@ -126,7 +128,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
     """id (and the columns of `keep`), lang_pred and score (1 less the distance over the largest possible).
 
     Null, empty and letterless texts get "und" and 0, as does every text without any profile.
-    Every row is treated alone, so repeated rows stay and other columns have no effect.
+    Every row is treated alone, so repeated rows stay and other columns have no effect. Of
+    equally near languages the first in alphabetical order is taken. Texts are taken whole. An
+    empty table gives an empty result.
     """
     cols = [id_col, *(keep or [])]
     at = cols.index(text_col) if text_col in cols else len(cols)

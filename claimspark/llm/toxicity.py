@@ -147,7 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trains on at most about POSITIVES confirmed and UNLABELLED unlabelled texts, chosen by a hash.
 
     The prior is the share of toxic labels; a document with several labels counts as toxic if
-    one of them is. Null labels, null ids and labels of missing documents are left out.
+    one of them is. Null labels, null ids and labels of missing documents are left out; null and
+    empty texts count as texts without words. Documents that occur several times are drawn
+    together and count each time. Other columns are ignored. Without documents or toxic labels
+    every text scores the same, near 0.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
@@ -164,7 +167,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of every row; null and empty texts get the score of a text without words."""
+    """id and score of every row; null and empty texts get the score of a text without words.
+
+    Texts are taken whole and rows alone, so repeated rows stay and equal texts have equal
+    scores. Other columns are ignored. An empty table gives an empty result.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     state: list[Features] = []
 

@@ -71,3 +71,65 @@ def test_other_languages_without_article(teaser):
 
 def test_teaser_article_does_not_replace_the_main_text():
     assert MAIN in html_text.main_text(f"<body>{NAV}<div><p>{MAIN}</p></div><article><h3>More news</h3></article>")
+
+
+@pytest.mark.parametrize("cls", ["entry-header", "post-header", "article-header", "header", "social-science", "legal-news", "search-results-study"])
+def test_names_inside_an_article_keep_its_title(cls):
+    page = f"<body>{NAV}<article><header class='entry-header'><div class='{cls}'><h1>My title</h1></div></header><p>{MAIN}</p></article>"
+    assert html_text.main_text(page) == f"My title\n{MAIN}"
+
+
+def test_header_of_a_post_without_article():
+    page = f"<body>{NAV}<div class='post'><div class='post-header'><h1>My title</h1></div><p>{MAIN}</p></div><div class='site-header'>Site name</div>"
+    assert html_text.main_text(page) == f"My title\n{MAIN}"
+
+
+@pytest.mark.parametrize("cls", ["share-buttons", "social-links", "related-posts", "comments", "ad-box", "newsletter", "site-header", "search-form", "cookie-notice", "alert"])
+def test_names_of_the_frame_are_refused_inside_an_article(cls):
+    assert html_text.main_text(f"<article><p>{MAIN}</p><div class='{cls}'>{MAIN} Again.</div></article>") == MAIN
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 1_600_000, "<a " * 1_600_000 + ">", "<" * 4_000_000, "<div>" * 300_000 + "</p>" * 300_000, "<a href='" * 500_000, ("<a '" + 'x"') * 400_000 + ">" * 10, "<!--" * 1_000_000, "<svg>" * 500_000],
+)
+def test_megabytes_of_broken_markup_take_seconds(page):
+    import time
+
+    start = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - start < 30
+
+
+def test_second_pass_equals_a_naive_search():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        blocks = [html_text.Block(rng.choice([0, 0, 1, 2]), rng.random() < 0.2, False, text="x", good=rng.choice([True, False, None, None, None])) for _ in range(rng.randint(1, 25))]
+        for b in blocks:
+            b.good = False if b.refused else b.good
+
+        def naive(at, step):
+            mine = blocks[at].article
+            for distance in range(1, len(blocks)):
+                i = at + step * distance
+                if not 0 <= i < len(blocks):
+                    return None
+                b = blocks[i]
+                if b.good is not None and (not mine or b.article == mine and not b.refused):
+                    return b.good, distance
+            return None
+
+        assert html_text._nearest(blocks) == [naive(i, -1) for i in range(len(blocks))]
+        assert html_text._nearest(blocks[::-1])[::-1] == [naive(i, 1) for i in range(len(blocks))]
+
+
+def test_labels_are_inherited_by_distance():
+    short = "".join(f"<p>s{i}</p>" for i in range(10))
+    links = "<div>" + "<a href=x>one two three four five six seven eight nine ten eleven twelve</a> " * 2 + "</div>"
+    got = html_text.main_text(f"<div><p>{LONG}</p>{short}{links}</div>").split("\n")
+    assert got == [LONG.strip(), *(f"s{i}" for i in range(5))]
+    assert html_text.inherited((True, 2), (False, 2), False)
+    assert not html_text.inherited((True, 1), (False, 1), True)
+    assert html_text.inherited(None, None, False)
