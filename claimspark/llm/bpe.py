@@ -11,8 +11,14 @@ import array
 import json
 import os
 import re
-import unicodedata
 
+#: Characters whose classes, lower case and normal form do not differ between the libraries' tables;
+#: no two of them compose. Texts with any other go to the file's own library whole.
+_VERIFIED = (
+    "\x01-\x7f\xa0-\u012f\u0131-\u017e\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20ac\u2122"
+    "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
+)
+_OTHER = re.compile(f"[^{_VERIFIED}]")
 _ODD_BLANK = re.compile(r"[^\S \n]|[ \n][ \n]|^\s|\s$")
 _SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
@@ -33,6 +39,15 @@ def load(path: str) -> Tokenizer:
     return _loaded[path]
 
 
+def blanks_do_not_count(path: str) -> bool:
+    """Whether the file's tokenizer only ends words at ASCII white space, whatever its kind and amount."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return WordRanks.fits(spec) and not any(t["content"].split() != [t["content"]] for t in spec.get("added_tokens", []))
+
+
 class Tokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as native unsigned 32-bit numbers."""
@@ -106,7 +121,7 @@ class ByteRanks(Library):
 
     def ids(self, texts: list[str]) -> list[bytes]:
         # with single blanks only, the pattern's look-ahead for runs of white space never matters
-        plain = [not (_ODD_BLANK.search(t) or self.has_added(t)) for t in texts]
+        plain = [not (_ODD_BLANK.search(t) or _OTHER.search(t) or self.has_added(t)) for t in texts]
         rest = iter(super().ids([t for t, p in zip(texts, plain, strict=True) if not p])) if not all(plain) else iter(())
         encode = self.encoder.encode_ordinary
         return [array.array("I", encode(t)).tobytes() if p else next(rest) for t, p in zip(texts, plain, strict=True)]
@@ -133,6 +148,8 @@ class WordRanks(Library):
             plain
             and model.get("end_of_word_suffix") == "</w>"
             and steps == ["NFC", "Replace", "Lowercase"]
+            and norm["normalizers"][1].get("pattern") == {"Regex": r"\s+"}
+            and norm["normalizers"][1].get("content") == " "
             and split.get("type") == "Split"
             and split.get("pattern") == {"Regex": cls.PATTERN}
             and split.get("behavior") == "Removed"
@@ -157,11 +174,11 @@ class WordRanks(Library):
         out: list[int | None] = []
         rest = []
         for t in texts:
-            if "\0" in t or self.has_added(t) or "İ" in t or "Σ" in t:  # lower case differs by context there
+            if _OTHER.search(t) or self.has_added(t):
                 out.append(None)
                 rest.append(t)
                 continue
-            words = self.words((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
+            words = self.words(t.lower())
             out.append(len(self.encoder.encode_ordinary("\0".join(words) + "\0")) if words else 0)
         whole = iter(super().counts(rest)) if rest else iter(())
         return [next(whole) if n is None else n for n in out]

@@ -3,6 +3,11 @@
 A text's key is the SHA-256 of its normal form; a tokenizer's key is the SHA-256 of its
 serialised definition. Stored counts are joined by both; only distinct texts without a stored
 count are encoded, and their counts are appended to the cache table.
+
+The normal form must have the count of the text itself. Where a tokenizer only ends words at
+white space, runs of ASCII white space become one space and go at both ends: no word, no token
+that is looked for in the text as it stands, and no composition of characters reaches over them.
+Other tokenizers take the text as it is.
 """
 
 from __future__ import annotations
@@ -63,15 +68,18 @@ def count_tokens(
 
     Null text counts as empty: 0 bytes and the count of "". Repeated rows and null ids each
     give their own row. Other columns are ignored. An empty table gives an empty result.
-    The cache holds each (tokenizer, content) once as long as one writer appends at a time.
+    The cache holds each (tokenizer, content) once as long as one writer appends at a time; where
+    several did, one of the equal counts is taken.
     Work: one shuffle of the distinct texts, pre-aggregated in each task, so that copies are
     neither moved nor encoded; then a join of narrow rows, whose hot keys Spark may split.
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(DEFAULT_TOKENIZER)
-    version = tokenizer_digest(path)
+    plain = bpe.blanks_do_not_count(path)
+    version = tokenizer_digest(path) + ("-blanks" if plain else "")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
+    form = F.trim(F.regexp_replace(text, r"[\x09-\x0D ]+", " ")) if plain else text
+    keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(form, 256)).alias("content"))
     cache = open_cache(spark, cache_path)
     stored = cache.filter(F.col("tokenizer") == version)
     distinct = keyed.groupBy("content").agg(F.first("text").alias("text"))
@@ -79,14 +87,16 @@ def count_tokens(
     common.map_batches(misses, _encode(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
     rows = keyed.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return rows.join(stored.select("content", "n_tokens"), "content", "left").select(
+    counts = stored.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    return rows.join(counts, "content", "left").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is kept at token-counts under spark.checkpoint.dir and read by later runs."""
     docs = common.read_table(spark, sf_dir, "documents")
-    return count_tokens(docs, common.shared_dir(spark, "token-cache"))
+    return count_tokens(docs, f"{common.shared_base(spark)}/token-counts")
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}
