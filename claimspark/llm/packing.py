@@ -44,16 +44,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
                 count, pattern = room[space].pop()
                 if not room[space]:
                     spaces.pop()
-                fit = space // length
-                filled = min(count, todo // fit)
-                if filled:  # packs that take as many of this length as fit
-                    put(filled, pattern + (length,) * fit, space - fit * length)
-                    todo -= filled * fit
-                elif todo:
-                    put(1, pattern + (length,) * todo, space - todo * length)
-                    filled, todo = 1, 0
+                filled = min(count, todo)  # one piece each: then others may be the shortest
+                put(filled, pattern + (length,), space - length)
                 put(count - filled, pattern, space)
-            else:
+                todo -= filled
+            else:  # a new pack stays the shortest until it is full
                 fit = capacity // length
                 put(todo // fit, (length,) * fit, capacity - fit * length)
                 put(int(todo % fit > 0), (length,) * (todo % fit), capacity - todo % fit * length)
