@@ -24,25 +24,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate component."""
-    found = jaccard.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS)
+    """Keeps one row of each near-duplicate component, that of the smallest id; null ids are after all others.
+
+    Rows are told apart even where ids are null or repeated. Texts without words stay.
+    """
+    return jaccard.without_near_duplicates(docs, keep=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeats of smaller documents out of texts; documents of which nothing is left go."""
+    """Cuts repeats of smaller documents out of texts; documents of which nothing is left go.
+
+    Equal ids are not smaller than each other, null ids are after all others; null texts count as empty.
+    """
     cut = repeats.remove_repeats(docs, keep_text=True, keep=("lang", "source"))
     text = F.col("kept_text")
     return cut.filter((F.col("n_removed") == 0) | (F.trim(text) != "")).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the supply in words, by the production weights, each document at most once and whole."""
+    """Half of the supply in words, by the production weights, each document at most once.
+
+    The document in which a leaf's prefix ends is kept whole, so that a leaf may exceed its
+    budget by less than that document. Null names count as empty ones.
+    """
     return mixing.mix(docs, mixing.WEIGHTS, 0.5, mixing.document_tree(), seed=1).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; null texts count as empty, repeated ids are pieces of their own."""
     return packing.pack(docs)
 
 
