@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch_path
+from ..sources.scratch import written
 from . import ids
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage between rounds: a table in the shared folder."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bipartite_graph(interactions: DataFrame, order: list[str], user: str = "user_id", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): users are 0 .. u-1 and items follow, both by first appearance."""
     users, items = ids.dense_ids(interactions, user, order, "id"), ids.dense_ids(interactions, item, order, "id")
@@ -84,8 +75,8 @@ def k_hop(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     frontier = seen
     for _ in range(k):
         near = frontier.join(both, frontier.id == both.src).select("pair", F.col("dst").alias("id")).distinct()
-        frontier = _written(near.join(seen, ["pair", "id"], "left_anti"), "frontier")
-        seen = _written(seen.unionByName(frontier), "seen")
+        frontier = written(near.join(seen, ["pair", "id"], "left_anti"), "frontier")
+        seen = written(seen.unionByName(frontier), "seen")
     return seen
 
 
@@ -114,15 +105,15 @@ def k_core(edges: DataFrame, k: int, preserve: DataFrame | None = None) -> DataF
     edges hold both directions. Rounds go on until no node is removed. If nothing is left the
     input comes back.
     """
-    left = _written(edges, "core")
+    left = written(edges, "core")
     while True:
         weak = degrees(left, "src").filter(F.col("degree") < k).select("id")
         if preserve is not None:
             weak = weak.join(preserve.select("id"), "id", "left_anti")
-        weak = _written(weak, "weak")
+        weak = written(weak, "weak")
         if weak.isEmpty():
             break
-        left = _written(left.join(weak, left.src == weak.id, "left_anti").join(weak, left.dst == weak.id, "left_anti"), "core")
+        left = written(left.join(weak, left.src == weak.id, "left_anti").join(weak, left.dst == weak.id, "left_anti"), "core")
     return edges if left.isEmpty() else left
 
 
@@ -133,7 +124,7 @@ def best_paths(edges: DataFrame, pairs: DataFrame, k: int, longest: int, filter_
     left out only after the k best have been chosen. Ties go to the smaller path.
     """
     into = degrees(edges).select(F.col("id").alias("dst"), F.ln("degree").alias("_d"))
-    steps = _written(edges.join(into, "dst").select("src", "dst", (F.col("_d") - F.ln("weight")).alias("step")), "steps")
+    steps = written(edges.join(into, "dst").select("src", "dst", (F.col("_d") - F.ln("weight")).alias("step")), "steps")
     ends = steps.select(F.col("src").alias("at"), F.col("dst").alias("goal"), F.col("step").alias("final"))
     grown = pairs.select("pair", F.col("item_id").alias("goal"), F.array("user_id").alias("path"), F.col("user_id").alias("at"), F.lit(0.0).alias("cost"))
     found = None
@@ -149,7 +140,7 @@ def best_paths(edges: DataFrame, pairs: DataFrame, k: int, longest: int, filter_
             near = ahead.join(ends.select("at", "goal"), ["at", "goal"], "left_semi")
             w = Window.partitionBy("pair", "at").orderBy(F.round("cost", 9), "path")
             ahead = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-        grown = _written(ahead, "paths")
+        grown = written(ahead, "paths")
     w = Window.partitionBy("pair").orderBy(F.round("cost", 9), "path")
     best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.filter(F.size("path") <= filter_after + 1) if filter_after else best

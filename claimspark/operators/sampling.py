@@ -30,7 +30,7 @@ def negative_items(positives: DataFrame, items: DataFrame, draws: int = 8, seed:
     is kept. A row whose draws are all positives gets one of the items its user has not by its
     rank among them; only users who have every item get null.
     """
-    pool = numbered(items.select(F.col("item_id").alias("_item")).distinct(), ["_item"], "_no")
+    pool = numbered(items.select(F.col("item_id").alias("_item")).distinct(), ["_item"], "_no", ties=False)
     n = F.broadcast(pool.agg(F.count("*").alias("_n")))
     tries = positives.crossJoin(n).select("row_id", "user_id", "item_id", "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_try"))
     number = F.pmod(F.xxhash64(F.lit(seed), "row_id", "_try"), F.col("_n"))
@@ -56,7 +56,7 @@ def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor:
     Pairs are drawn by digest, `factor` for each edge. Where these are too few, others are taken
     by evenly spread ranks among the pairs left; the complement of the graph is never made.
     """
-    u, i = numbered(users.select("user_id").distinct(), ["user_id"], "_u"), numbered(items.select("item_id").distinct(), ["item_id"], "_i")
+    u, i = numbered(users.select("user_id").distinct(), ["user_id"], "_u", ties=False), numbered(items.select("item_id").distinct(), ["item_id"], "_i", ties=False)
     sizes = edges.select("user_id", "item_id").distinct()
     counts = F.broadcast(sizes.agg(F.count("*").alias("_e")).crossJoin(u.agg(F.count("*").alias("_nu"))).crossJoin(i.agg(F.count("*").alias("_ni"))))
     tries = sizes.crossJoin(counts).select("*", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("_try"))
@@ -69,7 +69,7 @@ def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor:
     n_drawn, left = pairs.count(), size._nu * size._ni - taken.count()
     short = min(size._e - n_drawn, left)
     if short > 0:
-        gaps = numbered(taken, ["_v"], "_at").select((F.col("_v") - F.col("_at")).alias("_v"), F.lit(-1).cast("long").alias("_k"))
+        gaps = numbered(taken, ["_v"], "_at", ties=False).select((F.col("_v") - F.col("_at")).alias("_v"), F.lit(-1).cast("long").alias("_k"))
         # rank k * left // short, in parts that do not overflow
         spread = F.expr(f"id * {left // short} + cast(id as decimal(19, 0)) * {left % short} div {short}")
         asked = edges.sparkSession.range(short).select(spread.alias("_v"), F.col("id").alias("_k"))
@@ -78,7 +78,7 @@ def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor:
         free = placed.select((F.col("_v") + F.col("_at") - F.col("_k")).alias("_v"))
         more = free.select(F.expr(f"_v div {size._ni}").alias("_u"), F.expr(f"_v % {size._ni}").alias("_i"), F.lit(size._e).alias("_e"))
         pairs = pairs.select("user_id", "item_id", "_e").unionByName(more.join(u, "_u").join(i, "_i").select("user_id", "item_id", "_e"))
-    placed = numbered(pairs.withColumn("_o", _digest(F.col("user_id"), F.col("item_id"), seed)), ["_o", "user_id", "item_id"], "_at")
+    placed = numbered(pairs.withColumn("_o", _digest(F.col("user_id"), F.col("item_id"), seed)), ["_o", "user_id", "item_id"], "_at", ties=False)
     return placed.filter(F.col("_at") < F.col("_e")).select("user_id", "item_id")
 
 

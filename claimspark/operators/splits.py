@@ -67,7 +67,7 @@ def stratified_user_split(df: DataFrame, evaluation: float = 0.1, test: float =
     """user, n, bin, split: users of like activity are shuffled by a digest and parted."""
     binned = activity_bins(df.groupBy(user).agg(F.count("*").alias("n")))
     digest = F.md5(F.concat(F.col(user).cast("string"), F.lit(f"#{seed}")).cast("binary"))
-    placed = numbered(binned.withColumn("_o", digest), ["bin", "_o", user], "_all")
+    placed = numbered(binned.withColumn("_o", digest), ["bin", "_o", user], "_all", ties=False)
     bins = F.broadcast(placed.groupBy("bin").agg(F.min("_all").alias("_first"), F.count("*").alias("_n")))  # a row a bin
     shuffled = placed.join(bins, "bin").withColumn("_at", F.col("_all") - F.col("_first"))
     return shuffled.select(user, "n", "bin", _parted(F.col("_at"), F.col("_n"), evaluation, test, False).alias("split"))

@@ -86,7 +86,7 @@ def vocabulary(triplets: DataFrame, key: str = "row_id") -> DataFrame:
     name = F.struct("statement", "topic", "sentiment")
     seen = triplets.groupBy("statement", "topic", "sentiment").agg(F.count("*").alias("freq"), F.min(F.struct(key, "pos")).alias("_f"))
     flat = seen.select(name.alias("_e"), "freq", F.col(f"_f.{key}").alias("_k"), F.col("_f.pos").alias("_p"))
-    return ids.numbered(flat, ["_k", "_p"], "sid").select("sid", "_e.*", "freq")
+    return ids.numbered(flat, ["_k", "_p", "_e"], "sid", ties=False).select("sid", "_e.*", "freq")
 
 
 def with_ids(triplets: DataFrame, vocabulary: DataFrame, topics: DataFrame | None = None, key: str = "row_id") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,27 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TRIPLETS
 from ..operators.ids import require_columns
+from .scratch import new_scratch, scratch_path
 
-_own: dict[str, str] = {}
+__all__ = ["new_scratch", "scratch_path"]
 
 INTERACTIONS = f"row_id bigint, user_id string, item_id string, timestamp bigint, rating double, review string, review_title string, user_name string, statements {TRIPLETS}, statement_ids array<bigint>, topic_ids array<bigint>, sentiments array<int>"
 REVIEWS = "overall double, unixReviewTime bigint, reviewText string, reviewerName string, reviewerID string, asin string, summary string, helpful array<int>, reviewTime string, _corrupt_record string"
 METADATA = "asin string, title string, description string"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder that spark.checkpoint.dir names; a temporary one only where that is unset and all runs on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="claimspark-")
-        base = _own[app]
-    return f"{base.rstrip('/')}/{name}"
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
@@ -144,7 +130,3 @@ def read_template(spark: SparkSession, path: str) -> str:
 def unprocessed(inputs: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
     """Inputs whose key the written output does not have."""
     return inputs.join(done.select(key).distinct(), key, "left_anti")
-
-
-def new_scratch(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")

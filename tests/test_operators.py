@@ -225,6 +225,63 @@ def test_text_ids_are_looked_up_as_numbers(spark):
     assert sorted((r.sid, r.pos) for r in statements.looked_up(rows, known).collect()) == [(2, 0), (3, 3)]
 
 
+@pytest.fixture(params=["1", "4", "64"])
+def partitions(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield int(request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_numbers_of_more_rows_than_are_sampled(spark, partitions, equal):
+    n = 1_000_000 if partitions == 4 else 20_000
+    key = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 1000 if equal else F.col("id"))
+    df = spark.range(n, numPartitions=3).select(key.alias("k"), (F.col("id") * 7919 % n).alias("v"))
+    twice = [ids.numbered(df, ["k"], "no") for _ in range(2)]
+    for got in twice:
+        whole = got.agg(F.count("*"), F.count_distinct("no"), F.min("no"), F.max("no")).first()
+        assert tuple(whole) == (n, n, 0, n - 1)
+        order = got.groupBy("k").agg(F.min("no").alias("a"), F.max("no").alias("b"), F.count("*").alias("c"))
+        assert order.filter("b - a + 1 <> c").isEmpty()  # equal keys stand together
+        want, at = [], 0
+        for k, c in sorted(df.groupBy("k").count().collect()) if equal else []:
+            want.append((k, at))
+            at += c
+        assert not equal or sorted((r.k, r.a) for r in order.collect()) == want
+    assert twice[0].exceptAll(twice[1]).isEmpty()
+
+
+def test_equal_rows_do_not_share_a_range(spark, partitions):
+    from claimspark.operators.ids import _in_ranges
+
+    placed = _in_ranges(spark.range(40_000, numPartitions=4).select(F.lit(1).alias("k")), ["k"], True)
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert sum(sizes) == 40_000
+    assert max(sizes) < 2 * 40_000 / partitions or partitions == 1
+
+
+def test_running_sums_of_more_rows_than_are_sampled(spark, partitions):
+    n = 30_000
+    df = spark.range(n, numPartitions=2).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 13).alias("a"))
+    for _ in range(2):
+        got = {r.k: r.s for r in ids.running_sums(df, "k", {"s": "a"}).collect()}
+        at = 0
+        for k, a in sorted((i * 7919 % n, i % 13) for i in range(n)):
+            assert got[k] == at
+            at += a
+
+
+def test_area_under_curve_of_many_scores(spark):
+    df = spark.range(30_000, numPartitions=2).select((F.col("id") * 7919 % 30_011).cast("double").alias("score"), (F.col("id") % 3 % 2).cast("int").alias("label"))
+    rows_ = sorted((r.score, r.label) for r in df.collect())
+    won = below = 0
+    for _, label in rows_:
+        won += below * label
+        below += 1 - label
+    assert ranking.auc(df).first().auc == pytest.approx(won / (below * (30_000 - below)))
+
+
 def test_running_sums_cross_ranges(spark):
     rows = [(i * 7919 % 1000, i % 13, float(i % 5)) for i in range(1000)]
     df = spark.createDataFrame(rows, "k long, a long, b double").repartition(5)
