@@ -23,6 +23,7 @@ _ODD_BLANK = re.compile(r"[^\S \n]|[ \n][ \n]|^\s|\s$")
 _SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 _loaded: dict[str, Tokenizer] = {}
+_plain: dict[str, Library] = {}
 
 
 def load(path: str) -> Tokenizer:
@@ -39,6 +40,19 @@ def load(path: str) -> Tokenizer:
     return _loaded[path]
 
 
+def load_plain(path: str) -> Library:
+    """As load, of a tokenizers file; strings of special tokens in a text are plain text."""
+    if path not in _plain:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kind = next((k for k in (ByteRanks,) if k.fits(spec)), Library)
+        made = kind(path, spec)
+        made.library.encode_special_tokens = True
+        made.added = [t["content"] for t in spec.get("added_tokens", []) if not t.get("special")]
+        _plain[path] = made
+    return _plain[path]
+
+
 def blanks_do_not_count(path: str) -> bool:
     """Whether the file's tokenizer only ends words at ASCII white space, whatever its kind and amount."""
     if path.endswith(".model"):
@@ -82,6 +96,14 @@ class Library(Tokenizer):
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id of a byte-level vocabulary stands for; b"" for ids that it lacks."""
+        letters = _byte_letters()
+        out = [b""] * self.library.get_vocab_size(with_added_tokens=True)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        return out
+
     def has_added(self, text: str) -> bool:
         return any(a in text for a in self.added)
 
