@@ -14,10 +14,10 @@ corpus is one row of each block, and no table of pairs is broadcast or collected
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,22 +29,11 @@ BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_DOCS, BLOCK_BYTES = 2000, 8 << 20
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups as slices (first and after last index of A, of B), cut where tokens of both end."""
-    a_ends, b_ends = _ends(a, a_sizes), _ends(b, b_sizes)
-    cuts = sorted(a_ends.keys() & b_ends.keys())
-    out, i, j = [], 0, 0
-    for end in cuts:
-        x, y = a_ends[end], b_ends[end]
-        out.append((i, x, j, y))
-        i, j = x, y
-    return out
-
-
-def _ends(ids: list[int], sizes: list[int]) -> dict[int, int]:
-    """Cumulative ends of tokens, and of each the number of tokens up to it."""
-    ends = np.cumsum(np.array(sizes, np.int64)[ids]).tolist() if ids else []
-    return dict(zip(ends, range(1, len(ends) + 1), strict=True))
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """How many tokens of A, and of B, come up to each byte offset where tokens of both end."""
+    a_index, b_index = (dict(zip(ends.tolist(), range(1, len(ends) + 1), strict=True)) for ends in (a_ends, b_ends))
+    cuts = sorted(a_index.keys() & b_index.keys())
+    return [a_index[end] for end in cuts], [b_index[end] for end in cuts]
 
 
 class Aligner:
@@ -54,27 +43,44 @@ class Aligner:
         self.a, self.b = bpe.load_plain(byte_path), pieces.load(piece_path)
         self.a_raw, self.b_raw = self.a.token_bytes(), self.b.raw
         self.a_size, self.b_size = (np.array([len(x) for x in raw], np.int64) for raw in (self.a_raw, self.b_raw))
-        self.a_name, self.b_name = list(map(str, range(len(self.a_raw)))), list(map(str, range(len(self.b_raw))))
+        a_name, b_name = (list(map(str, range(len(raw)))) for raw in (self.a_raw, self.b_raw))
+        #: Ids as text with what follows them: A inside a slice and at its end, B inside and at its end.
+        self.signs = np.array([n + sign for names, signs in ((a_name, ",|"), (b_name, ",;")) for sign in signs for n in names], object)
+        #: Tokenizers that keep all bytes of a text, but for the sign that B writes for a space.
+        self.keeping = isinstance(self.a, bpe.ByteRanks) and bool(self.b.bytes)
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids of both; none where a tokenizer's bytes are not the text's."""
-        first, (second, _) = self.a.ids([" " + t for t in texts]), self.b.encode(texts)
+        first, (second, _) = self.a.ids_after_space(texts), self.b.encode(texts)
+        none = np.zeros(0, np.uint32)
         for text, x, y in zip(texts, first, second, strict=True):
-            a, b = array("I", x).tolist(), array("I", y).tolist()
-            raw = (" " + text).encode()
-            same = text and b"".join(map(self.a_raw.__getitem__, a)) == raw and b"".join(map(self.b_raw.__getitem__, b)) == raw
-            yield (a, b) if same else ([], [])
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """The groups as `a1,a2|b1;a3|b2,b3`, how many they are, and links as A id << 32 | B id."""
-        name_a, name_b = self.a_name, self.b_name
-        parts, links = [], []
-        x, y = [name_a[n] for n in a], [name_b[n] for n in b]
-        for i, j, k, m in align(a, b, self.a_size, self.b_size):
-            parts.append(f"{x[i]}|{y[k]}" if j - i == 1 == m - k else ",".join(x[i:j]) + "|" + ",".join(y[k:m]))
-            # tokens hold bytes, so of a group only the last two end together
-            links.append(a[j - 1] << 32 | b[m - 1])
-        return ";".join(parts), len(parts), links
+            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            if self.keeping:
+                same = text and pieces.SPACE not in text
+            else:
+                raw = (" " + text).encode()
+                same = text and b"".join(map(self.a_raw.__getitem__, a.tolist())) == raw == b"".join(map(self.b_raw.__getitem__, b.tolist()))
+            yield (a, b) if same else (none, none)
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
+        """The groups as `a1,a2|b1;a3|b2,b3`, and their links as A id << 32 | B id.
+
+        Tokens hold bytes, so of a group's tokens only the last two end together.
+        """
+        to_a, to_b = (np.array(x, np.int64) for x in common_ends(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])))
+        if not len(to_a):
+            return "", np.zeros(0, np.int64)
+        n_a, n_b, a, b = len(self.a_raw), len(self.b_raw), a.astype(np.int64), b.astype(np.int64)
+        links = a[to_a - 1] << 32 | b[to_b - 1]
+        # a slice's A tokens stand behind the B tokens of all slices before, its B tokens behind its A tokens
+        written = np.empty(len(a) + len(b), np.int64)
+        sign_a, sign_b = a.copy(), 2 * n_a + b
+        sign_a[to_a - 1] += n_a
+        sign_b[to_b - 1] += n_b
+        of_a, of_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        written[np.arange(len(a)) + np.repeat(to_b - of_b, of_a)] = sign_a
+        written[np.arange(len(b)) + np.repeat(to_a, of_b)] = sign_b
+        return "".join(self.signs[written].tolist())[:-1], links
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -89,8 +95,13 @@ def _aligner(paths: tuple[str, str]) -> Aligner:
 def _block(rows: list[tuple], block: int, id_type: pa.DataType) -> pa.RecordBatch:
     """A row: ids and sizes of documents, their links as numbers of pairs, and the distinct pairs with counts."""
     ids, sizes, shas, links = zip(*rows, strict=True)
-    flat = np.concatenate([np.array(x, np.int64) for x in links])
-    pairs, number, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    flat = np.concatenate(links)
+    codes, found = pd.factorize(flat)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    pairs, number = found[order], place[codes]
+    counts = np.bincount(number, minlength=len(pairs))
     n_links = [len(x) for x in links]
     column = lambda v, t: pa.array([v], pa.list_(t))
     return pa.RecordBatch.from_arrays(
@@ -123,8 +134,8 @@ def _aligned(paths: tuple[str, str], id_type: pa.DataType):
                 if rows and (len(rows) >= BLOCK_DOCS or held + size > BLOCK_BYTES):
                     yield _block(rows, block, id_type)
                     rows, held, block = [], 0, block + 1
-                made, n, links = aligner.groups(a, b) if a else ("", 0, [])
-                rows.append((key, (len(a), len(b), n), hashlib.sha256(made.encode()).hexdigest() if a else "", links))
+                made, links = aligner.groups(a, b)
+                rows.append((key, (len(a), len(b), len(links)), hashlib.sha256(made.encode()).hexdigest() if len(a) else "", links))
                 held += size
         if rows:
             yield _block(rows, block, id_type)

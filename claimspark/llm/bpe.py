@@ -96,6 +96,10 @@ class Library(Tokenizer):
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", x.ids).tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def ids_after_space(self, texts: list[str]) -> list[bytes]:
+        """As ids, of a space and each text."""
+        return self.ids([" " + t for t in texts])
+
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id of a byte-level vocabulary stands for; b"" for ids that it lacks."""
         letters = _byte_letters()
@@ -142,8 +146,15 @@ class ByteRanks(Library):
         self.encoder = tiktoken.Encoding("byte-ranks", pat_str=_SPLITS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        return self._encoded(texts, texts)
+
+    def ids_after_space(self, texts: list[str]) -> list[bytes]:
+        # a space before a text that starts with none goes to its first word
+        return self._encoded([" " + t for t in texts], texts)
+
+    def _encoded(self, texts: list[str], looked_at: list[str]) -> list[bytes]:
         # with single blanks only, the pattern's look-ahead for runs of white space never matters
-        plain = [not (_ODD_BLANK.search(t) or _OTHER.search(t) or self.has_added(t)) for t in texts]
+        plain = [not (_ODD_BLANK.search(t) or _OTHER.search(t) or self.has_added(t)) for t in looked_at]
         rest = iter(super().ids([t for t, p in zip(texts, plain, strict=True) if not p])) if not all(plain) else iter(())
         encode = self.encoder.encode_ordinary
         return [array.array("I", encode(t)).tobytes() if p else next(rest) for t, p in zip(texts, plain, strict=True)]

@@ -74,7 +74,12 @@ class MergePieces:
         #: A piece's bytes in a text.
         self.raw = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() if k == _NORMAL else b"" if k == _CONTROL else self.unknown_text for p, k in zip(self.piece, self.kind, strict=True)]
         crossed = any(b == " " and a != " " for a, b in self.neighbours)
-        self.stretches = re.compile(".+" if crossed else " *[^ ]+| +", re.DOTALL).findall
+        beside = {c for pair in self.neighbours for c in pair}
+        #: Characters that are in no piece with others, so that stretches end before and after them.
+        self.alone = "".join(c for c in map(chr, range(128)) if c != " " and c not in beside) if self.bytes else ""
+        alone = re.escape(self.alone)
+        self.stretches = re.compile(".+" if crossed else f" *[^ {alone}]+|[{alone}]+| +" if alone else " *[^ ]+| +", re.DOTALL).findall
+        self.head = self.library.encode(self.alone[:1])
         self.seen: dict[str, bytes] = {}
         self.differing: set[str] = set()
 
@@ -198,8 +203,11 @@ class MergePieces:
                 parts = self.apart(s)
                 short = iter(self.merge_all([p for p in parts if len(p) <= SHORT]))
                 made[i] = [n for p in parts for n in (next(short) if len(p) <= SHORT else self.merge(p))]
+        # a stretch without the first space is asked for after a character that stands alone
+        inner = [not s.startswith(self.prefix) for s in stretches]
         asked = [i for i, s in enumerate(stretches) if s != self.prefix]
-        known = self.library.encode([stretches[i][len(self.prefix) :] for i in asked], num_threads=1)
+        known = self.library.encode([self.alone[:1] + stretches[i] if inner[i] else stretches[i][len(self.prefix) :] for i in asked], num_threads=1)
+        known = [ids[len(self.head) :] if inner[i] else ids for i, ids in zip(asked, known, strict=True)]
         row = [n for ids in known for n in ids]
         alike = self.decode(row) == self.library.decode(row)
         for i, ids in zip(asked, known, strict=True):
