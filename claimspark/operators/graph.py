@@ -117,32 +117,66 @@ def k_core(edges: DataFrame, k: int, preserve: DataFrame | None = None) -> DataF
     return edges if left.isEmpty() else left
 
 
-def best_paths(edges: DataFrame, pairs: DataFrame, k: int, longest: int, filter_after: int | None = None) -> DataFrame:
+def best_paths(edges: DataFrame, pairs: DataFrame, k: int, longest: int, filter_after: int | None = None, work: int = 256) -> DataFrame:
     """pair, rank, path, cost: the k cheapest simple paths of at most `longest` edges between a pair's ends.
 
     A step into v costs ln(in-degree of v) - ln(weight). Paths over `filter_after` edges are
     left out only after the k best have been chosen. Ties go to the smaller path.
+
+    Half of a path grows from its start, the other from its goal, and halves meet at a node. The
+    last step of the goal's half, where most rows would be made, is taken in waves: first the
+    nodes that can still be part of the cheapest paths, with `work` rows a pair at most (or one
+    node), then eight times as many. A node waits as long as its least possible path is over the
+    pair's k-th cost so far, so hubs, whose steps cost most, come last or never; the result is
+    exact.
     """
-    into = degrees(edges).select(F.col("id").alias("dst"), F.ln("degree").alias("_d"))
-    steps = written(edges.join(into, "dst").select("src", "dst", (F.col("_d") - F.ln("weight")).alias("step")), "steps")
-    ends = steps.select(F.col("src").alias("at"), F.col("dst").alias("goal"), F.col("step").alias("final"))
-    grown = pairs.select("pair", F.col("item_id").alias("goal"), F.array("user_id").alias("path"), F.col("user_id").alias("at"), F.lit(0.0).alias("cost"))
-    found = None
-    for left in range(longest, 0, -1):
-        # paths end by a join with the goal's own edges, so the last step is never taken anywhere else
-        done = grown.join(ends, ["at", "goal"]).select("pair", F.concat("path", F.array("goal")).alias("path"), (F.col("cost") + F.col("final")).alias("cost"))
-        found = done if found is None else found.unionByName(done)
-        if left == 1:
-            break
-        ahead = grown.join(steps, grown["at"] == steps.src).filter(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("goal")))
-        ahead = ahead.select("pair", "goal", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), (F.col("cost") + F.col("step")).alias("cost"))
-        if left == 2:  # of paths that only lack the step to the goal, k from each node are enough
-            near = ahead.join(ends.select("at", "goal"), ["at", "goal"], "left_semi")
-            w = Window.partitionBy("pair", "at").orderBy(F.round("cost", 9), "path")
-            ahead = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
-        grown = written(ahead, "paths")
+    into = degrees(edges).select(F.col("id").alias("dst"), F.col("degree").alias("_rows"))
+    steps = written(edges.join(into, "dst").select("src", "dst", (F.ln("_rows") - F.ln("weight")).alias("step")), "steps")
+    nodes = steps.groupBy(F.col("dst").alias("at")).agg(F.min("step").alias("least"), F.count("*").alias("rows"))
+    ahead_most = longest // 2
+    start = pairs.select("pair", F.col("user_id").alias("at"), F.array("user_id").alias("path"), F.lit(0.0).alias("cost"), F.col("item_id").alias("end"))
+    goal = pairs.select("pair", F.col("item_id").alias("at"), F.array("item_id").alias("path"), F.lit(0.0).alias("cost"), F.col("user_id").alias("end"))
+
+    def forward(half: DataFrame) -> DataFrame:
+        near = half.join(steps, half["at"] == steps.src).filter(~F.array_contains("path", F.col("dst")) & (F.col("dst") != F.col("end")))
+        return near.select("pair", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("cost") + F.col("step")).alias("cost"), "end")
+
+    def backward(half: DataFrame, last: bool = False) -> DataFrame:
+        near = half.join(steps, half["at"] == steps.dst).filter(~F.array_contains("path", F.col("src")))
+        near = near if last else near.filter((F.col("src") != F.col("end")) | (F.size("path") == 1))
+        return near.select("pair", F.col("src").alias("at"), F.concat(F.array("src"), "path").alias("path"), (F.col("cost") + F.col("step")).alias("cost"), "end")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        a = left.select("pair", "at", F.col("path").alias("_p"), F.col("cost").alias("_c"))
+        b = right.select("pair", "at", F.slice("path", F.lit(2), F.size("path")).alias("_q"), F.col("cost").alias("_d"))
+        both = a.join(b, ["pair", "at"]).filter(~F.arrays_overlap("_p", "_q"))
+        return both.select("pair", F.concat("_p", "_q").alias("path"), (F.col("_c") + F.col("_d")).alias("cost"))
+
     w = Window.partitionBy("pair").orderBy(F.round("cost", 9), "path")
-    best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best_of = lambda found: found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    head, tail = start, written(backward(goal), "tails")
+    found = met(head, tail)
+    for _ in range(ahead_most):
+        head = written(forward(head), "heads")
+        found = found.unionByName(met(head, tail))
+    tail = tail.filter(F.col("at") != F.col("end"))
+    for _ in range(longest - ahead_most - 2):
+        tail = written(backward(tail).filter(F.col("at") != F.col("end")), "tails")
+        found = found.unionByName(met(head, tail))
+    best = written(best_of(found), "best")
+    if longest - ahead_most >= 2:
+        least = head.groupBy("pair").agg(F.min("cost").alias("_head"))
+        waiting = tail.join(nodes, "at").join(least, "pair").withColumn("bound", F.col("cost") + F.col("least") + F.col("_head")).drop("least", "_head")
+        while True:
+            reached = best.filter(F.col("rank") == k).select("pair", F.col("cost").alias("_kth"))
+            hopeful = waiting.join(reached, "pair", "left").filter(F.col("_kth").isNull() | (F.col("bound") <= F.col("_kth") + 1e-8)).drop("_kth")
+            before = F.sum("rows").over(Window.partitionBy("pair").orderBy("bound", "path").rowsBetween(Window.unboundedPreceding, -1))
+            waiting = written(hopeful.withColumn("_now", F.coalesce(before, F.lit(0)) < work), "waiting")
+            now = waiting.filter("_now")
+            if now.isEmpty():
+                break
+            best = written(best_of(best.select("pair", "path", "cost").unionByName(met(head, backward(now, last=True)))), "best")
+            waiting, work = waiting.filter("not _now").drop("_now"), work * 8
     return best.filter(F.size("path") <= filter_after + 1) if filter_after else best
 
 

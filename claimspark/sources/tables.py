@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ast
+import json
+import warnings
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +51,55 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REVIEWS).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumnsRenamed(REVIEW_COLUMNS)
 
 
+def _literal_text(value: object) -> str | None:
+    """A value as the text that JSON's reader would give it."""
+    if value is None or isinstance(value, str):
+        return value
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except (TypeError, ValueError):
+        return repr(value)
+
+
+def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines as dictionaries in Python's notation: None, True, u'..', escapes, any quotes; with why a line is none."""
+    for batch in batches:
+        rows = []
+        for line in batch.column(0).to_pylist():
+            found, problem = {}, None
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")  # unknown escapes keep their backslash
+                    read = ast.literal_eval(line.strip())
+                if isinstance(read, dict) and read.get("asin") is not None:
+                    found = read
+                else:
+                    problem = "no object with an asin"
+            except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError) as e:
+                problem = type(e).__name__
+            rows.append([*(_literal_text(found.get(c)) for c in ("asin", "title", "description")), line, problem])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 5, names=["asin", "title", "description", "line", "problem"])
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One object a line, in JSON or as a literal with single quotes; unreadable lines are left out."""
-    parsed = spark.read.text(path).select(F.from_json("value", METADATA, {"allowSingleQuotes": "true"}).alias("m"))
-    return parsed.select("m.*").filter(F.col("asin").isNotNull())
+    """asin, title, description of one object a line, in JSON or as a Python literal.
+
+    Lines that are neither, or have no asin, are in rejected_metadata; blank lines are skipped.
+    """
+    return _metadata(spark, path)[0]
+
+
+def rejected_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """line, problem: what read_metadata could not read."""
+    return _metadata(spark, path)[1]
+
+
+def _metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", METADATA).alias("m"))
+    strict = parsed.filter("m.asin is not null").select("m.*")
+    rest = parsed.filter("m.asin is null").select("value").mapInArrow(_literals, f"{METADATA}, line string, problem string")
+    return strict.unionByName(rest.filter("problem is null").drop("line", "problem")), rest.filter("problem is not null").select("line", "problem")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:

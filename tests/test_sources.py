@@ -60,3 +60,24 @@ def test_streams_go_on_where_they_ended(spark, tmp_path):
     assert run() == [1, 2, 3]
     done = spark.read.parquet(out)
     assert [r.row_id for r in S.unprocessed(spark.createDataFrame([(3,), (4,)], "row_id bigint"), done).collect()] == [4]
+
+
+def test_metadata_literals_are_read_and_other_lines_are_returned(spark, tmp_path):
+    lines = [
+        "{'asin': 'a', 'title': None, 'description': 'd'}",
+        "{'asin': 'b', 'title': u'r\\xe9sum\\xe9', 'description': \"it's\", 'used': True}",
+        "{'asin': 'c', 'title': '\\x41 \\u00e9', 'description': ['x', 'y']}",
+        '{"asin": "d", "title": "in \\"JSON\\"", "description": null}',
+        "{'asin': 'e', 'title': 'two\\nlines', 'price': 1.5, 'related': {'also': ['q']}}",
+        "",
+        "{'title': 'no asin'}",
+        "{'asin': 'broken'",
+        "__import__('os').getcwd()",
+        "[" * 300 + "]" * 300,
+    ]
+    (tmp_path / "meta.txt").write_text("\n".join(lines), encoding="utf-8")
+    got = {r.asin: (r.title, r.description) for r in S.read_metadata(spark, str(tmp_path / "meta.txt")).collect()}
+    assert got == {"a": (None, "d"), "b": ("résumé", "it's"), "c": ("A é", '["x", "y"]'), "d": ('in "JSON"', None), "e": ("two\nlines", None)}
+    assert [r.line for r in S.rejected_metadata(spark, str(tmp_path / "meta.txt")).collect()] == lines[6:]
+    (tmp_path / "none.txt").write_text("")
+    assert S.read_metadata(spark, str(tmp_path / "none.txt")).count() == 0
