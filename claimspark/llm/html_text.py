@@ -36,23 +36,22 @@ STOP_WORDS = frozenset(
 _SKIPPED = frozenset("script style title noscript template iframe svg canvas object select textarea math audio video datalist".split())
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
-_ATTRS = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
-#: Characters of a tag within which quotes are respected; of a longer one the first > is its end.
-LONGEST_TAG = 1 << 16
+_STOPS = re.compile("[>\"']")
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label button".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("nav footer aside form menu dialog button label fieldset".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar tablist".split())
-#: Parts of class names and ids that tell what is not main text wherever they stand, and those that do where all other parts are about the frame of a page.
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|masthead|footer|sidebar|widgets?|ads?|adbox|advert\w*|sponsor\w*|promo\w*"
-    r"|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|related|recommend\w*"
-    r"|comments?|commentlist|disqus|replies|respond|pagination|pager|toolbar|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
+_NEVER = frozenset("nav footer aside menu dialog button label fieldset".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar tablist".split())
+#: Parts of class names and ids that tell what is not main text wherever they stand ...
+_NAMED = re.compile(r"cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|comments?|commentlist|disqus|replies|respond|pagination|pager|copyright|disclaimer")
+#: ... those that do unless the element holds nearly all good text of its page, as a wrapper named after its parts does ...
+_LAYOUT = re.compile(r"nav|navbar|navigation|menus?|breadcrumbs?|masthead|footer|sidebar|widgets?|ads?|adbox|advert\w*|sponsor\w*|promo\w*|signup|login|related|recommend\w*|toolbar")
+#: ... those that turn a name into a page's state, and those that only count where all other parts are about the frame of a page.
+_STATES = frozenset("has no with without free open opened closed enabled disabled allowed".split())
+#: An element is its page's wrapper if it holds most of all text that is not bad, and this share of what is in it and in no other such element.
+WRAPPED = 0.8
 _WEAK = frozenset("header banner notice notices alert alerts search share sharing social side legal skip".split())
 _FRAME = frozenset(
     "site top bottom main global bar box wrap wrapper container link links button buttons btn icon icons list area block inner outer left right "
@@ -71,45 +70,74 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    within: tuple[int, ...] = ()  # open elements that are refused unless they wrap the page's text
     text: str = ""
     good: bool | None = None
 
 
-def _named(value: str, in_article: bool) -> bool:
-    """Whether a class or id names something that is not main text; an article's own header is."""
-    if _NAMED.search(value):
-        return True
+def _named(value: str, in_article: bool) -> str:
+    """Whether a class or id names something that is not main text: "never", "layout" or "". An article's own header is main text."""
+    found = ""
     for name in value.lower().split():
         parts = set(re.split(r"[_-]+", name)) - {""}
+        if parts & _STATES:
+            continue
         weak = parts & _WEAK
-        if weak and not (in_article and parts == {"header"}) and parts <= _WEAK | _FRAME:
-            return True
-    return False
+        if any(_NAMED.fullmatch(x) for x in parts) or weak and not (in_article and parts == {"header"}) and parts <= _WEAK | _FRAME:
+            return "never"
+        if any(_LAYOUT.fullmatch(x) for x in parts):
+            found = "layout"
+    return found
 
 
-def _refused(tag: str, attrs: str, in_article: bool) -> bool:
+def _refused(tag: str, attrs: str, in_article: bool) -> str:
+    """Whether an element holds no main text: "never", "layout" if it may be a wrapper of the page after all, or ""."""
     if tag in _NEVER or tag == "header" and not in_article:
-        return True
+        return "never"
+    found = "layout" if tag == "form" else ""
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return found
     for name, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _named(value, in_article):
-            return True
-    return False
+            return "never"
+        if name == "role" and value.lower() in _ROLES:
+            return "never"
+        if name == "role" and value.lower() == "form":
+            found = "layout"
+        if name in ("class", "id") and (kind := _named(value, in_article)):
+            if kind == "never":
+                return kind
+            found = kind
+    return found
+
+
+def _tag_end(page: str, at: int, absent: set[str]) -> int:
+    """Where a tag ends whose name ends at `at`: after the first > outside quotes, or -1.
+
+    A quote sign that does not occur again in the page is a plain character; absent remembers it.
+    """
+    while m := _STOPS.search(page, at):
+        sign = m[0]
+        if sign == ">":
+            return m.end()
+        closing = -1 if sign in absent else page.find(sign, m.end())
+        if closing < 0:
+            absent.add(sign)
+        at = closing + 1 if closing >= 0 else m.end()
+    return -1
 
 
 def _tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None, None]:
     """(start, end, name, whether it ends an element, attributes) of each tag; the name is empty for comments and the like.
 
     The caller may send a later position to go on from. No part of the page is looked at more
-    than a bounded number of times: beyond the last > nothing is a tag, and quotes are only
-    respected within a bounded length.
+    than a bounded number of times: beyond the last > nothing is a tag, a quote without an end is
+    searched for once, and after a tag that only ends inside quotes quotes are plain characters.
     """
     at, final = 0, page.rfind(">")
+    absent: set[str] = set()
     while True:
         at = page.find("<", at)
         if at < 0 or at > final:
@@ -130,8 +158,10 @@ def _tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None, N
                 at += 1
                 continue
             if m:
-                rest = _ATTRS.match(page, m.end(), m.end() + LONGEST_TAG)
-                at = rest.end() if rest else page.find(">", m.end()) + 1
+                at = _tag_end(page, m.end(), absent)
+                if at < 0:
+                    absent |= {'"', "'"}
+                    at = page.find(">", m.end()) + 1
                 name, attrs = m[0].lower(), page[m.end() : at - 1]
             else:
                 at = page.find(">", at) + 1
@@ -145,9 +175,10 @@ def _tags(page: str) -> Generator[tuple[int, int, str, bool, str], int | None, N
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with decoded text and white space turned into one space."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open block-level or refused elements
+    stack: list[tuple[str, str]] = []  # open block-level or refused elements, and how they are refused
+    wrappers: list[int] = []  # numbers of the open ones that may wrap the page's text
     opened: Counter[str] = Counter()  # how many of the stack's elements have a name
-    refused = articles = article = 0
+    refused = articles = article = numbered = 0
     linked = False
     current: Block | None = None
     at = 0
@@ -161,12 +192,18 @@ def blocks_of(page: str) -> list[Block]:
         endless.add(tag)
         return len(page) if tag in ("script", "style") else start
 
+    def left(kind: str) -> None:
+        nonlocal refused
+        refused -= kind == "never"
+        if kind == "layout":
+            wrappers.pop()
+
     def text_until(end: int) -> None:
         nonlocal current
         if end > at:
             if current is None:
                 near = [t for t, _ in stack[-3:]]
-                current = Block(article if articles else 0, refused > 0, "li" in near, heading=any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in near))
+                current = Block(article if articles else 0, refused > 0, "li" in near, heading=any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in near), within=tuple(wrappers))
             piece = html.unescape(page[at:end])
             current.pieces.append(piece)
             if linked:
@@ -205,7 +242,7 @@ def blocks_of(page: str) -> list[Block]:
             if opened[tag]:
                 depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
                 for t, r in stack[depth:]:
-                    refused -= r
+                    left(r)
                     opened[t] -= 1
                     articles -= t in ("article", "main")
                 if any(r for _, r in stack[depth:]):
@@ -215,19 +252,22 @@ def blocks_of(page: str) -> list[Block]:
             if tag in ("article", "main"):  # menus and footers that were never closed end here
                 while stack and stack[-1][0] in ("nav", "footer", "header", "ul", "li", "ol") and opened["nav"] + opened["footer"] + opened["header"]:
                     opened[stack[-1][0]] -= 1
-                    refused -= stack.pop()[1]
+                    left(stack.pop()[1])
                 articles += 1
                 article += 1
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:
                 opened[tag] -= 1
-                refused -= stack.pop()[1]
+                left(stack.pop()[1])
             r = _refused(tag, attrs, articles > 0)
             if r and not block:
                 flush()
             if block or r:
                 stack.append((tag, r))
                 opened[tag] += 1
-                refused += r
+                refused += r == "never"
+                if r == "layout":
+                    numbered += 1
+                    wrappers.append(numbered)
     text_until(len(page))
     flush()
     return blocks
@@ -282,9 +322,26 @@ def main_text(
 ) -> str:
     """The main text of a page: its good blocks joined by line feeds."""
     blocks = blocks_of(page or "")
-    first = [decide(b, long, medium, link_max, stops_low, stops_high) for b in blocks]
-    if not any(first):  # a language without known stop words: length and links decide
-        first = [True if good is None and len(b.text) >= medium else good for b, good in zip(blocks, first, strict=True)]
+
+    def labels() -> list[bool | None]:
+        found = [decide(b, long, medium, link_max, stops_low, stops_high) for b in blocks]
+        if any(found):
+            return found
+        # a language without known stop words: length and links decide
+        return [True if good is None and len(b.text) >= medium else good for b, good in zip(blocks, found, strict=True)]
+
+    if any(b.within for b in blocks):
+        held: Counter[int] = Counter()
+        whole = outside = 0
+        for b, good in zip(blocks, labels(), strict=True):
+            if good is not False:
+                whole += len(b.text)
+                outside += 0 if b.within else len(b.text)
+                held.update(dict.fromkeys(b.within, len(b.text)))
+        wraps = {w for w, n in held.items() if n > whole / 2 and n >= WRAPPED * (outside + n)}
+        for b in blocks:
+            b.refused = b.refused or not wraps.issuperset(b.within)
+    first = labels()
     # articles hold the main text unless more of it is outside, as beside teasers
     inside, outside = (sum(len(b.text) for b, good in zip(blocks, first, strict=True) if good and bool(b.article) == x) for x in (True, False))
     has_article = inside >= outside and any(b.article and not b.refused for b in blocks)
@@ -300,8 +357,10 @@ def main_text(
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points) of every page.
 
-    Null and empty html give empty text. Every row is treated alone: nulls in other columns,
-    ties, repeated rows and extra columns have no effect. Work: one narrow pass, no shuffle.
+    Null and empty html give empty text; an empty table gives an empty result. Every row is
+    treated alone: nulls in other columns, ties, repeated rows and extra columns have no effect.
+    A very long page is one row of one task, whose time and memory grow in proportion to it
+    whatever its markup. Work: one narrow pass, no shuffle.
     """
     types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from claimspark.llm import html_text
@@ -133,3 +136,76 @@ def test_labels_are_inherited_by_distance():
     assert html_text.inherited((True, 2), (False, 2), False)
     assert not html_text.inherited((True, 1), (False, 1), True)
     assert html_text.inherited(None, None, False)
+
+
+STORY = [f"This is paragraph {i} of the article, and it has been written so that the words of it are those of a story." for i in range(6)]
+ARTICLE = "".join(f"<p>{x}</p>" for x in STORY)
+SIDE = "<p>Another story that is told in short, for those who have the time to read it as well as this one.</p>"
+
+
+@pytest.mark.parametrize(
+    ("start", "end"),
+    [
+        ('<div class="content-sidebar-wrap">', "</div>"),
+        ('<div id="page" class="site has-sidebar">', "</div>"),
+        ('<div class="wrapper no-related">', "</div>"),
+        ('<article class="post comments-open">', "</article>"),
+        ('<div id="ad-free-reading">', "</div>"),
+        ('<section id="login-problems">', "</section>"),
+        ('<form id="aspnetForm" method="post">', "</form>"),
+        ('<form role="form"><div class="nav-page menu-layout"><main>', "</main></div></form>"),
+    ],
+)
+def test_wrappers_keep_their_article(start, end):
+    around = f'<nav><a href="/">Home</a></nav>{{}}<footer><p>All rights are reserved by the owners of this site and of what is on it.</p></footer>'
+    inner = f'{ARTICLE}<div class="sidebar">{SIDE}</div><div class="comments"><p>{STORY[0].replace("This", "My")}</p></div>'
+    for page in (f"{start}{ARTICLE}{end}", around.format(start + inner + end), f"<html><body>{around.format(start + inner + end)}</body></html>"):
+        assert html_text.main_text(page).split("\n") == STORY
+
+
+def test_small_parts_stay_refused():
+    for part in ("<form><p>{}</p><input></form>", '<div class="sidebar"><p>{}</p></div>', '<div class="related-posts"><article><p>{}</p></article></div>', '<div id="login"><p>{}</p></div>'):
+        text = "Please give us the name that you have and the word for it, and we will let you in as soon as it is read."
+        assert html_text.main_text(f"<body><div>{ARTICLE}</div>{part.format(text)}</body>").split("\n") == STORY
+    comments = "".join(f'<li><article class="comment"><p>{x} So say I.</p></article></li>' for x in STORY * 5)
+    assert html_text.main_text(f'<div>{ARTICLE}</div><ol class="comment-list">{comments}</ol>').split("\n") == STORY
+    assert html_text.main_text(f'<ol class="comment-list">{comments}</ol>') == ""
+
+
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_long_attributes_and_broken_quotes(quote):
+    value = "x > y " * 200_000
+    start = time.perf_counter()
+    assert html_text.main_text(f"<div data-state={quote}{value}{quote}>{ARTICLE}</div>").split("\n") == STORY
+    assert time.perf_counter() - start < 2
+    assert html_text.main_text(f"<div title={quote}never closed>{ARTICLE}</div>").split("\n") == STORY
+    for broken in (f"<a {quote}>{quote} " * 100_000, f'<a ">" ' * 100_000, f"<a x={quote}b " * 100_000, "<a '\">" * 100_000):
+        start = time.perf_counter()
+        html_text.main_text(broken)
+        assert time.perf_counter() - start < 5
+
+
+def test_pages_made_of_known_parts():
+    """Random pages whose main text is known by the way they are made."""
+    rng = random.Random(4)
+    junk = [
+        "<nav><ul><li><a href='/a'>First</a></li><li><a href='/b'>Second</a></li></ul></nav>", "<script>var a = '<p>not text</p>';</script>", f'<aside>{SIDE}</aside>',
+        "<form><label>Name</label><input><button>Send it</button></form>", '<div class="cookie-notice"><p>We use them so that the site is as it is for you, and you may say no to that.</p></div>',
+        '<div class="share"><a href="#">Share</a></div>', "<style>p { color: red }</style>", "<!-- <p>a note</p> -->", f'<div class="ads">{SIDE}</div>',
+    ]
+    for _ in range(200):
+        texts = [f"{x} It is the number {rng.randrange(99)} &amp; the last of them." for x in rng.sample(STORY, rng.randint(3, 6))]
+        body = [f"<p>{t}</p>" if rng.random() < 0.8 else f"<div> {t}\n </div>" for t in texts]
+        before, after = ("".join(rng.sample(junk, rng.randint(0, 4))) for _ in "ab")
+        shell = rng.choice(["{}", "<article>{}</article>", "<div class='content'>{}</div>", "<div class='main-sidebar-layout'>{}</div>", "<form>{}</form>"])
+        page = before + shell.format("".join(body)) + after
+        assert html_text.main_text(page).split("\n") == [t.replace("&amp;", "&") for t in texts]
+
+
+def test_rows_of_any_kind_and_an_empty_table(spark):
+    page = f"<div>{ARTICLE}</div>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", ""), (3, "w", "plain " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars").repartition(2)
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_text.extract_text(df).collect()))
+    assert got == [(0, 0), (1, len("\n".join(STORY))), (1, len("\n".join(STORY))), (2, 0), (3, 6 * 200_000 - 1)]
+    assert html_text.extract_text(df.limit(0)).count() == 0
