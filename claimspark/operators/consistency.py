@@ -38,6 +38,19 @@ def soft_unigrams(scores: DataFrame) -> DataFrame:
     return p.join(r, "pair").withColumn("f1", harmonic_mean(F.col("precision"), F.col("recall")))
 
 
+def soft_ngrams(scores: DataFrame, n: int) -> DataFrame:
+    """As soft_unigrams for runs of n sentences: a run's score is the mean along n steps of the score matrix's diagonal.
+
+    prem_i and hyp_i count sentences without gaps. A cell gives its share to the n runs that it
+    is part of, so one aggregation makes all runs; those that reach over an edge lack steps and go.
+    Pairs that are too short for a run score 0.
+    """
+    share = scores.select("pair", "prem_i", "hyp_i", "score", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    runs = share.groupBy("pair", (F.col("prem_i") - F.col("_k")).alias("prem_i"), (F.col("hyp_i") - F.col("_k")).alias("hyp_i")).agg(F.avg("score").alias("score"), F.count("*").alias("_n")).filter(F.col("_n") == n)
+    made = scores.select("pair").distinct().join(soft_unigrams(runs), "pair", "left")
+    return made.na.fill(0.0, ["precision", "recall", "f1"])
+
+
 def soft_lcs(scores: DataFrame) -> DataFrame:
     """Soft longest common subsequence of premise and hypothesis sentences, over the longer one's length.
 

@@ -84,6 +84,31 @@ def histories(df: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return mine.select("row_id", F.lit(0).alias("type_id"), "history_id").unionByName(others.select("row_id", F.lit(1).alias("type_id"), "history_id"))
 
 
+def first_histories(df: DataFrame, targets: DataFrame, width: int, sides: tuple[str, ...] = ("user_id", "item_id")) -> DataFrame:
+    """As histories, of each side only the first `width` rows of a target, by row id.
+
+    Of an item's rows only so many can be among the first of a target as come before `width` rows
+    of other users, which is width plus the most rows that one user has of it. These prefixes are
+    cut by ranks over all rows before the join, so what a target meets does not grow with its item.
+    """
+    from .ids import numbered
+
+    found = None
+    for mine in sides:
+        other = "item_id" if mine == "user_id" else "user_id"
+        most = df.groupBy(mine, other).agg(F.count("*").alias("_c")).groupBy(mine).agg(F.max("_c").alias("_own"))
+        ranked = numbered(df.select("row_id", mine, other), [mine, "row_id"], "_at", ties=False)
+        firsts = ranked.groupBy(mine).agg(F.min("_at").alias("_first")).join(most, mine)
+        posted = ranked.join(firsts, mine).filter(F.col("_at") - F.col("_first") < F.col("_own") + width)
+        posted = posted.select(F.col("row_id").alias("history_id"), mine, F.col(other).alias("_other"))
+        near = targets.select("row_id", mine, other).join(posted, mine).filter(F.col("_other") != F.col(other))
+        w = Window.partitionBy("row_id").orderBy("history_id")
+        kept = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= width)
+        part = kept.select("row_id", F.lit(0 if mine == "user_id" else 1).alias("type_id"), "history_id")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def history_inputs(history: DataFrame, width: int) -> DataFrame:
     """Padded history ids and types, user rows first, in row order."""
     # as the list is cut to its width anyway, no more than so many rows are collected

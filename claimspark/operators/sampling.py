@@ -14,13 +14,18 @@ def _digest(*parts) -> Column:
 
 def capped(df: DataFrame, source: str, most: int, key: str, seed: int = 0) -> DataFrame:
     """At most `most` rows of each source, in the order of a digest."""
-    w = Window.partitionBy(source).orderBy(_digest(F.col(key), seed), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    return _first(df.withColumn("_o", _digest(F.col(key), seed)), source, ["_o", key], most).drop("_o")
 
 
 def first_of_source(df: DataFrame, source: str, most: int, order: str = "row_id") -> DataFrame:
-    w = Window.partitionBy(source).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+    return _first(df, source, [order], most)
+
+
+def _first(df: DataFrame, source: str, order: list[str], most: int) -> DataFrame:
+    """By ranks over all rows, so that a source with most of them is spread over ranges."""
+    placed = numbered(df, [source, *order], "_all", ties=False)
+    firsts = placed.groupBy(F.col(source).alias("_s")).agg(F.min("_all").alias("_first"))
+    return placed.join(firsts, placed[source].eqNullSafe(firsts["_s"])).filter(F.col("_all") - F.col("_first") < most).drop("_all", "_s", "_first")
 
 
 def negative_items(positives: DataFrame, items: DataFrame, draws: int = 8, seed: int = 0) -> DataFrame:
@@ -88,8 +93,10 @@ def with_other_review(df: DataFrame, seed: int = 0) -> DataFrame:
     The negative is the first of the item's other rows by digest; items of one row have none.
     Its number is drawn from the item's rows, so an item's rows are never paired with each other.
     """
-    w = Window.partitionBy("item_id").orderBy(_digest(F.col("row_id"), seed), "row_id")
-    placed = df.select("row_id", "user_id", "item_id").withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("item_id")))
+    ordered = df.select("row_id", "user_id", "item_id").withColumn("_o", _digest(F.col("row_id"), seed))
+    ranked = numbered(ordered, ["item_id", "_o", "row_id"], "_all", ties=False).drop("_o")
+    items = ranked.groupBy("item_id").agg(F.min("_all").alias("_first"), F.count("*").alias("_n"))
+    placed = ranked.join(items, "item_id").withColumn("_at", F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
     step = F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.greatest(F.col("_n") - 1, F.lit(1))) + 1
     wanted = placed.filter("_n > 1").select("row_id", "user_id", "item_id", (F.pmod(F.col("_at") - 1 + step, F.col("_n")) + 1).alias("_at"))
     other = placed.select("item_id", "_at", F.col("row_id").alias("text_row"), F.col("user_id").alias("_u"))
@@ -97,6 +104,29 @@ def with_other_review(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.select("row_id", "user_id", "item_id", F.col("row_id").alias("text_row"), F.lit(1).alias("label")).unionByName(negative)
 
 
+def review_samples(df: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """row_id, text_row, label, history_ids: each row's own review (label 1) and one of its user's about another item (label 0).
+
+    Both carry the padded rows of the same item by other users, `width` at most. A user's pairs
+    stand in a ring by digest and the negative is of the next item in it, so each row gets one
+    unless its user has a single item. The ring is made of ranks over all pairs, so that no user's
+    rows meet in one task.
+    """
+    from ..functions import text as T
+    from .retrieval import first_histories
+
+    pick = F.min_by("row_id", F.struct(_digest(F.col("row_id"), seed), "row_id"))
+    pairs = df.groupBy("user_id", "item_id").agg(pick.alias("text_row")).withColumn("_o", _digest(F.col("user_id"), F.col("item_id"), seed))
+    ring = numbered(pairs, ["user_id", "_o", "item_id"], "_at", ties=False)
+    ends = ring.groupBy("user_id").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).filter("_first < _last")
+    ahead = ring.join(ends, "user_id").select("user_id", "item_id", F.when(F.col("_at") == F.col("_last"), F.col("_first")).otherwise(F.col("_at") + 1).alias("_at"))
+    other = ahead.join(ring.select("_at", "text_row"), "_at").select("user_id", "item_id", "text_row")
+    rows = df.select("row_id", "user_id", "item_id")
+    samples = rows.select("row_id", F.col("row_id").alias("text_row"), F.lit(1).alias("label")).unionByName(rows.join(other, ["user_id", "item_id"]).select("row_id", "text_row", F.lit(0).alias("label")))
+    near = first_histories(df, rows, width, sides=("item_id",)).groupBy("row_id").agg(F.array_sort(F.collect_list("history_id")).alias("history_ids"))  # width at most
+    return samples.join(near, "row_id", "left").withColumn("history_ids", T.padded(F.coalesce("history_ids", F.array().cast("array<bigint>")), width, -1))
+
+
 def head(df: DataFrame, most: int, order: str = "row_id") -> DataFrame:
     """The first rows in order; the limit is what is asked for."""
     return df.orderBy(order).limit(most)

@@ -77,6 +77,68 @@ def checked_task(spark, sf_dir):
     return factuality.label_means(e).select("index", F.col("hits_precision").alias("hits"))
 
 
+@query("""WITH g AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'statement2explanation' WHEN 1 THEN 'statement_ref2explanation_gen' WHEN 2 THEN 'statement2item_chunk' ELSE 'other' END AS task, o_custkey % 2 = 0 AS p, o_custkey % 3 = 0 AS r, o_custkey % 5 = 0 AS m FROM orders),
+ l AS (SELECT o_orderkey, CASE WHEN task <> 'other' THEN concat_ws(',', CASE WHEN NOT p THEN 'predictions' END, CASE WHEN NOT r AND task <> 'statement2explanation' THEN 'references,reference_statements' END, CASE WHEN NOT m AND task = 'statement2item_chunk' THEN 'item_metadata' END) END AS lacking FROM g)
+ SELECT o_orderkey, coalesce(lacking = '', false) AS accepted, lacking FROM l""")
+def refused_tasks(spark, sf_dir):
+    """Configurations of evaluation tasks, most of which lack inputs."""
+    o = table(spark, sf_dir, "orders")
+    task = F.element_at(F.array(*map(F.lit, ("statement2explanation", "statement_ref2explanation_gen", "statement2item_chunk", "other"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    has = lambda n, *names: F.when(F.col("o_custkey") % n == 0, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    given = F.concat(has(2, "predictions"), has(3, "references", "reference_statements"), has(5, "item_metadata"))
+    asked = o.select(F.struct("o_orderkey", task.alias("task"), given.alias("given")).alias("c")).select("c.*")
+    found = tasks.refusals(asked.select(F.col("task"), F.col("given")).distinct())
+    known = found.select("task", "given", "accepted", F.array_join("lacking", ",").alias("lacking"))
+    return asked.join(known, ["task", "given"]).select("o_orderkey", "accepted", "lacking")
+
+
+_TURNS = "t AS (SELECT conv_id, list(text ORDER BY turn) AS said FROM conversations WHERE role = 'user' AND turn < 6 GROUP BY conv_id)"
+_NUMBERED = "array_to_string(list_transform(said, lambda x, i: i || '. ' || coalesce(x, '')), chr(10))"
+
+
+def _turns(spark, sf_dir):
+    """What users said in the first turns of a conversation, in order: six texts at most."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user' and turn < 6")
+    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("l"))
+    return listed.select("conv_id", F.transform("l", lambda x: x["text"]).alias("said"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, 'Profile the item.' || chr(30) || 'Title: c' || conv_id || chr(10) || 'Description: talk' || chr(10) || 'Reviews:' || chr(10) || {_NUMBERED} AS prompt FROM t")
+def item_profile_prompts(spark, sf_dir):
+    title = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    made = T.profile_prompt("Profile the item.", title, F.lit("talk"), F.col("said"))
+    return _turns(spark, sf_dir).select("conv_id", F.array_join(F.transform(made, lambda m: m["content"]), "\x1e").alias("prompt"))
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, 'Context:' || chr(10) || {_NUMBERED} || chr(10) || 'Question: Why c' || conv_id || '?' || chr(10) || 'Answer:' AS prompt FROM t")
+def evidence_prompts(spark, sf_dir):
+    question = F.concat(F.lit("Why c"), F.col("conv_id").cast("string"), F.lit("?"))
+    return _turns(spark, sf_dir).select("conv_id", T.evidence_prompt(question, F.col("said")).alias("prompt"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, {word_list("text")} AS w FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, 'Extract.' || chr(30) || 'Review: ' || CASE WHEN len(w) > 128 THEN array_to_string(w[:128], ' ') ELSE text END || chr(10) || 'Output:' AS prompt FROM w""")
+def extraction_prompts(spark, sf_dir):
+    made = T.extraction_prompt("Extract.", F.col("text"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.array_join(F.transform(made, lambda m: m["content"]), "\x1e").alias("prompt"))
+
+
+@query(f"""WITH {INTERACTIONS}, n AS (SELECT user_id, count(DISTINCT item_id) AS items FROM i GROUP BY user_id),
+ h AS (SELECT t.row_id, h.row_id AS x, row_number() OVER (PARTITION BY t.row_id ORDER BY h.row_id) AS k FROM i t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id),
+ s AS (SELECT row_id, CAST(sum(x) AS BIGINT) AS id_sum FROM h WHERE k <= 8 GROUP BY row_id)
+ SELECT row_id, 1 + (items > 1)::INT AS samples, items > 1 AS other_item, coalesce(id_sum, 0) AS id_sum FROM i JOIN n USING (user_id) LEFT JOIN s USING (row_id)""")
+def review_samples(spark, sf_dir):
+    """Of each row: how many samples it has, whether its negative is its user's and about another item, and the item's history on all of them."""
+    i = interactions(spark, sf_dir)
+    made = sampling.review_samples(i, 8)
+    of = i.select(F.col("row_id").alias("text_row"), F.col("user_id").alias("_u"), F.col("item_id").alias("_i"))
+    total = F.aggregate(F.filter("history_ids", lambda x: x >= 0), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    each = made.withColumn("id_sum", total).join(of, "text_row").join(i.select("row_id", "user_id", "item_id"), "row_id")
+    good = (F.col("label") == 0) & (F.col("_u") == F.col("user_id")) & (F.col("_i") != F.col("item_id"))
+    same = F.when(F.min("id_sum") == F.max("id_sum"), F.max("id_sum"))
+    return each.groupBy("row_id").agg(F.count("*").cast("int").alias("samples"), F.max(good).alias("other_item"), same.alias("id_sum"))
+
+
 @query("""WITH p AS (SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id), r AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' AND value > 80 GROUP BY user_id)
  SELECT count(*) AS num_examples, round(count(*) / greatest((SELECT count(*) FROM p), (SELECT count(*) FROM r)), 6) AS common_ratio, CAST(sum(p.n) AS BIGINT) AS precision_total_statements, CAST(sum(r.n) AS BIGINT) AS recall_total_statements FROM p JOIN r USING (user_id)""")
 def label_report(spark, sf_dir):
@@ -243,7 +305,7 @@ def words_of_ids(spark, sf_dir):
 def samples_with_history(spark, sf_dir):
     """The positive samples of the queries, with the first 16 rows of their histories."""
     every, asked = _asked(spark, sf_dir)
-    samples = sampling.with_history(asked.select("row_id", "user_id", "item_id"), retrieval.histories(every, asked), 16)
+    samples = sampling.with_history(asked.select("row_id", "user_id", "item_id"), retrieval.first_histories(every, asked, 16), 16)
     total = F.aggregate(F.filter("history_ids", lambda x: x >= 0), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return samples.select("row_id", total.alias("id_sum"))
 

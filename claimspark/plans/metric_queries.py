@@ -138,6 +138,34 @@ def soft_unigrams(spark, sf_dir):
     return rounded(consistency.soft_unigrams(_align(spark, sf_dir)))
 
 
+def _soft_ngrams(n: int) -> str:
+    joins = " ".join(f"JOIN r r{k} ON r{k}.pair = r0.pair AND r{k}.i = r0.i + {k} AND r{k}.j = r0.j + {k}" for k in range(1, n))
+    mean = "(" + " + ".join(f"r{k}.x" for k in range(n)) + f") / {n}"
+    return f"""WITH {PAIR_SCORES}, m AS (SELECT row_index AS pair, ref_sid, pred_sid, max(pe) AS x FROM s GROUP BY ALL),
+ f AS (SELECT a.pair, ref_sid, pred_sid, coalesce(x, 0) AS x FROM (SELECT DISTINCT pair, ref_sid FROM m) a JOIN (SELECT DISTINCT pair, pred_sid FROM m) b USING (pair) LEFT JOIN m USING (pair, ref_sid, pred_sid)),
+ r AS (SELECT pair, x, dense_rank() OVER (PARTITION BY pair ORDER BY ref_sid) AS i, dense_rank() OVER (PARTITION BY pair ORDER BY pred_sid) AS j FROM f), g AS (SELECT r0.pair, r0.i, r0.j, {mean} AS x FROM r r0 {joins}),
+ a AS (SELECT pair, avg(x) AS p FROM (SELECT pair, j, max(x) AS x FROM g GROUP BY ALL) GROUP BY pair), b AS (SELECT pair, avg(x) AS q FROM (SELECT pair, i, max(x) AS x FROM g GROUP BY ALL) GROUP BY pair)
+ SELECT pair, round(coalesce(p, 0), 6) AS precision, round(coalesce(q, 0), 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM (SELECT DISTINCT pair FROM f) LEFT JOIN a USING (pair) LEFT JOIN b USING (pair)"""
+
+
+def _sentence_matrix(spark, sf_dir):
+    """Every premise and hypothesis sentence of a pair, numbered; without a score 0."""
+    s = _align(spark, sf_dir).groupBy("pair", "prem_i", "hyp_i").agg(F.max("score").alias("score"))
+    side = lambda c: s.select("pair", c).distinct().withColumn(f"_{c}", F.dense_rank().over(Window.partitionBy("pair").orderBy(c)))
+    full = side("prem_i").join(side("hyp_i"), "pair").join(s, ["pair", "prem_i", "hyp_i"], "left").na.fill(0.0, ["score"])
+    return full.select("pair", F.col("_prem_i").alias("prem_i"), F.col("_hyp_i").alias("hyp_i"), "score")
+
+
+@query(_soft_ngrams(2))
+def soft_bigrams(spark, sf_dir):
+    return rounded(consistency.soft_ngrams(_sentence_matrix(spark, sf_dir), 2))
+
+
+@query(_soft_ngrams(3))
+def soft_trigrams(spark, sf_dir):
+    return rounded(consistency.soft_ngrams(_sentence_matrix(spark, sf_dir), 3))
+
+
 @query()
 def soft_subsequences(spark, sf_dir):
     s = _align(spark, sf_dir).groupBy("pair", "prem_i", "hyp_i").agg(F.max("score").alias("score"))

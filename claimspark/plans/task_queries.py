@@ -61,7 +61,7 @@ def split_inputs(spark, sf_dir):
  UNION ALL SELECT t.row_id, 1 AS k, h.row_id AS x FROM t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k, x) AS n FROM h)
  SELECT row_id, CAST(sum(x) - greatest(0, 64 - count(*)) AS BIGINT) AS id_sum, CAST(sum(k) - greatest(0, 64 - count(*)) AS BIGINT) AS type_sum FROM r WHERE n <= 64 GROUP BY row_id""")
 def history_inputs(spark, sf_dir):
-    h = retrieval.history_inputs(retrieval.histories(*_asked(spark, sf_dir)), 64)
+    h = retrieval.history_inputs(retrieval.first_histories(*_asked(spark, sf_dir), 64), 64)
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
     return h.select("row_id", total(F.col("history_ids")).alias("id_sum"), total(F.col("type_ids")).alias("type_sum"))
 
