@@ -132,14 +132,16 @@ def _shift(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
     return float(cut - np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def _sampled(docs: DataFrame, text_col: str) -> list[np.ndarray]:
+def _sampled(docs: DataFrame, text_col: str, most: int) -> list[np.ndarray]:
+    """The features of the texts, of `most` of them at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for part in common.slices(batches):
             found = [np.array(sorted(features.of(t)), "<i4").tobytes() for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["features"])
 
-    table = common.map_batches(docs.select(text_col), run, "features binary").toPandas()
+    table = common.map_batches(docs.select(text_col), run, "features binary").limit(most).toPandas()
     return [np.frombuffer(x, "<i4").astype(np.int64) for x in sorted(table["features"])]
 
 
@@ -148,8 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The prior is the share of toxic labels; a document with several labels counts as toxic if
     one of them is. Null labels, null ids and labels of missing documents are left out; null and
-    empty texts count as texts without words. Documents that occur several times are drawn
-    together and count each time. Other columns are ignored. Without documents or toxic labels
+    empty texts count as texts without words. Rows are drawn by their id, rows without one by their
+    text. Documents that occur several times are drawn together and count each time, but never
+    more than twice POSITIVES and twice UNLABELLED rows go to the driver. Other columns are ignored. Without documents or toxic labels
     every text scores the same, near 0.
     """
     spark = docs.sparkSession
@@ -159,10 +162,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not toxic or not total:
         return Model({}, -4.0)
     draw = F.pmod(F.xxhash64(id_col, F.lit("toxicity")), F.lit(1_000_000))
+    row_draw = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(F.lit("row"), text_col), F.lit(1_000_000))).otherwise(draw)
     ids = known.filter((F.col("toxic") == 1) & (draw < 1_000_000 * POSITIVES / toxic)).select(id_col).limit(2 * POSITIVES).collect()
     confirmed = spark.createDataFrame(ids, known.select(id_col).schema)
-    positive = _sampled(docs.join(F.broadcast(confirmed), id_col, "left_semi"), text_col)
-    unlabelled = _sampled(docs.filter(draw < 1_000_000 * UNLABELLED / total), text_col)
+    positive = _sampled(docs.join(F.broadcast(confirmed), id_col, "left_semi"), text_col, 2 * POSITIVES)
+    unlabelled = _sampled(docs.filter(row_draw < 1_000_000 * UNLABELLED / total), text_col, 2 * UNLABELLED)
     return train_nnpu(positive, unlabelled, toxic / n)
 
 

@@ -50,3 +50,21 @@ def test_held_out_precision_and_recall(spark):
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit / max(1, sum(r.predicted for r in rows)) > 0.85
     assert hit / sum(r.toxic for r in rows) > 0.8
+
+
+def test_many_rows_without_ids_are_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 300)
+    drawn = []
+    real = toxicity._sampled
+    monkeypatch.setattr(toxicity, "_sampled", lambda *a: drawn.append(real(*a)) or drawn[-1])
+    null = spark.range(200_000).selectExpr("cast(null as long) AS doc_id", "concat('text number ', id, ' of many') AS text")
+    known = spark.createDataFrame([(i, "you stupid fool") for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(9, 0)], "doc_id long, toxic int")
+    toxicity.learn(null.unionByName(known), labels)
+    assert len(drawn[0]) == 5
+    assert 200 < len(drawn[1]) < 400
+    hot = spark.range(50_000).selectExpr("7L AS doc_id", "concat('text number ', id) AS text")
+    drawn.clear()
+    toxicity.learn(hot.unionByName(known), spark.createDataFrame([(7, 1), (9, 0)], "doc_id long, toxic int"))
+    assert len(drawn[0]) == 2 * toxicity.POSITIVES
+    assert len(drawn[1]) <= 600
