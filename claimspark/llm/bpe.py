@@ -22,6 +22,9 @@ _OTHER = re.compile(f"[^{_VERIFIED}]")
 _ODD_BLANK = re.compile(r"[^\S \n]|[ \n][ \n]|^\s|\s$")
 _SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
+#: To be raised with every change that may change ids or counts; stored counts carry it.
+REVISION = 2
+
 _loaded: dict[str, Tokenizer] = {}
 _plain: dict[str, Library] = {}
 

@@ -1,7 +1,8 @@
 """Token counts by a digest cache.
 
 A text's key is the SHA-256 of its normal form; a tokenizer's key is the SHA-256 of its
-serialised definition. Stored counts are joined by both; only distinct texts without a stored
+serialised definition with the encoder's revision, so that counts of an earlier encoder are not
+taken over. Stored counts are joined by both; only distinct texts without a stored
 count are encoded, and their counts are appended to the cache table.
 
 The normal form must have the count of the text itself. Where a tokenizer only ends words at
@@ -52,8 +53,13 @@ def _encode(path: str, version: str):
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
     """The cache table at path; made empty where there is none."""
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def count_tokens(
@@ -76,7 +82,7 @@ def count_tokens(
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(DEFAULT_TOKENIZER)
     plain = bpe.blanks_do_not_count(path)
-    version = tokenizer_digest(path) + ("-blanks" if plain else "")
+    version = f"{tokenizer_digest(path)}-{bpe.REVISION}" + ("-blanks" if plain else "")
     text = F.coalesce(F.col(text_col), F.lit(""))
     form = F.trim(F.regexp_replace(text, r"[\x09-\x0D ]+", " ")) if plain else text
     keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(form, 256)).alias("content"))

@@ -93,3 +93,13 @@ def test_rows_without_ids_are_told_apart(spark, monkeypatch):
     got = mixing.mix(df, {}, 0.5).collect()
     assert sum(r.take_tokens for r in got) == 400
     assert len({r.text for r in got}) == len(got) == 200
+
+
+def test_budgets_of_many_leaves(spark):
+    """More leaves than Spark samples for the bounds of ranges; equal ones, so that fractions tie."""
+    leaves = {("d", f"l{i % 3}", f"s{i}"): (1000 + (i * 7919 % 500 if i % 2 else 0), 3) for i in range(12_000)}
+    table = spark.createDataFrame([(*p, s, n) for p, (s, n) in leaves.items()], "domain string, lang string, source string, supply long, docs long").repartition(3)
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(table, list(mixing.TREE), {("d", "l1"): 2.0}, 4_000_000, 1).collect()}
+    want = {n.path: n.budget for n in mixing.budgets([(p, s, d) for p, (s, d) in leaves.items()], {("d", "l1"): 2.0}, 4_000_000, 1) if n.budget}
+    assert got == want
+    assert sum(got.values()) == 4_000_000
