@@ -51,7 +51,7 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids of both; none where a tokenizer's bytes are not the text's."""
-        first, (second, _) = self.a.ids_after_space(texts), self.b.encode(texts)
+        first, (second, _) = self.a.ids_after_space(texts), self.b.encode(texts, checked=False)
         none = np.zeros(0, np.uint32)
         for text, x, y in zip(texts, first, second, strict=True):
             a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)

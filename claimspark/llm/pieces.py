@@ -9,7 +9,8 @@ No merge can cross a place whose two characters stand side by side in no piece,
 apart there into stretches that are encoded by themselves: mostly words. A worker keeps the ids
 of the stretches it has seen. Every stretch that is new in an Arrow batch is also given to the
 sentencepiece library, ids and decoded text both; where the two differ (no case is known) the
-library's ids count, and the document says how many of its stretches were so.
+library's ids count, and the document says how many of its stretches were so. Callers that only
+need ids may leave this check out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from . import common
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches that a worker keeps, and their characters at most; longer ones are taken apart again.
-KEPT, SHORT = 1 << 19, 48
+KEPT, SHORT = 1 << 20, 48
 #: Rows of a table of stretches that are merged together.
 TOGETHER = 1 << 14
 _NONE = np.iinfo(np.int32).max
@@ -87,7 +88,7 @@ class MergePieces:
         """Tables of numbers: a character's symbol, and of every pair of symbols that makes a piece its rank and piece."""
         size = len(self.piece)
         symbol = lambda x: self.ids.get(x, size + ord(x) if len(x) == 1 else None)
-        self.symbols = np.arange(0x110000, dtype=np.int64) + size
+        self.symbols = np.arange(0x110000, dtype=np.int32) + np.int32(size)
         pairs = []
         for p, i in self.ids.items():
             if len(p) == 1:
@@ -96,15 +97,15 @@ class MergePieces:
                 if (a := symbol(p[:k])) is not None and (b := symbol(p[k:])) is not None:
                     pairs.append(((a << 21) | b, self.rank[p], i))
         pairs.sort()
-        self.pairs, self.pair_rank, self.pair_piece = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        pairs.append((np.iinfo(np.int64).max, _NONE, -1))  # so that every search ends inside
+        self.pairs, self.pair_rank, self.pair_piece = (np.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of pairs of symbols; _NONE where they make no piece or one of them is -1."""
-        if not len(self.pairs):
-            return np.full(left.shape, _NONE, np.int64)
-        code = np.where((left < 0) | (right < 0), -1, (left << 21) | right)
-        at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == code, self.pair_rank[at], _NONE)
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of pairs of symbols; _NONE and -1 where they make no piece or one of them is -1."""
+        code = (left.astype(np.int64) << 21) | right  # negative if one is
+        at = np.searchsorted(self.pairs, code)
+        at[self.pairs[at] != code] = -1
+        return self.pair_rank[at], self.pair_piece[at]
 
     def merge_all(self, stretches: list[str]) -> list[list[int]]:
         """Ids of short stretches. Their agendas are the rows of one table; each round takes every row's best pair."""
@@ -120,29 +121,30 @@ class MergePieces:
     def _merge_table(self, stretches: list[str], width: int) -> list[list[int]]:
         points = np.frombuffer("".join(s.ljust(width, "\0") for s in stretches).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
         columns, sizes = np.arange(width), np.array([len(s) for s in stretches])
-        table = np.where(columns < sizes[:, None], self.symbols[points], -1)
-        agenda = np.full(table.shape, _NONE, np.int64)
-        agenda[:, :-1] = self._ranks(table[:, :-1], table[:, 1:])
-        rows = np.arange(len(stretches))
+        table = np.where(columns < sizes[:, None], self.symbols[points], np.int32(-1))
+        agenda, pieces = np.full(table.shape, _NONE, np.int32), np.full(table.shape, -1, np.int32)
+        agenda[:, :-1], pieces[:, :-1] = self._found(table[:, :-1], table[:, 1:])
+        rows, part, ranks = np.arange(len(stretches)), table, agenda
         while True:
-            best = agenda[rows].argmin(axis=1)  # the leftmost of equal ones
-            going = agenda[rows, best] != _NONE
-            rows, best = rows[going], best[going]
+            best = ranks.argmin(axis=1)  # the leftmost of equal ones
+            going = ranks[np.arange(len(rows)), best] != _NONE
+            if not going.all():
+                table[rows] = part
+                rows, best, part, ranks, pieces = rows[going], best[going], part[going], ranks[going], pieces[going]
             if not len(rows):
                 break
-            part, ranks = table[rows], agenda[rows]
-            made = self.pair_piece[np.searchsorted(self.pairs, (part[np.arange(len(rows)), best] << 21) | part[np.arange(len(rows)), best + 1])]
-            shift = columns[:-1] > best[:, None]
-            part[:, :-1] = np.where(shift, part[:, 1:], part[:, :-1])
-            ranks[:, :-1] = np.where(shift, ranks[:, 1:], ranks[:, :-1])
-            part[:, -1], ranks[:, -1] = -1, _NONE
             here = np.arange(len(rows))
+            made = pieces[here, best]
+            shift = columns[:-1] > best[:, None]
+            for held in (part, ranks, pieces):
+                np.copyto(held[:, :-1], held[:, 1:].copy(), where=shift)
+            part[:, -1], ranks[:, -1], pieces[:, -1] = -1, _NONE, -1
             part[here, best] = made
             after = np.where(best + 1 < width, part[here, np.minimum(best + 1, width - 1)], -1)
-            ranks[here, best] = self._ranks(made, after)
-            first = best > 0
-            ranks[here[first], best[first] - 1] = self._ranks(part[here[first], best[first] - 1], made[first])
-            table[rows], agenda[rows] = part, ranks
+            ranks[here, best], pieces[here, best] = self._found(made, after)
+            first = np.flatnonzero(best)
+            at = best[first] - 1
+            ranks[first, at], pieces[first, at] = self._found(part[first, at], made[first])
         found = table >= 0
         flat, ends = table[found].tolist(), np.cumsum(found.sum(axis=1)).tolist()
         whole = ~(table >= len(self.piece)).any(axis=1)
@@ -195,14 +197,16 @@ class MergePieces:
         cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in self.neighbours] if self.bytes else []
         return [stretch[a:b] for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)]
 
-    def _checked(self, stretches: list[str]) -> list[bytes]:
-        """Ids of new stretches, each compared with the library's; what they decode to is compared in a row."""
+    def _made(self, stretches: list[str], checked: bool) -> list[list[int]]:
+        """Ids of new stretches; if checked, each compared with the library's, and what they decode to in a row."""
         made = self.merge_all(stretches)
         for i, s in enumerate(stretches):
             if len(s) > SHORT:
                 parts = self.apart(s)
                 short = iter(self.merge_all([p for p in parts if len(p) <= SHORT]))
                 made[i] = [n for p in parts for n in (next(short) if len(p) <= SHORT else self.merge(p))]
+        if not checked:
+            return made
         # a stretch without the first space is asked for after a character that stands alone
         inner = [not s.startswith(self.prefix) for s in stretches]
         asked = [i for i, s in enumerate(stretches) if s != self.prefix]
@@ -214,15 +218,15 @@ class MergePieces:
             if made[i] != ids or not alike and self.decode(ids) != self.library.decode(ids):
                 made[i] = ids
                 self.differing.add(stretches[i])
-        return [array("I", x).tobytes() for x in made]
+        return made
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+    def encode(self, texts: list[str], checked: bool = True) -> tuple[list[bytes], list[int]]:
         """Of each text its ids as native unsigned 32-bit numbers, and how many stretches the library corrected."""
         cut = [self.stretches(self.prefix + t.replace(SPACE, " ")) if t else [] for t in texts]
         if len(self.seen) > KEPT:
             self.seen.clear()
         new = list({s for words in cut for s in words} - self.seen.keys())
-        made = dict(zip(new, self._checked(new), strict=True)) if new else {}
+        made = {s: array("I", ids).tobytes() for s, ids in zip(new, self._made(new, checked), strict=True)} if new else {}
         long = {s: ids for s, ids in made.items() if len(s) > SHORT}
         self.seen.update(made)
         out = [b"".join(map(self.seen.__getitem__, words)) for words in cut]
