@@ -110,19 +110,6 @@ def item_profile_prompts(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", F.array_join(F.transform(made, lambda m: m["content"]), "\x1e").alias("prompt"))
 
 
-@query(f"WITH {_TURNS} SELECT conv_id, 'Context:' || chr(10) || {_NUMBERED} || chr(10) || 'Question: Why c' || conv_id || '?' || chr(10) || 'Answer:' AS prompt FROM t")
-def evidence_prompts(spark, sf_dir):
-    question = F.concat(F.lit("Why c"), F.col("conv_id").cast("string"), F.lit("?"))
-    return _turns(spark, sf_dir).select("conv_id", T.evidence_prompt(question, F.col("said")).alias("prompt"))
-
-
-@query(f"""WITH w AS (SELECT doc_id, text, {word_list("text")} AS w FROM documents WHERE text IS NOT NULL)
- SELECT doc_id, 'Extract.' || chr(30) || 'Review: ' || CASE WHEN len(w) > 128 THEN array_to_string(w[:128], ' ') ELSE text END || chr(10) || 'Output:' AS prompt FROM w""")
-def extraction_prompts(spark, sf_dir):
-    made = T.extraction_prompt("Extract.", F.col("text"))
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.array_join(F.transform(made, lambda m: m["content"]), "\x1e").alias("prompt"))
-
-
 @query(f"""WITH {INTERACTIONS}, n AS (SELECT user_id, count(DISTINCT item_id) AS items FROM i GROUP BY user_id),
  h AS (SELECT t.row_id, h.row_id AS x, row_number() OVER (PARTITION BY t.row_id ORDER BY h.row_id) AS k FROM i t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id),
  s AS (SELECT row_id, CAST(sum(x) AS BIGINT) AS id_sum FROM h WHERE k <= 8 GROUP BY row_id)
