@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from . import ids
 
+#: Edges of a node that one part of a k-hop join holds, about.
+HUB_EDGES = 1 << 16
+
 
 def bipartite_graph(interactions: DataFrame, order: list[str], user: str = "user_id", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): users are 0 .. u-1 and items follow, both by first appearance."""
@@ -51,33 +58,135 @@ def normalised_adjacency(edges: DataFrame) -> DataFrame:
     return both.join(a, "src").join(b, "dst").select("src", "dst", (1 / F.sqrt(F.col("_a") * F.col("_b"))).alias("weight"))
 
 
-def propagate(adjacency: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One step: each node's weighted sum of its neighbours' vectors (id, pos, value)."""
-    flat = vectors.select(F.col("id").alias("src"), "pos", "value")
-    return adjacency.join(flat, "src").groupBy(F.col("dst").alias("id"), "pos").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+def _blocks(adjacency: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, int]:
+    """(edges, routes, count): edges by cell of a grid of source and target blocks, the cells that a source's vector goes to, the number of edges.
+
+    A cell holds about `cell` edges: edges of a node with very many lie in all cells of its row or
+    column, and a cell that is still over its size is split by a hash of its edges.
+    """
+    merged = written(adjacency.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
+    count = merged.count()
+    side = max(1, math.ceil(math.sqrt(count / cell)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    placed = merged.withColumns({"_row": block("dst"), "_col": block("src")})
+    parts = placed.groupBy("_row", "_col").agg(F.ceil(F.count("*") / cell).cast("int").alias("_parts"))
+    split = placed.join(parts, ["_row", "_col"]).withColumn("_part", F.pmod(F.xxhash64("src", "dst"), F.col("_parts")).cast("int"))
+    edges = written(split.select("_row", "_col", "_part", "src", "dst", "weight"), "blocks")
+    return edges, written(edges.select("_row", "_col", "_part", "src").distinct(), "routes"), count
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+
+
+def _rows_of(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _sums_by(ids_: np.ndarray, n: int, rows) -> np.ndarray:
+    """Sums of rows by group 0 .. n - 1; rows(i, j) gives those at places i to j of the order by group."""
+    order = np.argsort(ids_, kind="stable")
+    out = None
+    for i in range(0, len(order), 1 << 16):
+        at = order[i : i + (1 << 16)]
+        some = rows(at)
+        out = np.zeros((n, some.shape[1])) if out is None else out
+        heads = np.flatnonzero(np.append(True, np.diff(ids_[at]) > 0))
+        out[ids_[at[heads]]] += np.add.reduceat(some, heads)
+    return out
+
+
+def _times(width: int):
+    """A cell's sparse matrix times the vectors sent to it: a partial sum for each of its targets."""
+
+    def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+        src, known = edges.column("src").to_numpy(), vectors.column("id").to_numpy()
+        order = np.argsort(known)
+        at = np.searchsorted(known[order], src)
+        held = np.flatnonzero(at < len(known))
+        held = held[known[order][at[held]] == src[held]]
+        if not len(held):
+            return pa.table({"id": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))})
+        dst, target = np.unique(edges.column("dst").to_numpy()[held], return_inverse=True)
+        weight, source, dense = edges.column("weight").to_numpy()[held], order[at[held]], _rows_of(vectors.column("vector"), width)
+        sums = _sums_by(target, len(dst), lambda k: weight[k, None] * dense[source[k]])
+        return pa.table({"id": pa.array(dst), "vector": _lists(sums)})
+
+    return run
+
+
+def _vector_sums(parts: DataFrame, width: int, buckets: int) -> DataFrame:
+    """One vector for each id: the sum of its parts, whole vectors in buckets of ids.
+
+    An id has at most as many parts as cells hold edges of it, so no bucket outgrows its share.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        found, group = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        dense = _rows_of(table.column("vector"), width)
+        return pa.table({"id": pa.array(found), "vector": _lists(_sums_by(group, len(found), lambda k: dense[k]))})
+
+    dealt = parts.withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    return written(dealt.groupBy("_bucket").applyInArrow(run, "id long, vector array<double>"), "vectors")
 
 
 def layer_sum(adjacency: DataFrame, embeddings: DataFrame, layers: int = 3) -> DataFrame:
-    """id, vector: the sum of a node's embedding and of those propagated 1 .. layers steps."""
-    step = embeddings.select("id", F.posexplode("vector").alias("pos", "value")).select("id", "pos", F.col("value").cast("double").alias("value"))
-    total = step
+    """id, vector: the sum of a node's embedding and of those propagated 1 .. layers steps.
+
+    A step is a sparse matrix, cut into a grid of blocks, times the vectors: a vector is sent whole
+    to each cell that has edges of its node, a cell sends one partial sum a target, and no row is
+    made for a vector's element. Nodes are longs. Vectors are taken as long as the longest, with
+    zeros for what is missing or null; a node without a vector sends nothing, and repeated rows of
+    a node or an edge add up.
+    """
+    given = embeddings.filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
+    width, nodes = given.agg(F.max(F.size("vector")), F.count("*")).first()
+    width = width or 0
+    plain = adjacency.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")).dropna()
+    filled = F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.coalesce(F.get("vector", i).cast("double"), F.lit(0.0)))
+    start = given.select(F.col("id").cast("long").alias("id"), filled.alias("vector"))
+    if not width:
+        return start.select("id", F.array().cast("array<double>").alias("vector")).distinct()
+    edges, routes, n_edges = _blocks(plain, max(1024, min(1 << 20, (1 << 24) // width)))
+    buckets = math.ceil(max(nodes, n_edges) * width / (1 << 23))  # a step's parts are no more than edges
+    total = step = _vector_sums(start, width, buckets)
+    keys = ["_row", "_col", "_part"]
     for _ in range(layers):
-        step = propagate(adjacency, step)
+        sent = routes.join(step, routes.src == step.id).select(*keys, "id", "vector")
+        pieces = edges.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_times(width), "id long, vector array<double>")
+        step = _vector_sums(pieces, width, buckets)
         total = total.unionByName(step)
-    summed = total.groupBy("id", "pos").agg(F.sum("value").alias("value")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_l"))
-    return summed.select("id", F.transform("_l", lambda x: x["value"]).alias("vector"))
+    return _vector_sums(total, width, buckets)
 
 
 def k_hop(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """pair, id: nodes within k steps of either end of a pair (pair, user_id, item_id)."""
-    both = undirected(edges)
-    seen = pairs.select("pair", F.explode(F.array("user_id", "item_id")).alias("id")).distinct()
+    """pair, id: nodes within k steps of either end of a pair (pair, user_id, item_id).
+
+    Pairs are numbered, those of a user side by side, and 64 of them share the bits of a long: a
+    node that several of them have reached is expanded once for all. Edges of nodes with over
+    HUB_EDGES are dealt to several parts. Rows of one pair add up, null ends and pairs are left out.
+    """
+    both = undirected(edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()))
+    hubs = degrees(both, "src").filter(F.col("degree") > HUB_EDGES).select("id", F.ceil(F.col("degree") / HUB_EDGES).cast("int").alias("_parts"))
+    parts_of = lambda df: df.join(hubs, "id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = parts_of(both.withColumnRenamed("src", "id")).withColumn("_part", F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int"))
+    steps = written(dealt.select("id", "_part", "dst"), "steps")
+    ends = pairs.filter(F.col("pair").isNotNull()).groupBy("pair").agg(F.min("user_id").alias("_u"), F.min("item_id").alias("_i"), F.array_union(F.collect_set("user_id"), F.collect_set("item_id")).alias("_ends"))
+    numbers = written(ids.numbered(ends, ["_u", "_i", "pair"], "_n", ties=False).withColumn("_block", F.shiftright("_n", 6)), "pairs")
+    start = numbers.select("_block", F.expr("shiftleft(1L, cast(_n % 64 as int))").alias("bits"), F.explode("_ends").alias("id"))
+    seen = written(start.groupBy("id", "_block").agg(F.bit_or("bits").alias("bits")), "seen")
     frontier = seen
     for _ in range(k):
-        near = frontier.join(both, frontier.id == both.src).select("pair", F.col("dst").alias("id")).distinct()
-        frontier = written(near.join(seen, ["pair", "id"], "left_anti"), "frontier")
-        seen = written(seen.unionByName(frontier), "seen")
-    return seen
+        opened = parts_of(frontier).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        near = opened.join(steps, ["id", "_part"]).groupBy(F.col("dst").alias("id"), "_block").agg(F.bit_or("bits").alias("bits"))
+        had = seen.select("id", "_block", F.col("bits").alias("_had"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_had", F.lit(0).cast("long"))))
+        frontier = written(near.join(had, ["id", "_block"], "left").select("id", "_block", new.alias("bits")).filter("bits <> 0"), "frontier")
+        seen = written(seen.unionByName(frontier).groupBy("id", "_block").agg(F.bit_or("bits").alias("bits")), "seen")
+    named = numbers.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct((F.col("_n") % 64).cast("int").alias("k"), F.col("pair").alias("v")))).alias("_pairs"))
+    set_bits = F.filter(F.map_entries("_pairs"), lambda e: F.getbit(F.col("bits"), e["key"]) == 1)
+    return seen.join(named, "_block").select(F.explode(F.transform(set_bits, lambda e: e["value"])).alias("pair"), "id")
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -374,6 +374,17 @@ def layer_sums(spark, sf_dir):
     return graph.layer_sum(adj, start, 2).select("id", F.round(F.get("vector", 0), 5).alias("value"))
 
 
+@query(f"""WITH {INTERACTIONS}, {_EDGES}, w AS (SELECT b.src, b.dst, 1 / sqrt(x.degree * y.degree) AS w FROM b JOIN d x ON x.id = b.src JOIN d y ON y.id = b.dst), v0 AS (SELECT id, pos, CAST((id * 31 + pos * 17) % 101 AS DOUBLE) AS v FROM d, range(64) t(pos)),
+ v1 AS (SELECT dst AS id, pos, sum(w * v) AS v FROM w JOIN v0 ON v0.id = src GROUP BY dst, pos), v2 AS (SELECT dst AS id, pos, sum(w * v) AS v FROM w JOIN v1 ON v1.id = src GROUP BY dst, pos)
+ SELECT id, round(sum(v), 4) AS total, round(sum(v * pos), 3) AS weighted, round(sum(v) FILTER (pos = 63), 5) AS last FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2) GROUP BY id""")
+def wide_layer_sums(spark, sf_dir):
+    adj = graph.normalised_adjacency(_edges(spark, sf_dir))
+    start = graph.degrees(adj, "src").select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: ((F.col("id") * 31 + k * 17) % 101).cast("double")).alias("vector"))
+    summed = graph.layer_sum(adj, start, 2)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return summed.select("id", F.round(add(F.col("vector")), 4).alias("total"), F.round(add(F.transform("vector", lambda x, k: x * k)), 3).alias("weighted"), F.round(F.get("vector", 63), 5).alias("last"))
+
+
 _BIG = "h AS (SELECT dst AS id FROM b GROUP BY dst HAVING count(*) > 60)"
 
 
@@ -403,6 +414,14 @@ def one_hop_subgraphs(spark, sf_dir):
     return graph.type_counts(nodes, graph.k_hop(edges, _asked_pairs(spark, sf_dir), 1))
 
 
+@query(f"""WITH {INTERACTIONS}, {_EDGES}, {_PAIRED}, z AS (SELECT pair, unnest([src, dst]) AS id FROM p), n AS (SELECT DISTINCT pair, b.dst AS id FROM z JOIN b ON b.src = z.id UNION SELECT pair, id FROM z),
+ m AS (SELECT DISTINCT pair, b.dst AS id FROM n JOIN b ON b.src = n.id UNION SELECT pair, id FROM n)
+ SELECT pair, count(*) FILTER (id < 100000) AS users, count(*) FILTER (id >= 100000) AS items, CAST(sum(id % 97) AS BIGINT) AS id_sum FROM m GROUP BY pair""")
+def two_hop_subgraphs(spark, sf_dir):
+    found = graph.k_hop(_edges(spark, sf_dir), _asked_pairs(spark, sf_dir), 2)
+    return found.groupBy("pair").agg(F.count_if(F.col("id") < 100000).alias("users"), F.count_if(F.col("id") >= 100000).alias("items"), F.sum(F.col("id") % 97).alias("id_sum"))
+
+
 _PATHS = f"""{_EDGES}, {_PAIRED}, g AS (SELECT src, dst, ln(degree) AS c FROM b JOIN d ON d.id = dst), p1 AS (SELECT pair, src AS u, p.dst AS v, [src, g.dst] AS path, g.dst AS x, c AS cost FROM p JOIN g USING (src)),
  p2 AS (SELECT pair, u, v, list_append(path, g.dst) AS path, g.dst AS x, cost + c AS cost FROM p1 JOIN g ON g.src = x WHERE x <> v AND g.dst <> u),
  f AS (SELECT pair, path, cost FROM p1 WHERE x = v UNION ALL SELECT pair, list_append(path, v) AS path, cost + c AS cost FROM p2 JOIN g ON g.src = x AND g.dst = v),

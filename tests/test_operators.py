@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,59 @@ def test_graph(spark):
     assert rows(graph.edge_difference(e, e.limit(0))) == rows(e)
 
 
+def test_k_hop_shares_frontiers(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 4)
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(60), 100 + rng.randrange(40)) for _ in range(150)} | {(7, 100 + i) for i in range(40)})
+    asked = [(i, rng.randrange(60), 100 + rng.randrange(40)) for i in range(150)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def reached(ends: set[int], k: int) -> set[int]:
+        for _ in range(k):
+            ends = ends | {y for x in ends for y in near.get(x, ())}
+        return ends
+
+    e = spark.createDataFrame([*edges, (None, 100), (3, None)], "src long, dst long")
+    rows_ = [*asked, asked[0], (0, 59, None), (None, 1, 100), (500, None, None), (501, 9999, None)]
+    p = spark.createDataFrame(rows_, "pair long, user_id long, item_id long")
+    for k in (0, 1, 2, 3):
+        got = [tuple(r) for r in graph.k_hop(e, p, k).select("pair", "id").collect()]
+        want = {(i, x) for i, u, v in asked for x in reached({u, v} | ({59} if i == 0 else set()), k)} | {(501, 9999)}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert graph.k_hop(e, p.limit(0), 2).count() == 0
+
+
+def test_propagation_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    src, dst, w = rng.integers(0, 50, 900), rng.integers(0, 50, 900), rng.random(900)
+    src[:300], dst[300:600] = 4, 9
+    vectors = rng.random((40, 3))
+    adj = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(src, dst, w, strict=True)] + [(None, 1, 1.0), (1, None, 1.0)], "src long, dst long, weight double")
+    given = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, [1.0]), (41, [None, 2.0]), (None, [1.0]), (42, None)]
+    dense = np.zeros((50, 3))
+    dense[:40] = vectors
+    dense[0, 0] += 1
+    dense[41, 1] = 2
+    matrix = np.zeros((50, 50))
+    np.add.at(matrix, (dst, src), w)
+    want = dense + matrix @ dense + matrix @ (matrix @ dense)
+    emb = spark.createDataFrame(given, "id long, vector array<double>")
+    blocks = graph._blocks
+    for cell in (10_000, 40):
+        monkeypatch.setattr(graph, "_blocks", lambda a, _, cell=cell: blocks(a, cell))
+        got = {r.id: r.vector for r in graph.layer_sum(adj, emb, 2).collect()}
+        assert set(got) == set(range(40)) | {41} | set(dst.tolist())
+        for i, v in got.items():
+            assert v == pytest.approx(want[i].tolist())
+    sizes = [r["count"] for r in blocks(adj.dropna(), 40)[0].groupBy("_row", "_col", "_part").count().collect()]
+    assert max(sizes) < 90
+    assert graph.layer_sum(adj, emb.limit(0)).count() == 0
+    assert {r.id for r in graph.layer_sum(adj.limit(0), emb).collect()} == set(range(40)) | {41}
+
+
 def test_retrieval_and_sampling(spark):
     df = interactions(spark, {"a": 6, "b": 8})
     h = retrieval.histories(df)
