@@ -9,8 +9,9 @@ A region too large for one task takes Spark rounds. In each, a hash chooses many
 each member is assigned to its nearest one: the Voronoi cell, where pivots that are linked with
 each other share a cell. Members that may have partners in another cell, by the triangle
 inequality, are replicated to it. Cells are joined in the same way, so that rounds grow with
-the logarithm of the region. A cell that pivots do not divide (its members are all about
-equally far from each other) is joined by squares of blocks of its members, a task each.
+the logarithm of the region. In a cell that pivots do not divide (its members are all about
+equally far from each other) only members that share a meeting key are compared, or, where
+that sends more, all of them in squares of blocks; either way a task gets a bounded load.
 Members known to be connected already are never compared with each other.
 """
 
@@ -419,28 +420,87 @@ def _squares(hard: DataFrame, percent: int, most: float) -> DataFrame:
     return blocks.select("region", "digest", "shingles", "known", "slot", F.inline(meets)).groupBy("region", "i", "j").applyInArrow(_join_region(percent), "a binary, b binary")
 
 
-def _pairs_of(regions: DataFrame, percent: int, most: float, pivots: int) -> DataFrame:
-    """Edges (a, b) that connect what links connect. Regions of a load over `most` first take pivot rounds."""
+def _join_meetings(percent: int):
+    """Edges between sets that look for smaller ones and the smaller ones of a bucket of meeting keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        digests, sets, known = (groups.column(table, c) for c in ("digest", "shingles", "known"))
+        region = Region([np.frombuffer(x, np.uint64) for x in sets], percent, known)
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        root = region.join_sides(own if 2 * own.sum() > len(own) else ~own)  # goes through the side with fewer sets
+        return pa.table({"a": pa.array(digests, pa.binary()), "b": pa.array([digests[r] for r in root], pa.binary())})
+
+    return run
+
+
+def _meetings(hard: DataFrame, keys: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """Who meets by keys in regions that pivots do not divide, and which regions send less so than in squares.
+
+    A key counts where a member lies under it as the smaller one and another looks there. Keys fall into as many
+    buckets as a square has blocks; in a bucket the smaller ones and those who look are cut into blocks each, and
+    every two blocks of the two sides meet. A key of nearly all members costs one side's rows times the other
+    side's blocks, so a few sets under the keys of many cost nothing like a square.
+    """
+    lying = hard.select("region", "digest", "load", "total").join(keys, "digest")
+    looked = lying.select("region", "digest", "load", "total", "own", F.explode("wide").alias("key"))
+    each = common.materialize(looked.select("region", "digest", "load", "total", "key", F.array_contains("own", F.col("key")).alias("own")), "keys")
+    live = each.groupBy("region", "key").agg(F.count("*").alias("_n"), F.max("own").alias("_own")).filter("_own and _n > 1").select("region", "key")
+    bucket = F.pmod(F.xxhash64("key"), F.ceil(F.col("total") / most)).cast("int")
+    sides = F.explode(F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    met = each.join(live, ["region", "key"]).select("region", "digest", "load", "total", bucket.alias("bucket"), sides.alias("own")).distinct()
+    met = common.materialize(met, "meetings")
+    weight = lambda own: F.coalesce(F.sum(F.when(F.col("own") == own, F.col("load"))), F.lit(0.0))
+    buckets = met.groupBy("region", "bucket").agg(F.max("total").alias("_total"), weight(True).alias("_less"), weight(False).alias("_more"))
+    buckets = buckets.withColumns({"less": F.greatest(F.lit(1), F.ceil(F.col("_less") * 2 / most)).cast("int"), "more": F.greatest(F.lit(1), F.ceil(F.col("_more") * 2 / most)).cast("int")})
+    buckets = common.materialize(buckets, "meeting-blocks")
+    cost = F.sum(F.col("_less") * F.col("more") + F.col("_more") * F.col("less"))
+    chosen = buckets.groupBy("region").agg(cost.alias("_cost"), F.max("_total").alias("_total")).filter(F.col("_cost") <= F.col("_total") * F.ceil(F.col("_total") / most))
+    # a region without any live key has no link left to find
+    squares = hard.select("region").distinct().join(chosen, "region", "left_anti").join(buckets.select("region").distinct(), "region", "left_semi")
+    blocks = buckets.select("region", "bucket", "less", "more").join(chosen.select("region"), "region", "left_semi")
+    return met.join(blocks, ["region", "bucket"]).drop("load", "total"), common.materialize(squares, "squares")
+
+
+def _by_keys(hard: DataFrame, meetings: DataFrame, percent: int) -> DataFrame:
+    mine, others = (F.when(F.col("own"), F.col(a)).otherwise(F.col(b)) for a, b in (("less", "more"), ("more", "less")))
+    slot = F.pmod(F.xxhash64("digest"), mine).cast("int")
+    dealt = meetings.select("region", "digest", "bucket", "own", slot.alias("slot"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    i, j = F.when(F.col("own"), F.col("slot")).otherwise(F.col("other")), F.when(F.col("own"), F.col("other")).otherwise(F.col("slot"))
+    sent = dealt.withColumns({"i": i, "j": j}).join(hard.select("region", "digest", "shingles", "known"), ["region", "digest"])
+    return sent.groupBy("region", "bucket", "i", "j").applyInArrow(_join_meetings(percent), "a binary, b binary")
+
+
+def _pairs_of(regions: DataFrame, keys: DataFrame, percent: int, most: float, pivots: int) -> DataFrame:
+    """Edges (a, b) that connect what links connect. Regions of a load over `most` first take pivot rounds.
+
+    keys (digest, wide, own) are the meeting keys of sets.
+    """
     found: list[DataFrame] = []
     load = 1 + F.octet_length("shingles") / (8 * SHINGLES)
     rest = common.materialize(regions.select("region", "digest", "shingles", F.lit(None).cast("string").alias("known"), load.alias("load"), F.lit(None).cast("double").alias("before")), "regions")
     reach = 1 - percent / 100
     while True:
-        sizes = rest.groupBy("region").agg(F.sum("load").alias("total"), F.count("*").alias("members"), F.min("digest").alias("least"), F.count("known").alias("named"), F.min("known").alias("one"), F.max("known").alias("other"))
-        over = common.materialize(sizes.filter(F.col("total") > most).select("region", "total", "members", "least", (F.expr("named = members and one = other")).alias("settled")), "large")
-        n_large = over.count()
+        sizes = rest.groupBy("region").agg(F.sum("load").alias("total"), F.count("*").alias("members"), F.min("digest").alias("least"), F.count("known").alias("named"), F.min("known").alias("one"), F.max("known").alias("other"), F.min("before").alias("was"))
+        settled, whole = F.expr("coalesce(named = members and one = other, false)"), F.coalesce(F.col("total") > F.col("was") / 2, F.lit(False))
+        over = common.materialize(sizes.filter(F.col("total") > most).select("region", "total", "members", "least", settled.alias("settled"), (whole & ~settled).alias("hard")), "large")
+        n_large, n_hard = over.agg(F.count("*"), F.count_if("hard")).first()
         sent = F.broadcast(over) if n_large <= BROADCAST_ROWS else over  # one task must not get a large region only to find its size
         small = rest.join(sent.select("region"), "region", "left_anti") if n_large else rest
         found.append(common.materialize(small.groupBy("region").applyInArrow(_join_region(percent), "a binary, b binary").filter("a <> b"), "links"))
         if not n_large:
             break
-        large = rest.join(sent, "region").filter(F.expr("not coalesce(settled, false)")).drop("settled")
-        divided = F.coalesce(F.col("total") <= F.col("before") / 2, F.lit(True))
-        found.append(common.materialize(_squares(large.filter(~divided), percent, most).filter("a <> b"), "links"))
+        large = rest.join(sent, "region").filter("not settled").drop("settled")
+        if n_hard:
+            hard = common.materialize(large.filter("hard"), "hard")
+            meetings, in_squares = _meetings(hard, keys, most)
+            found.append(common.materialize(_by_keys(hard, meetings, percent).filter("a <> b"), "links"))
+            if not in_squares.isEmpty():
+                found.append(common.materialize(_squares(hard.join(in_squares, "region", "left_semi"), percent, most).filter("a <> b"), "links"))
+        large = large.filter("not hard")
         chunks = F.ceil(F.col("total") / most).cast("int")
-        dealt = large.filter(divided).withColumn("chunk", F.pmod(F.xxhash64("digest"), chunks).cast("int"))
+        dealt = large.withColumn("chunk", F.pmod(F.xxhash64("digest"), chunks).cast("int"))
         chosen = F.pmod(F.xxhash64("region", "digest"), F.col("members")) < pivots
-        picked = large.filter(divided & (chosen | (F.col("digest") == F.col("least"))))
+        picked = large.filter(chosen | (F.col("digest") == F.col("least")))
         picked = common.materialize(picked.select("region", F.col("digest").alias("pivot"), F.col("shingles").alias("pivot_set"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")), "pivots")
         assigned = common.materialize(dealt.groupBy("region", "chunk").cogroup(picked.groupBy("region", "chunk")).applyInArrow(_assign(percent), _CELLS), "cells")
         found.append(assigned.filter("a is not null").select("a", "b"))
@@ -470,7 +530,7 @@ def _classes(table: DataFrame, words: int, percent: int, region: float, pivots:
     hubs = once.select("digest", F.explode("own").alias("key")).groupBy("key").agg(F.min("digest").alias("hub"))
     met = once.select("digest", F.explode("wide").alias("key")).join(hubs, "key").filter("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()
     regions = groups.components(met).select(F.col("node").alias("digest"), F.hex("component").alias("region"))
-    links = _pairs_of(once.select("digest", "shingles").join(regions, "digest"), percent, region, pivots)
+    links = _pairs_of(once.select("digest", "shingles").join(regions, "digest"), once.select("digest", "wide", "own"), percent, region, pivots)
     return sets.select("part", "row", "doc_id", "n_shingles", "digest"), groups.components(links).select(F.col("node").alias("digest"), "component")
 
 

@@ -101,6 +101,22 @@ def test_shared_paragraphs_by_squares(spark):
     assert got == jaccard.brute_force(rows)
 
 
+def test_few_sets_under_the_keys_of_many_need_no_squares(spark, monkeypatch):
+    """Frames with one word changed lie under the keys of all documents on the frame, that link with no one."""
+    frame = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join([*frame, *(f"u{i}x{k}" for k in range(22))])) for i in range(1200)]
+    bare = [(2000 + k, " ".join("changed" if i == 20 + 10 * k else w for i, w in enumerate(frame))) for k in range(5)]
+    copies = [(3000 + i, t + " more") for i, t in rows[::100]]
+    joined, by_keys = [], jaccard._by_keys
+    monkeypatch.setattr(jaccard, "_by_keys", lambda hard, *more: joined.append(hard.count()) or by_keys(hard, *more))
+    monkeypatch.setattr(jaccard, "_squares", lambda *_: pytest.fail("squares of a whole cell"))
+    df = spark.createDataFrame(rows + bare + copies, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, region=150).collect()}
+    want = {i: i for i, _ in rows} | {i: 2000 for i, _ in bare} | {i: i - 3000 for i, _ in copies}
+    assert got == want
+    assert joined and max(joined) > 1000
+
+
 def test_long_texts_are_cut_into_pieces_of_whole_words():
     text = (" ".join(f"w{i % 5000}" for i in range(400000)) + " " + "x" * 3000000 + " a b c").encode()
     data = np.frombuffer(text, np.uint8)
