@@ -23,19 +23,38 @@ def count_stats(df: DataFrame, group: list[str], count: str, unique: bool = True
     return df.groupBy(*group).agg(n.alias("n")).agg(*summary("n"))
 
 
+def _by_statement(df: DataFrame, keys: list[str], statement: str, facets: tuple[str, ...]) -> DataFrame:
+    """keys, _s, _cells: a statement's counts by the facets' values, no more of them than values combine in.
+
+    Rows are added up before they are shuffled, and what a statement adds to every margin is read
+    off its cells, so no row is repeated for each grouping.
+    """
+    counted = df.groupBy(*keys, F.col(statement).alias("_s"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(facets)]).agg(F.count("*").alias("_n"))
+    return counted.groupBy(*keys, "_s").agg(F.collect_list(F.struct(*[f"_f{i}" for i in range(len(facets))], "_n")).alias("_cells"))
+
+
+def _rows(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda s, x: s + x["_n"])
+
+
+def _margin(facet: str, entry) -> Column:
+    """entry(value, rows) of each value that the cells have of a facet."""
+    cells = F.col("_cells")
+    values = F.array_distinct(F.transform(cells, lambda x: x[facet]))
+    return F.transform(values, lambda v: entry(v.cast("string"), _rows(F.filter(cells, lambda x: x[facet].eqNullSafe(v)))))
+
+
 def grid(df: DataFrame, entity: str, statement: str = "statement", facets: tuple[str, ...] = ("sentiment", "topic")) -> DataFrame:
     """For an entity, over all and by each facet: statistics of its distinct and total statements.
 
-    All groupings come from one pass over grouping sets; facet is "all" or the facet's name.
+    facet is "all" or the facet's name. Null statements are not counted, their entities are.
     """
-    sets = [[F.col(entity)], *[[F.col(entity), F.col(f)] for f in facets]]
-    counted = df.groupingSets(sets, entity, *facets).agg(F.count_distinct(statement).alias("unique"), F.count(statement).alias("total"), *[F.grouping(f).alias(f"_g{i}") for i, f in enumerate(facets)])
-    name, value = F.lit("all"), F.lit("")
-    for i, f in enumerate(facets):
-        name = F.when(F.col(f"_g{i}") == 0, f).otherwise(name)
-        value = F.when(F.col(f"_g{i}") == 0, F.col(f).cast("string")).otherwise(value)
-    named = counted.select(name.alias("facet"), value.alias("value"), "unique", "total")
-    return named.groupBy("facet", "value").agg(F.count("*").alias("entities"), *summary("unique", "unique_"), *summary("total", "total_"))
+    entry = lambda name: lambda v, n: F.struct(F.lit(name).alias("facet"), v.alias("value"), n.alias("n"))
+    parts = [F.array(entry("all")(F.lit(""), _rows(F.col("_cells")))), *[_margin(f"_f{i}", entry(f)) for i, f in enumerate(facets)]]
+    found = F.col("_s").isNotNull()
+    each = _by_statement(df.select(F.col(entity).alias("_e"), statement, *facets), ["_e"], statement, facets).select("_e", found.cast("long").alias("_u"), F.inline(F.concat(*parts)))
+    counted = each.groupBy("_e", "facet", "value").agg(F.sum("_u").alias("unique"), F.sum(F.col("n") * F.col("_u")).alias("total"))
+    return counted.groupBy("facet", "value").agg(F.count("*").alias("entities"), *summary("unique", "unique_"), *summary("total", "total_"))
 
 
 def totals(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
@@ -53,9 +72,15 @@ def distribution(df: DataFrame, facet: str, statement: str = "statement") -> Dat
 
 def cross_matrix(df: DataFrame, a: str, b: str, statement: str = "statement") -> DataFrame:
     """Counts over both columns with margins, named "All"; distinct margins are not sums."""
-    cube = df.cube(a, b).agg(F.count("*").alias("total"), F.count_distinct(statement).alias("unique"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b"))
-    name = lambda c, g: F.when(F.col(g) == 1, "All").otherwise(F.col(c).cast("string")).alias(c)
-    return cube.select(name(a, "_a"), name(b, "_b"), "total", "unique")
+    every = F.lit("All")
+
+    def entry(x: Column, y: Column, n: Column, level: int) -> Column:
+        return F.struct(x.alias("_x"), y.alias("_y"), F.lit(level).alias("_level"), n.alias("n"))
+
+    inner = F.transform("_cells", lambda c: entry(c["_f0"].cast("string"), c["_f1"].cast("string"), c["_n"], 0))
+    margins = [_margin("_f0", lambda v, n: entry(v, every, n, 1)), _margin("_f1", lambda v, n: entry(every, v, n, 2)), F.array(entry(every, every, _rows(F.col("_cells")), 3))]
+    each = _by_statement(df.select(a, b, statement), [], statement, (a, b)).select(F.col("_s").isNotNull().cast("long").alias("_u"), F.inline(F.concat(inner, *margins)))
+    return each.groupBy("_x", "_y", "_level").agg(F.sum("n").alias("total"), F.sum("_u").alias("unique")).select(F.col("_x").alias(a), F.col("_y").alias(b), "total", "unique")
 
 
 def diversity(df: DataFrame, entity: str, facets: tuple[str, ...] = ("topic", "sentiment")) -> DataFrame:

@@ -164,6 +164,23 @@ def test_graph(spark):
     assert rows(graph.edge_difference(e, e.limit(0))) == rows(e)
 
 
+def test_margins_count_a_statement_once(spark):
+    """Nulls in every column, a value named as the margin, repeated rows, an empty table: as grouping sets give it."""
+    rng = random.Random(2)
+    data = [(rng.choice([1, 2, None]), rng.choice(["x", "y", "z", None]), rng.choice([1, -1, None]), rng.choice(["All", "a", None])) for _ in range(300)]
+    df = spark.createDataFrame(data, "e int, statement string, sentiment int, topic string")
+    df.createOrReplaceTempView("margins")
+    want = spark.sql("""SELECT if(grouping(sentiment) = 1, 'All', string(sentiment)), if(grouping(topic) = 1, 'All', topic), count(*), count(DISTINCT statement)
+        FROM margins GROUP BY CUBE (sentiment, topic)""")
+    assert rows(stats.cross_matrix(df, "sentiment", "topic")) == rows(want)
+    assert stats.cross_matrix(df.limit(0), "sentiment", "topic").count() == 0
+    sets = """SELECT if(grouping(sentiment) = 0, 'sentiment', if(grouping(topic) = 0, 'topic', 'all')) AS facet, if(grouping(sentiment) = 0, string(sentiment), if(grouping(topic) = 0, topic, '')) AS value,
+        count(DISTINCT statement) AS u, count(statement) AS t FROM margins GROUP BY GROUPING SETS ((e), (e, sentiment), (e, topic))"""
+    want = spark.sql(f"SELECT facet, value, count(*), avg(u), max(u), avg(t), max(t), percentile(t, 0.5) FROM ({sets}) GROUP BY facet, value")
+    assert rows(stats.grid(df, "e").select("facet", "value", "entities", "unique_avg", "unique_max", "total_avg", "total_max", "total_median")) == rows(want)
+    assert stats.grid(df.limit(0), "e").count() == 0
+
+
 def test_k_hop_shares_frontiers(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_EDGES", 4)
     rng = random.Random(3)
