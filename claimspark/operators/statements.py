@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from . import ids
 
 
@@ -101,6 +102,26 @@ def with_ids(triplets: DataFrame, vocabulary: DataFrame, topics: DataFrame | Non
     return rows.select(key, pick("sid").alias("statement_ids"), pick("tid").alias("topic_ids"), pick("sent").alias("sentiments"))
 
 
+def processed(df: DataFrame, cells: str = "statements", repairs: DataFrame | None = None, topics: list[str] | None = None, sentiments: list[str] | None = None, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """From extracted text to ids in one flow: the rows (key, statements, statement_ids) and their vocabulary.
+
+    Cells are read as JSON or as a literal list. Cells that are null or unreadable stay null in
+    both columns; readable ones that keep no triplet get empty lists; one object alone is a list
+    of one. Triplets without a statement go. Cells are read once, into a written table. Without accepted topics (sentiments) all others stay, missing ones as null.
+    """
+    read = written(df.select(key, T.parse_triplets(F.col(cells), literals=True).alias("_t")), "triplets")
+    flat = read.select(key, F.posexplode("_t").alias("pos", "t")).filter(F.coalesce("t.statement", F.lit("")) != "")
+    named = normalised(flat.select(key, "pos", T.topic_name(F.col("t.statement")).alias("statement"), "t.topic", "t.sentiment"), repairs, topics, sentiments)
+    words = vocabulary(named, key)
+    v = words.select("sid", F.col("statement").alias("_s"), F.col("topic").alias("_o"), F.col("sentiment").alias("_m"))
+    same = (F.col("statement") == F.col("_s")) & F.col("topic").eqNullSafe(F.col("_o")) & F.col("sentiment").eqNullSafe(F.col("_m"))
+    triplet = F.struct("statement", "topic", "sentiment")
+    lists = named.join(v, same).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sid", triplet.alias("t")))).alias("_l"))
+    rows = read.select(key, F.col("_t").isNotNull().alias("_read")).join(lists, key, "left")
+    pick = lambda f: F.when(F.col("_read"), F.coalesce(F.transform("_l", lambda x: x[f]), F.array()))
+    return rows.select(key, pick("t").alias("statements"), pick("sid").alias("statement_ids")), words
+
+
 def looked_up(df: DataFrame, vocabulary: DataFrame, id_list: str = "statement_ids", sentiments: str | None = None, key: str = "row_id") -> DataFrame:
     """key, pos, sid, statement, topic, sentiment of listed ids; unknown ids are skipped.
 

@@ -145,6 +145,19 @@ def token_ids(df: DataFrame, vocabulary: DataFrame, text: str, key: str) -> Data
     return rows.select(key, F.transform("_l", lambda x: x["idx"].cast("bigint")).alias("ids"))
 
 
+def words_of_ids(df: DataFrame, vocabulary: DataFrame, ids: str, key: str, end: str = "<eos>") -> DataFrame:
+    """key, words: the words of each list of ids up to the first end mark.
+
+    Reserved ids give their marks; ids that neither has, and null ones, give nothing. Empty and
+    null lists give empty lists.
+    """
+    kept = T.until(F.col(ids), RESERVED.index(end))
+    flat = df.select(key, F.posexplode(kept).alias("pos", "idx")).join(vocabulary.select("idx", "word"), "idx", "left")
+    named = flat.withColumn("word", F.coalesce("word", F.get(F.array(*map(F.lit, RESERVED)), F.when(F.col("idx") < len(RESERVED), F.col("idx")).cast("int"))))
+    rows = named.filter("word is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_l"))
+    return df.select(key).join(rows, key, "left").select(key, F.coalesce(F.transform("_l", lambda x: x["word"]), F.array()).alias("words"))
+
+
 def tfidf(df: DataFrame, text: str, key: str, stop_words: tuple[str, ...] = (), least_documents: int = 2) -> DataFrame:
     """key, term, weight: term frequency times ln((1 + n) / (1 + df)) + 1, of unit length within a text."""
     terms = df.select(key, F.explode(T.words(F.lower(text))).alias("term")).filter(~F.col("term").isin(*stop_words) if stop_words else F.lit(True))

@@ -53,8 +53,12 @@ _REPAIRS = "rp AS (SELECT * FROM (VALUES ('small brass', 'brass'), ('large steel
 _NORMAL = f"n AS (SELECT row_id, pos, statement, coalesce(r, topic) AS topic, sentiment FROM (SELECT row_id, pos, statement, trim(replace(replace(lower(topic), '-', ' '), '_', ' ')) AS topic, sentiment FROM t) LEFT JOIN rp ON w = topic)"
 
 
+def _repairs(spark):
+    return spark.createDataFrame([("small brass", "brass"), ("large steel", "steel"), ("medium tin", "tin")], "wrong_topic string, topic string")
+
+
 def _normalised(spark, sf_dir, **accepted):
-    repairs = spark.createDataFrame([("small brass", "brass"), ("large steel", "steel"), ("medium tin", "tin")], "wrong_topic string, topic string")
+    repairs = _repairs(spark)
     raw = triplets(spark, sf_dir).withColumn("topic", F.upper(F.replace(F.col("topic"), F.lit(" "), F.lit("_")))).withColumn("sentiment", F.concat(F.lit(" "), F.upper("sentiment")))
     return statements.normalised(raw, repairs, **accepted)
 
@@ -69,6 +73,37 @@ def lenient_triplets(spark, sf_dir):
     return _normalised(spark, sf_dir).select("row_id", "pos", "topic", "sentiment")
 
 
+_CELLS = f"""f AS (SELECT row_id, pos, statement, CASE WHEN pos % 9 <> 0 THEN topic END AS topic, sentiment FROM n WHERE pos % 10 <> 1 AND row_id % 7 <> 0 AND row_id % 11 <> 0),
+ v AS (SELECT statement, topic, sentiment, count(*) AS freq, row_number() OVER (ORDER BY min(struct_pack(r := row_id, p := pos))) - 1 AS sid FROM f GROUP BY statement, topic, sentiment)"""
+
+
+def _processed(spark, sf_dir):
+    """Triplets as a model may write them: JSON or literals, some cells broken or null, some topics and statements missing."""
+    t = triplets(spark, sf_dir)
+    mark = lambda c: F.upper(F.replace(c, F.lit(" "), F.lit("_")))
+    said = F.struct(F.when(F.col("pos") % 10 != 1, mark("statement")).alias("statement"), F.when(F.col("pos") % 9 != 0, mark("topic")).alias("topic"), F.concat(F.lit(" "), F.upper("sentiment")).alias("sentiment"))
+    lists = t.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))).alias("l"))
+    json = F.to_json(F.transform("l", lambda x: x["t"]))
+    k = F.col("row_id")
+    cell = F.when(k % 11 == 0, None).when(k % 7 == 0, F.concat(F.lit("Sure: "), json)).when(k % 2 == 0, F.replace(json, F.lit('"'), F.lit("'"))).otherwise(json)
+    return statements.processed(lists.select("row_id", cell.alias("statements")), repairs=_repairs(spark))
+
+
+@query(f"""WITH {TRIPLETS}, {_REPAIRS}, {_NORMAL}, {_CELLS}, l AS (SELECT row_id, string_agg(sid, ',' ORDER BY pos) AS ids, string_agg(f.statement || '/' || coalesce(f.topic, '?'), '|' ORDER BY pos) AS said
+   FROM f JOIN v ON f.statement = v.statement AND f.topic IS NOT DISTINCT FROM v.topic AND f.sentiment = v.sentiment GROUP BY row_id)
+ SELECT row_id, CASE WHEN row_id % 7 <> 0 AND row_id % 11 <> 0 THEN coalesce(ids, '') END AS statement_ids, CASE WHEN row_id % 7 <> 0 AND row_id % 11 <> 0 THEN coalesce(said, '') END AS statements
+ FROM (SELECT DISTINCT row_id FROM t) LEFT JOIN l USING (row_id)""")
+def processed_triplets(spark, sf_dir):
+    rows, _ = _processed(spark, sf_dir)
+    said = F.transform("statements", lambda t: F.concat_ws("/", t["statement"], F.coalesce(t["topic"], F.lit("?"))))
+    return rows.select("row_id", F.array_join(F.col("statement_ids").cast("array<string>"), ",").alias("statement_ids"), F.array_join(said, "|").alias("statements"))
+
+
+@query(f"WITH {TRIPLETS}, {_REPAIRS}, {_NORMAL}, {_CELLS} SELECT sid, statement, topic, sentiment, freq FROM v")
+def processed_vocabulary(spark, sf_dir):
+    return _processed(spark, sf_dir)[1]
+
+
 @query("""SELECT event_id % 97 AS index, count(*) FILTER (value > 35) AS hits FROM events WHERE event_type = 'click' GROUP BY 1""")
 def checked_task(spark, sf_dir):
     """Labels of a task whose inputs have been checked."""
@@ -222,6 +257,14 @@ def text_lines(spark, sf_dir):
     return S.read_lines(spark, place, 100).select(F.col("row_id").alias("place"), "text")
 
 
+@query("SELECT round(count(DISTINCT text) / count(*), 6) AS unique_text_ratio FROM conversations WHERE text <> ''")
+def csv_corpus(spark, sf_dir):
+    """A column of CSV files, by its name, whole; texts have quotes, commas and line ends."""
+    place = S.new_scratch(spark, "corpus")
+    S.write_csv(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), place)
+    return rounded(M.unique_text_ratio(S.read_corpus(spark, place, "text"), "text"))
+
+
 @query("SELECT c_custkey, 'About ' || c_name || ' of ' || c_mktsegment || '.' AS prompt FROM customer")
 def template_prompts(spark, sf_dir):
     place = S.new_scratch(spark, "template")
@@ -286,6 +329,17 @@ def words_of_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.words_of_ids(ids, F.array(*map(F.lit, ("zero", "<eos>", "two"))), 1), " ").alias("text"))
 
 
+@query(f"""WITH {OUTPUTS}, v AS (SELECT word, count(*) AS freq, min(struct_pack(k := row_id, p := pos)) AS first FROM (SELECT row_id, unnest({word_list('reference')}) AS word, generate_subscripts({word_list('reference')}, 1) AS pos FROM o) GROUP BY word ORDER BY freq DESC, first LIMIT 200)
+ SELECT row_id, array_to_string(list_transform(w, lambda x: CASE WHEN list_contains(known, x) THEN x ELSE '<unk>' END), ' ') AS text FROM (SELECT row_id, {word_list('prediction')} AS w FROM o), (SELECT list(word) AS known FROM v) WHERE len(w) > 0""")
+def decoded_tokens(spark, sf_dir):
+    """Texts as ids of a vocabulary of other texts, ended and padded, and back; words it lacks are marked."""
+    o = outputs(spark, sf_dir)
+    v = M.word_vocabulary(o, "reference", "row_id", 200)
+    end = F.array(*[F.lit(M.RESERVED.index(m)).cast("bigint") for m in ("<eos>", "<pad>", "<pad>")])
+    ids = M.token_ids(o, v, "prediction", "row_id").withColumn("ids", F.concat("ids", end))
+    return M.words_of_ids(ids, v, "ids", "row_id").select("row_id", F.array_join("words", " ").alias("text"))
+
+
 @query(f"""WITH {INTERACTIONS}, {_ASKED}, h AS (SELECT t.row_id, 0 AS k, h.row_id AS x FROM t JOIN i h ON h.user_id = t.user_id AND h.item_id <> t.item_id
  UNION ALL SELECT t.row_id, 1 AS k, h.row_id AS x FROM t JOIN i h ON h.item_id = t.item_id AND h.user_id <> t.user_id), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k, x) AS n FROM h)
  SELECT row_id, CAST(sum(x) AS BIGINT) AS id_sum FROM r WHERE n <= 16 GROUP BY row_id""")

@@ -27,8 +27,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Exports with a header and doubled quotes. Null and empty text are both read back as null."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """Exports with a header and doubled quotes, blanks around values kept. Null and empty text are both read back as null."""
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_statements(spark: SparkSession, path: str, index: str | None = "sid") -> DataFrame:
@@ -166,6 +166,18 @@ def read_lines(spark: SparkSession, path: str, most: int = 10000) -> DataFrame:
     return lines.orderBy("row_id").limit(most).select("row_id", F.col("value").alias("text"))
 
 
+def read_corpus(spark: SparkSession, path: str, column: str | None = None, most: int = 10000) -> DataFrame:
+    """text: the first lines of a text file, trimmed, or a whole column of CSV files with a header.
+
+    Columns are found by name in the first header, all files must have the same. A column that
+    is not there raises ValueError. Blank cells are null.
+    """
+    if column is None:
+        return read_lines(spark, path, most).select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return require_columns(table, [column]).select(F.col(f"`{column}`").alias("text"))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """row_id from files of blank-separated row numbers."""
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("v")).select(F.col("v").try_cast("bigint").alias("row_id")).filter("row_id is not null")

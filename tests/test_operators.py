@@ -362,3 +362,41 @@ def test_running_sums_cross_ranges(spark):
     for k, x, y in sorted(rows):
         assert got[k] == (a, b)
         a, b = a + x, b + y
+
+
+def test_processed_triplets_keep_null_rows(spark):
+    cells = [
+        (1, '[{"statement": "It-works", "topic": "PRICE_tag", "sentiment": " Positive"}, null, {"topic": "price"}]'),
+        (2, "[{'statement': 'it works', 'topic': 'price tag', 'sentiment': 'positive'}, {'statement': 'b', 'topic': None, 'sentiment': 'odd'}, {}]"),
+        (3, None),
+        (4, "no list"),
+        (5, "[]"),
+        (6, "[{'statement': 'c', 'topic': 'cost'}]"),
+        (7, "{'statement': 'c'}"),
+    ]
+    df = spark.createDataFrame(cells, "row_id bigint, statements string")
+    repairs = spark.createDataFrame([("cost", "price tag")], "wrong_topic string, topic string")
+    rows, words = statements.processed(df, repairs=repairs)
+    got = {r.row_id: (r.statement_ids, None if r.statements is None else [tuple(t) for t in r.statements]) for r in rows.collect()}
+    works = ("it works", "price tag", "positive")
+    assert got == {
+        1: ([0], [works]),
+        2: ([0, 1], [works, ("b", None, "odd")]),
+        3: (None, None),
+        4: (None, None),
+        5: ([], []),
+        6: ([2], [("c", "price tag", None)]),
+        7: ([3], [("c", None, None)]),
+    }
+    assert {(r.sid, r.statement, r.topic, r.sentiment, r.freq) for r in words.collect()} == {(0, *works, 2), (1, "b", None, "odd", 1), (2, "c", "price tag", None, 1), (3, "c", None, None, 1)}
+    strict, _ = statements.processed(df, repairs=repairs, topics=["price tag"], sentiments=["positive"])
+    assert {r.row_id: r.statement_ids for r in strict.collect()} == {1: [0], 2: [0], 3: None, 4: None, 5: [], 6: [], 7: []}
+    none, _ = statements.processed(df.limit(0))
+    assert none.count() == 0
+
+
+def test_words_of_ids_by_a_vocabulary(spark):
+    vocabulary = spark.createDataFrame([("good", 5), ("bad", 6)], "word string, idx int")
+    rows = [(1, [5, 6, 3, 1, 5]), (2, [1, 5]), (3, []), (4, None), (5, [6, 99, None, 0, 6])]
+    got = M.words_of_ids(spark.createDataFrame(rows, "k bigint, ids array<bigint>"), vocabulary, "ids", "k")
+    assert {r.k: r.words for r in got.collect()} == {1: ["good", "bad", "<unk>"], 2: [], 3: [], 4: [], 5: ["bad", "<bos>", "bad"]}

@@ -81,3 +81,15 @@ def test_metadata_literals_are_read_and_other_lines_are_returned(spark, tmp_path
     assert [r.line for r in S.rejected_metadata(spark, str(tmp_path / "meta.txt")).collect()] == lines[6:]
     (tmp_path / "none.txt").write_text("")
     assert S.read_metadata(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_corpus_of_lines_or_of_a_column(spark, tmp_path):
+    (tmp_path / "out.txt").write_text("  one \n\ntwo\t\nthree\n")
+    assert sorted(r.text for r in S.read_corpus(spark, str(tmp_path / "out.txt"), most=3).collect()) == ["", "one", "two"]
+    rows = [(1, ' a "q", b\nline '), (2, None), (3, ""), (4, "x\\y")]
+    place = str(tmp_path / "csv")
+    S.write_csv(spark.createDataFrame(rows, "row_id bigint, `said so` string"), place)
+    got = [r.text for r in S.read_corpus(spark, place, "said so").collect()]
+    assert sorted(got, key=str) == sorted([' a "q", b\nline ', None, None, "x\\y"], key=str)
+    with pytest.raises(ValueError, match="missing"):
+        S.read_corpus(spark, place, "nothing")
