@@ -39,3 +39,10 @@ def test_induced_sums_list_no_nodes_of_a_pair(spark, monkeypatch):
     assert {tuple(r) for r in loose.collect()} == want  # a pair without an edge takes the longer way
     monkeypatch.setattr(graph, "k_hop", _never)
     assert {tuple(r) for r in graph.induced_sums(labelled, pairs, "label").collect()} == want
+
+
+def test_best_paths_share_the_halves_of_a_goal(spark, rows_written):
+    edges, pairs = _crowd(spark)
+    weighted = graph.undirected(edges).withColumn("weight", F.lit(1.0))
+    assert graph.best_paths(weighted, pairs, 3, 3).count() == 3 * pairs.count()
+    assert rows_written["tails"] == [edges.count()]  # an item's users once, not for each of its pairs
