@@ -46,3 +46,28 @@ def test_best_paths_share_the_halves_of_a_goal(spark, rows_written):
     weighted = graph.undirected(edges).withColumn("weight", F.lit(1.0))
     assert graph.best_paths(weighted, pairs, 3, 3).count() == 3 * pairs.count()
     assert rows_written["tails"] == [edges.count()]  # an item's users once, not for each of its pairs
+
+
+def test_true_ways_meet_users_once_for_two_items(spark, monkeypatch, tmp_path):
+    from claimspark.plans import metric_queries as Q
+
+    edges, pairs = _crowd(spark)
+    monkeypatch.setattr(Q, "_edges", lambda *_: edges)
+    monkeypatch.setattr(Q, "_asked_pairs", lambda *_: pairs)
+    hits = Q.path_hits(spark, str(tmp_path))
+    assert hits.count() == pairs.count()
+    real, items = {}, {}
+    for u, i in edges.collect():
+        real.setdefault(i, set()).add(u)
+        items.setdefault(u, set()).add(i)
+    seen = []
+    monkeypatch.setattr(graph, "path_hits", lambda paths, truth: seen.append(truth) or truth)
+    Q.path_hits(spark, str(tmp_path))
+    got = {(r.pair, r.src, r.dst) for r in seen[0].filter("path_id = 0").collect()}
+    want = set()
+    for pair, u, i in pairs.collect():
+        other = min(items[u] - {i})
+        friends = (real[other] & real[i]) - {u}
+        want |= {(pair, u, other), (pair, other, min(friends)), (pair, min(friends), i)} if friends else set()
+    assert got == want
+    assert "row_number" in seen[0]._jdf.queryExecution().toString()
