@@ -71,3 +71,11 @@ def test_true_ways_meet_users_once_for_two_items(spark, monkeypatch, tmp_path):
         want |= {(pair, u, other), (pair, other, min(friends)), (pair, min(friends), i)} if friends else set()
     assert got == want
     assert "row_number" in seen[0]._jdf.queryExecution().toString()
+
+
+def test_one_hop_counts_list_no_nodes_of_a_pair(spark, monkeypatch):
+    edges, pairs = _crowd(spark)
+    nodes = edges.select(F.col("src").alias("id"), F.lit("user").alias("ntype")).union(edges.select("dst", F.lit("item"))).distinct()
+    want = {tuple(r) for r in graph.type_counts(nodes, graph.k_hop(edges, pairs, 1)).collect()}
+    monkeypatch.setattr(graph, "k_hop", _never)
+    assert {tuple(r) for r in graph.one_hop_counts(edges, pairs).collect()} == want
