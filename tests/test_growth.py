@@ -79,3 +79,15 @@ def test_one_hop_counts_list_no_nodes_of_a_pair(spark, monkeypatch):
     want = {tuple(r) for r in graph.type_counts(nodes, graph.k_hop(edges, pairs, 1)).collect()}
     monkeypatch.setattr(graph, "k_hop", _never)
     assert {tuple(r) for r in graph.one_hop_counts(edges, pairs).collect()} == want
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 9])
+def test_two_hop_sums_list_no_nodes_of_a_pair(spark, monkeypatch, bits):
+    edges, pairs = _crowd(spark)
+    monkeypatch.setattr(graph, "REACH_BITS", bits)
+    monkeypatch.setattr(graph, "REACH_BLOCK", 7)
+    monkeypatch.setattr(graph, "REACH_PART", 11)
+    found = graph.k_hop(edges, pairs, 2).groupBy("pair").agg(F.count_if(F.col("id") < 1000), F.count_if(F.col("id") >= 1000), F.sum(F.col("id") % 97).cast("double"))
+    want = {tuple(r) for r in found.collect()}
+    monkeypatch.setattr(graph, "k_hop", _never)
+    assert {tuple(r) for r in graph.two_hop_sums(edges, pairs, lambda ids: ids % 97).collect()} == want
