@@ -1,9 +1,16 @@
 """Work that must not grow faster than the tables: what is made for each pair, goal or task, counted on small ones."""
 
+import os
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimspark.operators import graph
+from claimspark.operators import consistency, graph, retrieval, sampling, stats, textmetrics
+from claimspark.plans import frames
+
+DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -91,3 +98,19 @@ def test_two_hop_sums_list_no_nodes_of_a_pair(spark, monkeypatch, bits):
     want = {tuple(r) for r in found.collect()}
     monkeypatch.setattr(graph, "k_hop", _never)
     assert {tuple(r) for r in graph.two_hop_sums(edges, pairs, lambda ids: ids % 97).collect()} == want
+
+
+def test_similarity_counts_meet_blocks_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 4))
+    x[7], x[8] = 0, x[9]
+    monkeypatch.setattr(retrieval, "SQUARE", 20)
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    with np.errstate(invalid="ignore"):
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = np.nan_to_num(u @ u.T, nan=-2) - 4 * np.eye(90)
+    near = cos > 1 - 1.1**2 / 2
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "id long, vector array<float>")
+    got = {r["index"]: (r.n, r.best) for r in retrieval.similarity_counts(v, 1.1).collect()}
+    assert got.keys() == {i for i in range(90) if near[i].any()}
+    assert all(n == near[i].sum() and best == pytest.approx(cos[i].max(), abs=1e-6) for i, (n, best) in got.items())
