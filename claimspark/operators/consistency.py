@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +40,87 @@ def soft_unigrams(scores: DataFrame) -> DataFrame:
     return p.join(r, "pair").withColumn("f1", harmonic_mean(F.col("precision"), F.col("recall")))
 
 
+#: Cells of sentence matrices that a task has in hand at once, about.
+CELLS = 1 << 22
+
+
+def _in_matrices(scores: DataFrame, kernel, names: list[str]) -> DataFrame:
+    """pair and columns that kernel makes of sentence matrices (pairs x premises x hypotheses) of one shape.
+
+    Rows are shuffled once, by pair, and sorted, so all of a pair's rows lie side by side and its
+    matrix is made in the task. Sentences are in the order of their numbers, nulls last; of repeated
+    cells the best counts, cells without a score are 0.
+    """
+    last = F.lit((1 << 63) - 1)
+    known = F.when(F.col("prem_i").isNotNull() & F.col("hyp_i").isNotNull(), F.col("score").cast("double"))
+    rows = scores.filter(F.col("pair").isNotNull()).select("pair", *[F.coalesce(F.col(c).cast("long"), last).alias(c) for c in ("prem_i", "hyp_i")], F.coalesce(known, F.lit(float("-inf"))).alias("score"))
+
+    def places(group: np.ndarray, sentence: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's sentence as 0, 1 ... of its pair, and how many there are."""
+        order = np.lexsort((sentence, group))
+        g, x = group[order], sentence[order]
+        fresh = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]))
+        size = np.bincount(g[fresh], minlength=n)
+        at = np.empty(len(group), np.int64)
+        at[order] = np.cumsum(fresh) - 1 - (np.cumsum(size) - size)[g]
+        return at, size
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        pair, first, group = np.unique(t.column("pair").to_numpy(), return_index=True, return_inverse=True)
+        (i, p), (j, h) = (places(group, t.column(c).to_numpy(), len(pair)) for c in ("prem_i", "hyp_i"))
+        score, out = t.column("score").to_numpy(), np.zeros((len(names), len(pair)))
+        shapes, shape = np.unique(p * (1 << 31) + h, return_inverse=True)
+        by = np.argsort(shape, kind="stable")
+        cuts = np.searchsorted(shape[by], np.arange(len(shapes) + 1))
+        rows_by = np.argsort(shape[group], kind="stable")
+        row_cuts = np.searchsorted(shape[group][rows_by], np.arange(len(shapes) + 1))
+        for s in range(len(shapes)):
+            mine, rows_ = by[cuts[s] : cuts[s + 1]], rows_by[row_cuts[s] : row_cuts[s + 1]]
+            np_, nh = int(p[mine[0]]), int(h[mine[0]])
+            step = max(1, CELLS // (np_ * nh))
+            for k in range(0, len(mine), step):
+                some = mine[k : k + step]
+                inside = rows_[(group[rows_] >= some[0]) & (group[rows_] <= some[-1])]
+                m = np.full((len(some), np_, nh), -np.inf)
+                np.maximum.at(m, (np.searchsorted(some, group[inside]), i[inside], j[inside]), score[inside])
+                m[np.isneginf(m)] = 0.0
+                out[:, some] = kernel(m)
+        return pa.RecordBatch.from_pydict({"pair": t.column("pair").combine_chunks().take(pa.array(first)), **dict(zip(names, out, strict=True))})
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []  # rows of the last pair so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pair = b.column("pair").to_numpy()
+            cut = int(np.searchsorted(pair, pair[-1]))
+            if cut or (kept and kept[0].column("pair")[0].as_py() != pair[0]):
+                yield made(pa.Table.from_batches([*kept, b.slice(0, cut)]))
+                kept = []
+            kept.append(b.slice(cut))
+        if kept:
+            yield made(pa.Table.from_batches(kept))
+
+    sorted_ = rows.withColumn("pair", F.col("pair").cast("long")).repartition("pair").sortWithinPartitions("pair")
+    return sorted_.mapInArrow(run, ", ".join(["pair long", *[f"{n} double" for n in names]]))
+
+
 def soft_ngrams(scores: DataFrame, n: int) -> DataFrame:
     """As soft_unigrams for runs of n sentences: a run's score is the mean along n steps of the score matrix's diagonal.
 
-    prem_i and hyp_i count sentences without gaps. A cell gives its share to the n runs that it
-    is part of, so one aggregation makes all runs; those that reach over an edge lack steps and go.
     Pairs that are too short for a run score 0.
     """
-    share = scores.select("pair", "prem_i", "hyp_i", "score", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
-    runs = share.groupBy("pair", (F.col("prem_i") - F.col("_k")).alias("prem_i"), (F.col("hyp_i") - F.col("_k")).alias("hyp_i")).agg(F.avg("score").alias("score"), F.count("*").alias("_n")).filter(F.col("_n") == n)
-    made = scores.select("pair").distinct().join(soft_unigrams(runs), "pair", "left")
-    return made.na.fill(0.0, ["precision", "recall", "f1"])
+    from ..functions.text import harmonic_mean
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        p, h = m.shape[1] - n + 1, m.shape[2] - n + 1
+        if p < 1 or h < 1:
+            return np.zeros((2, len(m)))
+        runs = sum(m[:, k : k + p, k : k + h] for k in range(n)) / n
+        return np.stack([runs.max(axis=1).mean(axis=1), runs.max(axis=2).mean(axis=1)])
+
+    made = _in_matrices(scores, kernel, ["precision", "recall"])
+    return made.withColumn("f1", harmonic_mean(F.col("precision"), F.col("recall")))
 
 
 def soft_lcs(scores: DataFrame) -> DataFrame:

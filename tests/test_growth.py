@@ -114,3 +114,36 @@ def test_similarity_counts_meet_blocks_once(spark, monkeypatch):
     got = {r["index"]: (r.n, r.best) for r in retrieval.similarity_counts(v, 1.1).collect()}
     assert got.keys() == {i for i in range(90) if near[i].any()}
     assert all(n == near[i].sum() and best == pytest.approx(cos[i].max(), abs=1e-6) for i, (n, best) in got.items())
+
+
+def _scores(spark):
+    rng = np.random.default_rng(1)
+    rows = [(p, int(rng.integers(5)), int(rng.integers(4)) * 7, float(rng.random())) for p in range(40) for _ in range(rng.integers(1, 12))]
+    rows += [(50, 1, None, 0.5), (50, 2, 3, 0.25), (50, 2, 3, None), (51, 1, 1, None), (None, 1, 1, 0.5)]
+    cells = {}
+    for p, i, j, s in rows:
+        if p is not None:
+            i, j = (1 << 63) - 1 if i is None else i, (1 << 63) - 1 if j is None else j
+            cells.setdefault(p, []).append((i, j, 0.0 if s is None or j == (1 << 63) - 1 else s))
+    made = {}
+    for p, found in cells.items():
+        a, b = sorted({c[0] for c in found}), sorted({c[1] for c in found})
+        made[p] = np.zeros((len(a), len(b)))
+        for i, j, s in found:
+            made[p][a.index(i), b.index(j)] = max(made[p][a.index(i), b.index(j)], s)
+    return spark.createDataFrame(rows, "pair long, prem_i long, hyp_i long, score double").repartition(3), made
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_soft_ngrams_shuffle_rows_once(spark, monkeypatch, n):
+    df, made = _scores(spark)
+    monkeypatch.setattr(consistency, "CELLS", 40)
+    got = consistency.soft_ngrams(df, n)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.pair: r for r in got.collect()}
+    assert got.keys() == made.keys()
+    for p, m in made.items():
+        a, b = m.shape[0] - n + 1, m.shape[1] - n + 1
+        runs = np.array([[np.mean([m[i + k, j + k] for k in range(n)]) for j in range(b)] for i in range(a)]) if a > 0 and b > 0 else np.zeros((1, 1))
+        assert got[p].precision == pytest.approx(runs.max(axis=0).mean())
+        assert got[p].recall == pytest.approx(runs.max(axis=1).mean())
