@@ -126,23 +126,18 @@ def soft_ngrams(scores: DataFrame, n: int) -> DataFrame:
 def soft_lcs(scores: DataFrame) -> DataFrame:
     """Soft longest common subsequence of premise and hypothesis sentences, over the longer one's length.
 
-    The table's rows are folded one hypothesis sentence at a time; each row of the recursion is
-    new, none is shared.
+    The table's rows are folded one hypothesis sentence at a time, for all pairs of a shape together.
     """
-    rows = scores.groupBy("pair", "hyp_i").agg(F.array_sort(F.collect_list(F.struct("prem_i", "score"))).alias("r"))
-    table = rows.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("hyp_i", F.transform("r", lambda x: x["score"]).alias("s")))).alias("t"))
-    width = F.size(F.element_at("t", 1)["s"])
 
-    def step(before, row):
-        def cell(done, s):
-            j = F.size(done)
-            best = F.greatest(F.get(before, j), F.get(done, j - 1), F.get(before, j - 1) + s)
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(row["s"], F.array(F.lit(0.0)), cell)
-
-    last = F.aggregate("t", F.array_repeat(F.lit(0.0), width + 1), step)
-    return table.select("pair", (F.element_at(last, -1) / F.greatest(F.size("t"), width)).alias("score"))
+    def kernel(m: np.ndarray) -> np.ndarray:
+        before = np.zeros((len(m), m.shape[1] + 1))
+        for k in range(m.shape[2]):
+            row = before.copy()
+            np.maximum(row[:, 1:], before[:, :-1] + m[:, :, k], out=row[:, 1:])
+            before = np.maximum.accumulate(row, axis=1)
+        return before[None, :, -1] / max(m.shape[1:])
+
+    return _in_matrices(scores, kernel, ["score"])
 
 
 def by_paragraph(scores: DataFrame, key: str = "doc") -> DataFrame:

@@ -147,3 +147,28 @@ def test_soft_ngrams_shuffle_rows_once(spark, monkeypatch, n):
         runs = np.array([[np.mean([m[i + k, j + k] for k in range(n)]) for j in range(b)] for i in range(a)]) if a > 0 and b > 0 else np.zeros((1, 1))
         assert got[p].precision == pytest.approx(runs.max(axis=0).mean())
         assert got[p].recall == pytest.approx(runs.max(axis=1).mean())
+
+
+def test_soft_lcs_shuffles_rows_once(spark, monkeypatch):
+    df, made = _scores(spark)
+    monkeypatch.setattr(consistency, "CELLS", 40)
+    got = consistency.soft_lcs(df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.pair: r.score for r in got.collect()}
+    assert got.keys() == made.keys()
+    for p, m in made.items():
+        best = np.zeros((m.shape[0] + 1, m.shape[1] + 1))
+        for i in range(m.shape[0]):
+            for j in range(m.shape[1]):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + m[i, j])
+        assert got[p] == pytest.approx(best[-1, -1] / max(m.shape))
+
+
+def test_matrices_of_one_pair_may_come_in_several_batches(spark):
+    df, made = _scores(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.pair for r in consistency.soft_lcs(df).collect()}
+        assert got == made.keys() and consistency.soft_lcs(df).count() == len(made)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
