@@ -172,3 +172,12 @@ def test_matrices_of_one_pair_may_come_in_several_batches(spark):
         assert got == made.keys() and consistency.soft_lcs(df).count() == len(made)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_triplets_lie_in_more_partitions_not_in_larger_ones(spark, monkeypatch):
+    rows = frames.table(spark, DIR, "lineitem").count()
+    monkeypatch.setattr(frames, "TASK_ROWS", 500)
+    assert frames.triplets(spark, DIR).rdd.getNumPartitions() == -(-rows // 500)
+    plan = frames.triplets(spark, DIR).groupBy("row_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(row_id") == 2  # those of the triplets; grouping adds none
