@@ -90,13 +90,17 @@ def vocabulary(triplets: DataFrame, key: str = "row_id") -> DataFrame:
     return ids.numbered(flat, ["_k", "_p", "_e"], "sid", ties=False).select("sid", "_e.*", "freq")
 
 
-def with_ids(triplets: DataFrame, vocabulary: DataFrame, topics: DataFrame | None = None, key: str = "row_id") -> DataFrame:
-    """Per row the aligned lists statement_ids, topic_ids and sentiments, in order of appearance."""
+def with_ids(triplets: DataFrame, vocabulary: DataFrame, topics: DataFrame | None = None, key: str = "row_id", parts: int | None = None) -> DataFrame:
+    """Per row the aligned lists statement_ids, topic_ids and sentiments, in order of appearance.
+
+    With parts, lists are made in so many partitions, whatever the session's setting.
+    """
     known = vocabulary.select("sid", "statement", "topic", "sentiment")
     joined = triplets.join(known, ["statement", "topic", "sentiment"])
     topic_id = F.lit(None).cast("int")
     if topics is not None:
         joined, topic_id = joined.join(topics.select("topic", "topic_id"), "topic", "left"), F.col("topic_id")
+    joined = joined.repartition(parts, key) if parts else joined
     rows = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sid", topic_id.alias("tid"), T.sentiment_number(F.col("sentiment")).alias("sent")))).alias("_l"))
     pick = lambda f: F.transform("_l", lambda x: x[f])
     return rows.select(key, pick("sid").alias("statement_ids"), pick("tid").alias("topic_ids"), pick("sent").alias("sentiments"))
@@ -135,13 +139,15 @@ def looked_up(df: DataFrame, vocabulary: DataFrame, id_list: str = "statement_id
     return flat.join(vocabulary.select("sid", "statement", "topic", "sentiment"), "sid").select(key, "pos", "sid", "statement", "topic", F.coalesce("own", "sentiment").alias("sentiment"))
 
 
-def explanations(df: DataFrame, vocabulary: DataFrame, id_list: str = "statement_ids", sentiments: str | None = "sentiments", key: str = "row_id") -> DataFrame:
+def explanations(df: DataFrame, vocabulary: DataFrame, id_list: str = "statement_ids", sentiments: str | None = "sentiments", key: str = "row_id", parts: int | None = None) -> DataFrame:
     """key, explanation: the paragraph of a row's statements; "" for rows without any.
 
-    Clauses are made once for each statement of the vocabulary, not for each use.
+    Clauses are made once for each statement of the vocabulary, not for each use. With parts, a
+    row's clauses are put together in so many partitions, whatever the session's setting.
     """
     clauses = vocabulary.withColumn("statement", T.clause(F.col("statement")))
     said = looked_up(df, clauses, id_list, sentiments, key)
+    said = said.repartition(parts, key) if parts else said
     once = said.groupBy(key, "sentiment", F.lower("statement").alias("_k")).agg(F.min(F.struct("pos", "statement")).alias("_f"))
     lists = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_f.pos").alias("pos"), F.col("_f.statement").alias("clause"), "sentiment"))).alias("_s"))
     return df.select(key).join(lists, key, "left").select(key, T.paragraph_of_clauses(F.col("_s")).alias("explanation"))

@@ -8,7 +8,7 @@ from ..functions import taxonomy
 from ..functions import text as T
 from ..operators import ids, pairs, sampling, splits, statements, stats
 from ..sources import tables as S
-from .frames import INTERACTIONS, TRIPLETS, VOCABULARY, interactions, r6, rounded, table, triplets, vocabulary
+from .frames import INTERACTIONS, TRIPLETS, VOCABULARY, interactions, r6, rounded, row_parts, table, triplets, vocabulary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,7 +155,7 @@ def statement_id_lists(spark, sf_dir):
     t = triplets(spark, sf_dir)
     topic = table(spark, sf_dir, "part").select(F.lower("p_type").alias("topic")).distinct()
     names = tuple(r[0] for r in topic.collect())  # a taxonomy: a handful of names
-    found = statements.with_ids(t, statements.vocabulary(t), taxonomy.topics(spark, {"parts": names}))
+    found = statements.with_ids(t, statements.vocabulary(t), taxonomy.topics(spark, {"parts": names}), parts=row_parts(spark, sf_dir))
     return found.select("row_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("statement_ids", "topic_ids", "sentiments")])
 
 
@@ -168,7 +168,7 @@ def explanations(spark, sf_dir):
     v = vocabulary(spark, sf_dir).withColumn("statement", F.concat(F.lit(" This is "), "statement", F.lit(". ")))
     v = v.withColumn("statement", F.replace("statement", F.lit("This"), F.lit("this")))
     t = triplets(spark, sf_dir).groupBy("row_id").agg(F.array_sort(F.collect_list("pos")).alias("statement_ids"))
-    return statements.explanations(t, v, sentiments=None)
+    return statements.explanations(t, v, sentiments=None, parts=row_parts(spark, sf_dir))
 
 
 @query(f"SELECT round(avg(length(statement)), 6) AS avg_length, max(length(statement)) AS max_length, min(length(statement)) AS min_length, round(median(length(statement)), 6) AS median_length FROM (WITH {VOCABULARY} SELECT * FROM v)")
