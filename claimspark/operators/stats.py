@@ -58,8 +58,13 @@ def grid(df: DataFrame, entity: str, statement: str = "statement", facets: tuple
 
 
 def totals(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(F.count("*").alias("rows"), *[count(c).alias(f"n_{c}") for c in columns])
+    """Rows and how many different values columns have; each column is counted by itself, so that no row is repeated for each of them."""
+    if approximate:
+        return df.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(c).alias(f"n_{c}") for c in columns])
+    out = df.agg(F.count("*").alias("rows"))
+    for c in columns:
+        out = out.crossJoin(F.broadcast(df.select(c).distinct().agg(F.count(c).alias(f"n_{c}"))))  # one row each
+    return out
 
 
 def distribution(df: DataFrame, facet: str, statement: str = "statement") -> DataFrame:

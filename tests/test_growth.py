@@ -181,3 +181,10 @@ def test_triplets_lie_in_more_partitions_not_in_larger_ones(spark, monkeypatch):
     assert frames.triplets(spark, DIR).rdd.getNumPartitions() == -(-rows // 500)
     plan = frames.triplets(spark, DIR).groupBy("row_id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(row_id") == 2  # those of the triplets; grouping adds none
+
+
+def test_totals_repeat_no_row_for_each_column(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (None, "a", "x")], "k long, s string, t string")
+    got = stats.totals(df, ["k", "s", "t"])
+    assert tuple(got.first()) == (3, 1, 2, 1)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
