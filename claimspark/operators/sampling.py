@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ids import numbered
 
 
@@ -62,12 +63,13 @@ def negative_edges(edges: DataFrame, users: DataFrame, items: DataFrame, factor:
     by evenly spread ranks among the pairs left; the complement of the graph is never made.
     """
     u, i = numbered(users.select("user_id").distinct(), ["user_id"], "_u", ties=False), numbered(items.select("item_id").distinct(), ["item_id"], "_i", ties=False)
-    sizes = edges.select("user_id", "item_id").distinct()
+    # all of it is used several times: edges and drawn pairs are made once
+    sizes = written(edges.select("user_id", "item_id").distinct(), "edges")
     counts = F.broadcast(sizes.agg(F.count("*").alias("_e")).crossJoin(u.agg(F.count("*").alias("_nu"))).crossJoin(i.agg(F.count("*").alias("_ni"))))
     tries = sizes.crossJoin(counts).select("*", F.explode(F.sequence(F.lit(1), F.lit(factor))).alias("_try"))
     draw = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), F.lit(seed), "user_id", "item_id", "_try"), F.col(n))
     drawn = tries.select(draw("u", "_nu").alias("_u"), draw("i", "_ni").alias("_i"), "_e").distinct()
-    pairs = drawn.join(u, "_u").join(i, "_i").join(sizes, ["user_id", "item_id"], "left_anti")
+    pairs = written(drawn.join(u, "_u").join(i, "_i").join(sizes, ["user_id", "item_id"], "left_anti").select("_u", "_i", "user_id", "item_id", "_e"), "drawn")
     size = counts.first()
     known = sizes.join(u, "user_id").join(i, "item_id").select("_u", "_i")
     taken = known.unionByName(pairs.select("_u", "_i")).select((F.col("_u") * F.lit(size._ni) + F.col("_i")).alias("_v"))

@@ -188,3 +188,12 @@ def test_totals_repeat_no_row_for_each_column(spark):
     got = stats.totals(df, ["k", "s", "t"])
     assert tuple(got.first()) == (3, 1, 2, 1)
     assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_negative_edges_draw_once(spark, monkeypatch):
+    names, plain = [], sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: names.append(name) or plain(df, name))
+    edges = spark.createDataFrame([(u, (u * 7 + k) % 11) for u in range(9) for k in range(3)], "user_id long, item_id long")
+    got = {tuple(r) for r in sampling.negative_edges(edges, edges.select("user_id"), edges.select("item_id")).collect()}
+    assert len(got) == 27 and not got & {tuple(r) for r in edges.collect()}
+    assert names == ["edges", "drawn"]
