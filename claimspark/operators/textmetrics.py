@@ -214,24 +214,27 @@ def _union_lcs(predictions: pd.Series, references: pd.Series) -> pd.Series:
                 i -= 1
         return found
 
-    def hits(prediction, reference) -> int:
+    # lines come as one text and are cut row by row, so that no batch of lists of words is held
+    cut = lambda text: [line.split(" ") for line in text.split("\n")] if text else []
+
+    def hits(prediction: list[list[str]], reference: list[list[str]]) -> int:
         left = Counter(w for s in prediction for w in s)
         n = 0
         for r in reference:
-            r = list(r)
-            for i in sorted(set().union(*(on_path(r, list(c)) for c in prediction))) if len(prediction) else ():
+            for i in sorted(set().union(*(on_path(r, c) for c in prediction))):
                 if left[r[i]] > 0:
                     left[r[i]] -= 1
                     n += 1
         return n
 
-    return pd.Series([hits(p, r) for p, r in zip(predictions, references, strict=True)], dtype="int64")
+    return pd.Series([hits(cut(p), cut(r)) for p, r in zip(predictions, references, strict=True)], dtype="int64")
 
 
 def rouge_l_summary(prediction: Column, reference: Column) -> Column:
     """F of the longest common subsequences of lines, united over the prediction's lines for each of the reference."""
     lines = lambda c: F.filter(F.transform(F.split(F.lower(c), "\n"), T.words), lambda w: F.size(w) > 0)
     p, r = lines(prediction), lines(reference)
-    n = F.pandas_udf(_union_lcs, "bigint")(p, r)
+    flat = lambda c: F.array_join(F.transform(c, lambda w: F.array_join(w, " ")), "\n")  # noqa: E731  words have no white space
+    n = F.pandas_udf(_union_lcs, "bigint")(flat(p), flat(r))
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, w: s + F.size(w))
     return F.when((total(p) > 0) & (total(r) > 0), T.harmonic_mean(n / total(p), n / total(r))).otherwise(0.0)

@@ -197,3 +197,7 @@ def test_negative_edges_draw_once(spark, monkeypatch):
     got = {tuple(r) for r in sampling.negative_edges(edges, edges.select("user_id"), edges.select("item_id")).collect()}
     assert len(got) == 27 and not got & {tuple(r) for r in edges.collect()}
     assert names == ["edges", "drawn"]
+
+
+def test_lines_reach_python_as_text():
+    assert textmetrics._union_lcs(pd.Series(["a b\nc", "", "x"]), pd.Series(["a c\nb", "a", ""])).tolist() == [3, 0, 0]
