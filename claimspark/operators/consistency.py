@@ -92,7 +92,7 @@ def _in_matrices(scores: DataFrame, kernel, names: list[str]) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            pair = b.column("pair").to_numpy()
+            pair = b.column("pair").to_numpy(zero_copy_only=False)
             cut = int(np.searchsorted(pair, pair[-1]))
             if cut or (kept and kept[0].column("pair")[0].as_py() != pair[0]):
                 yield made(pa.Table.from_batches([*kept, b.slice(0, cut)]))
@@ -101,8 +101,8 @@ def _in_matrices(scores: DataFrame, kernel, names: list[str]) -> DataFrame:
         if kept:
             yield made(pa.Table.from_batches(kept))
 
-    sorted_ = rows.withColumn("pair", F.col("pair").cast("long")).repartition("pair").sortWithinPartitions("pair")
-    return sorted_.mapInArrow(run, ", ".join(["pair long", *[f"{n} double" for n in names]]))
+    sorted_ = rows.repartition("pair").sortWithinPartitions("pair")
+    return sorted_.mapInArrow(run, ", ".join([f"pair {rows.schema['pair'].dataType.simpleString()}", *[f"{n} double" for n in names]]))
 
 
 def soft_ngrams(scores: DataFrame, n: int) -> DataFrame:
