@@ -246,3 +246,15 @@ def test_neighbour_averages_list_no_neighbours(spark):
     assert tuple(got.first()) == pytest.approx((want["user"], want["item"]))
     assert tuple(retrieval.neighbour_averages(df, asked.filter("row_id is null")).first()) == (None, None)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3  # by key, each to one row at most
+
+
+def test_histories_share_an_item_among_tasks(spark, monkeypatch):
+    _small_squares(monkeypatch)
+    df, asked = _crowded_item(spark, 60, 50)
+    df = df.union(df.filter("row_id < 5").withColumn("row_id", F.col("row_id") + 1000))  # some have it twice
+    rows, t = ([tuple(r) for r in x.collect() if None not in tuple(r)] for x in (df, asked))
+    want = [(r, k, h) for r, u, i in t for h, v, j in rows for k in (0, 1) if (u == v and i != j if k == 0 else i == j and u != v)]
+    got = retrieval.histories(df, asked)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert max(_tasks(got)) < 1000  # the item's 50 targets have 59 others each, and more
+    assert sorted(tuple(r) for r in retrieval.histories(df).filter("row_id < 50 or row_id between 60 and 100").collect()) == sorted(want)
