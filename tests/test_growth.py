@@ -1,9 +1,12 @@
 """Work that must not grow faster than the tables: what is made for each pair, goal or task, counted on small ones."""
 
+import math
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +119,47 @@ def test_similarity_counts_meet_blocks_once(spark, monkeypatch):
     assert all(n == near[i].sum() and best == pytest.approx(cos[i].max(), abs=1e-6) for i, (n, best) in got.items())
 
 
+def test_similarity_lists_are_whole_and_by_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(6, 5)), 20, axis=0)
+    x = np.round(centres + 0.05 * rng.normal(size=centres.shape), 6)
+    x[3], x[5], x[7] = 0, x[6], 2 * x[8]
+    monkeypatch.setattr(retrieval, "SQUARE", 16)
+    monkeypatch.setattr(retrieval, "TILE", 64)
+    with np.errstate(invalid="ignore"):
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = np.nan_to_num(u @ u.T, nan=-2) - 4 * np.eye(len(x))
+    rows = [(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [math.inf, 0.0, 0.0, 0.0, 0.0]), (203, [math.nan] * 5)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    compared, near = [], retrieval._near
+    compared, near, met = [], retrieval._near, spark.sparkContext.accumulator(0)
+
+    def counted(least):
+        run = near(least)
+
+        def each(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met.add(1)
+            yield from run(key, batches)
+
+        return each
+
+    monkeypatch.setattr(retrieval, "_near", counted)
+    for distance, bucket in ((0.3, 0.1), (0.3, 1.0), (1.1, 1.0)):
+        before = met.value
+        got = {r["index"]: (r.similars, r.similarities) for r in retrieval.similarity_lists(v, distance, bucket=bucket).collect()}
+        compared.append(met.value - before)
+        want = {i: sorted(np.flatnonzero(cos[i] > 1 - distance**2 / 2)) for i in range(len(x))}
+        assert got.keys() == {i for i, w in want.items() if w}
+        for i, (ids, cosines) in got.items():
+            assert sorted(ids) == want[i]
+            assert cosines == pytest.approx(sorted(cos[i][want[i]], reverse=True), abs=1e-9)
+            assert cosines == pytest.approx([cos[i][j] for j in ids], abs=1e-9)
+    assert compared[0] < compared[1] <= compared[2] == 36  # short buckets keep blocks of other centres apart
+    assert retrieval.similarity_lists(v.filter("id >= 200"), 1.1).count() == 0
+    n = {r["index"]: (r.n, r.best) for r in retrieval.similarity_counts(v, 1.1).collect()}
+    assert n == {i: (len(ids), cosines[0]) for i, (ids, cosines) in got.items()}
+
+
 def _scores(spark):
     rng = np.random.default_rng(1)
     rows = [(p, int(rng.integers(5)), int(rng.integers(4)) * 7, float(rng.random())) for p in range(40) for _ in range(rng.integers(1, 12))]
