@@ -18,26 +18,29 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows of a group, at most, and bytes of a text up to which so many make a group. Texts up to
-#: twice, four times ... as long make groups of a half, a quarter ... of the rows, so that a
-#: group has GROUP_ROWS * PLAIN_BYTES bytes at most, or a single text.
+#: twice, four times ... as long make groups of an eighth, a sixteenth ... of the rows, so that a
+#: group has GROUP_ROWS * PLAIN_BYTES bytes at most, groups of longer texts a quarter of it or eight texts, or a single text.
 GROUP_ROWS, PLAIN_BYTES = 2000, 16 << 10
 
 
 def working_table(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(part, row, doc_id, text with null as empty, _keep0, _keep1 ...), bucketed by part without a shuffle.
 
-    Rows are numbered, for ids may be null or repeated. Groups are of neighbouring rows of one partition and one tier of length, so that their bytes
-    are bounded. The catalog names the table only until its files have been found.
+    Rows are numbered, for ids may be null or repeated. Groups are of neighbouring rows of one
+    partition and one tier of length, so that their bytes are bounded. A tier's rows are brought
+    together first: groups answer all buckets of a hash, so half-empty ones would make rows in
+    proportion to groups times buckets. The catalog names the table only until its files have been found.
     """
     spark = docs.sparkSession
     at = F.monotonically_increasing_id()
     tier = F.least(F.lit(GROUP_ROWS.bit_length()), F.greatest(F.lit(0), F.ceil(F.log2((F.octet_length("text") + 1) / PLAIN_BYTES)))).cast("int")
-    rows_of_tier = F.element_at(F.array(*[F.lit(max(1, GROUP_ROWS >> t)) for t in range(GROUP_ROWS.bit_length() + 1)]), F.col("tier") + 1)
+    rows_of_tier = F.element_at(F.array(*[F.lit(max(1, GROUP_ROWS >> t if t == 0 else max(GROUP_ROWS >> t + 2, min(GROUP_ROWS >> t, 8)))) for t in range(GROUP_ROWS.bit_length() + 1)]), F.col("tier") + 1)
     place = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / rows_of_tier)
     part = F.shiftright("at", 33) * F.lit(1 << 37) + F.col("tier") * F.lit(1 << 33) + place
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    texts = docs.select(at.alias("at"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).withColumn("tier", tier)
-    rows = texts.select(part.cast("long").alias("part"), F.col("at").alias("row"), "*").drop("at", "tier")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept).withColumn("tier", tier)
+    texts = texts.sortWithinPartitions("tier").withColumn("at", at)  # a partition's number and, by tier, a row's place in it
+    rows = texts.select(part.cast("long").alias("part"), F.col("at").alias("row"), "doc_id", "text", *[f"_keep{i}" for i in range(len(keep))])
     name = f"claimspark_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = common.shared_dir(spark, "texts")

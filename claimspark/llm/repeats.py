@@ -35,6 +35,8 @@ BUCKET_BYTES, ROUTE_BYTES = 6 << 20, 6 << 20
 HOT = 1 << 16
 #: Groups whose stretches for a bucket are made distinct together before they go on; fewer groups send them at once.
 MERGED = 4096
+#: Bytes of documents, about, that are hashed together: arrays of 8 bytes for each stay in a core's cache.
+CHUNK = 1 << 16
 #: Windows of a long document that are looked at together.
 PIECE = 1 << 20
 _NONE = np.iinfo(np.int64).max  # a null id is after all others
@@ -45,7 +47,7 @@ class Minimizers:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, window: int, k: int) -> None:
         hashes, docs, firsts, counts = [], [], [], []
-        for a, b in groups.chunks(starts):
+        for a, b in groups.chunks(starts, CHUNK):
             size = int(starts[b] - starts[a])
             step = size if b > a + 1 else PIECE  # pieces of a long document share all but one byte of a window
             for at in range(0, max(1, size - window + 1), max(1, step)):
@@ -178,10 +180,9 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 def _stretches(data: np.ndarray, first: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
     """A matrix of the bytes of each stretch, filled with zeros to a multiple of 8."""
-    out = np.zeros((len(first), -(-width // 8) * 8), np.uint8)
-    for c in range(width):
-        rows = np.flatnonzero(length > c)
-        out[rows, c] = data[first[rows] + c]
+    full = -(-width // 8) * 8
+    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(full, np.uint8)]), full)[first]
+    out[np.arange(full) >= length[:, None]] = 0
     return out
 
 
@@ -416,10 +417,8 @@ def _answer_windows(window: int, k: int):
         c = Candidates(table, window, k)
         length, least, matrix, rep, inverse, lowest = c.length, c.least, c.matrix, c.rep, c.inverse, c.lowest
         windows = length[rep] - window + 1
-        # a stretch whose minimizer has no other stretch is equal to nothing else
-        hashes = np.concatenate([_minimizer(matrix[rep[i : i + 20000]], length[rep[i : i + 20000]], window, k) for i in range(0, len(rep), 20000)])
-        _, group, members = np.unique(hashes, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(members[group] > 1)
+        # a stretch without a window of a hash that another window has is equal to nothing else
+        several = _sharing(matrix[rep], windows, window)
         minima = np.repeat(lowest[:, None], window - k + 1, axis=1)
         if len(several):
             many = np.cumsum(np.append(0, length[rep[several]]))
@@ -438,13 +437,20 @@ def _answer_windows(window: int, k: int):
     return run
 
 
-def _minimizer(matrix: np.ndarray, length: np.ndarray, window: int, k: int) -> np.ndarray:
-    """The minimizer's hash of each stretch: that of its first window."""
-    flat = np.ascontiguousarray(matrix[:, :window]).ravel()
-    h = _kmer_hashes(flat, k)
-    at = np.arange(len(matrix))[:, None] * window + np.arange(window - k + 1)
-    mine = h[at]
-    return mine[np.arange(len(mine)), np.argmin(mine >> np.uint64(32), axis=1)]
+def _sharing(matrix: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """The stretches with a window whose hash another window has, too; windows tells how many a stretch has."""
+    if not len(matrix):
+        return np.zeros(0, np.int64)
+    width = matrix.shape[1]
+    hashes = [_kmer_hashes(np.ascontiguousarray(matrix[i : i + 4096]).ravel(), window) for i in range(0, len(matrix), 4096)]
+    owner = np.repeat(np.arange(len(matrix)), windows)
+    at = owner % 4096 * width + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    cuts = np.searchsorted(owner, np.arange(0, len(matrix) + 4096, 4096))
+    found = np.concatenate([h[at[i:j]] for h, i, j in zip(hashes, cuts, cuts[1:])])
+    ranked = np.sort(found)
+    several = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    place = np.minimum(np.searchsorted(several, found), max(0, len(several) - 1))
+    return np.unique(owner[several[place] == found]) if len(several) else np.zeros(0, np.int64)
 
 
 def covered(docs: pa.Table, told: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -523,10 +529,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if salts > 1:  # a passage that all groups have must not send a row of each to one bucket
         salted = stretches.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int"))
         once = common.materialize(salted.groupBy("bucket", "salt").applyInArrow(_merge(window, k), "part long, bucket int, sizes binary, bytes binary, least binary"), "merged")
-        found = once.groupBy("bucket").applyInArrow(_answer_windows(window, k), windows).withColumnRenamed("part", "salt")
+        found = once.repartition(routes, "bucket").groupBy("bucket").applyInArrow(_answer_windows(window, k), windows).withColumnRenamed("part", "salt")
         answers = salted.groupBy("bucket", "salt").cogroup(found.groupBy("bucket", F.col("salt").cast("int"))).applyInArrow(_spread(window, k), windows)
     else:
-        answers = stretches.groupBy("bucket").applyInArrow(_answer_windows(window, k), windows)
+        # a bucket costs seconds for its few packed MB, so partitions are not joined by their bytes
+        answers = stretches.repartition(routes, "bucket").groupBy("bucket").applyInArrow(_answer_windows(window, k), windows)
     nothing = F.lit(None).cast("binary")
     told = answers.select("part", "bucket", "windows", nothing.alias("places"), nothing.alias("least")).unionByName(
         sent.filter("bucket < 0").select("part", "bucket", nothing.alias("windows"), "places", "least")

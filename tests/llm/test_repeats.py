@@ -103,3 +103,26 @@ def test_long_texts_make_groups_of_their_own(spark):
     sizes = [r["sum(octet_length(text))"] for r in table.groupBy("part").agg({"doc_id": "count"}).join(table.groupBy("part").agg(F.sum(F.octet_length("text"))), "part").collect()]
     assert max(sizes) <= groups.GROUP_ROWS * groups.PLAIN_BYTES
     assert len(sizes) == 3
+
+
+def test_groups_of_longer_texts_are_filled(spark, monkeypatch):
+    monkeypatch.setattr(groups, "GROUP_ROWS", 64)
+    texts = [(i, "x" * (40_000 if i % 10 == 0 else 10)) for i in range(1000)]
+    table = groups.working_table(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    parts = table.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    assert sum(p.n for p in parts) == 1000
+    assert max(p.bytes for p in parts) <= 64 * groups.PLAIN_BYTES
+    assert sum(p.bytes > 40_000 for p in parts) <= 100 // 8 + 2  # every tenth text is long, yet eight make a group
+    assert len(parts) <= 1000 // 64 + 1 + 100 // 8 + 2
+
+
+def test_only_stretches_that_share_windows_are_indexed():
+    rng = random.Random(8)
+    strings = [bytes(rng.choice(b"abcdefgh") for _ in range(rng.randint(50, 76))) for _ in range(9000)]
+    strings[5], strings[8000] = strings[4][:60], b"zz" + strings[17][:55]
+    data, length = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+    matrix = repeats._stretches(data, np.cumsum(length) - length, length, 76)
+    assert [bytes(row[:n]) for row, n in zip(matrix, length)] == strings
+    assert all(not row[n:].any() for row, n in zip(matrix, length))
+    assert repeats._sharing(matrix, length - 49, 50).tolist() == [4, 5, 17, 8000]
+    assert repeats._sharing(matrix[:0], length[:0], 50).tolist() == []
