@@ -103,6 +103,32 @@ def test_two_hop_sums_list_no_nodes_of_a_pair(spark, monkeypatch, bits):
     assert {tuple(r) for r in graph.two_hop_sums(edges, pairs, lambda ids: ids % 97).collect()} == want
 
 
+def test_two_hop_sums_count_nodes_that_are_users_and_items(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    found = {(int(u), int(i)) for u, i in zip(rng.integers(90, 130, 260), 100 + rng.zipf(1.6, 260) % 25, strict=True)}
+    edges = spark.createDataFrame(sorted(found), "src long, dst long")
+    pairs = edges.filter("src % 3 = 0").select((F.col("src") * 1000 + F.col("dst")).alias("pair"), F.col("src").alias("user_id"), F.col("dst").alias("item_id"))
+    beside: dict = {}
+    for a, b in found:
+        beside.setdefault(a, {a}).add(b)
+        beside.setdefault(b, {b}).add(a)
+    want = set()
+    for u, i in (e for e in found if e[0] % 3 == 0):
+        reached = {n for m in beside[u] | beside[i] for n in beside[m]}
+        want.add((u * 1000 + i, sum(n < 110 for n in reached), sum(n >= 110 for n in reached), float(sum(n % 97 for n in reached))))
+    monkeypatch.setattr(graph, "REACH_BLOCK", 7)
+    monkeypatch.setattr(graph, "REACH_PART", 50)
+    monkeypatch.setattr(graph, "k_hop", _never)
+    for hub in (1 << 12, 5):
+        monkeypatch.setattr(graph, "REACH_HUB", hub)
+        assert {tuple(r) for r in graph.two_hop_sums(edges, pairs, lambda ids: ids % 97, lambda ids: ids < 110).collect()} == want
+    apart = edges.select("src", (F.col("dst") + 100).alias("dst"))  # no node of both kinds, but users with ids of items
+    moved = pairs.withColumn("item_id", F.col("item_id") + 100)
+    got = {r.pair: (r.users, r.items) for r in graph.two_hop_sums(apart, moved, lambda ids: ids % 97, lambda ids: ids < 110).collect()}
+    plain = {r.pair: (r.users, r.items) for r in graph.two_hop_sums(apart, moved, lambda ids: ids % 97).collect()}
+    assert all(sum(got[p]) == sum(plain[p]) for p in plain) and got != plain
+
+
 def test_similarity_counts_meet_blocks_once(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(90, 4))
